@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import media, quality_rules, sharding, sql
+from millrace.llm import media, quality_rules, sharding, simhash, sql, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,15 +42,30 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class (smallest doc_id reachable over links) of every document."""
+    return simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without lines that occurred earlier, and where they were."""
+    rows = substring.deduplicated(_documents(spark, sf_dir).select("doc_id", "text"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return rows.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_feistel_shards": op3_feistel_shards,
         "op4_media_columns": op4_media_columns,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": sql.OP1,
+        "op9_substring_dedup": sql.OP9,
     }

@@ -18,3 +18,20 @@ b AS (SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_wor
              + 32 * (100 * n_shouts > 40 * n_words)::BIGINT) AS fail_bits FROM m)
 SELECT *, 'web.2' AS policy, fail_bits = 0 AS kept, (fail_bits & 3) <> 0 AS base_failed FROM b
 """
+
+OP9 = r"""
+WITH l AS (SELECT doc_id, i - 1 AS pos, string_split(text, chr(10)) AS ls, string_split(text, chr(10))[i] AS line
+           FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+n AS (SELECT doc_id, pos, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit,
+             coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at,
+             length(line) AS size FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY md5(unit) ORDER BY doc_id, pos) AS nth
+      FROM n WHERE unit <> '' AND length(unit) - length(replace(unit, ' ', '')) >= 4),
+gone AS (SELECT doc_id, list(pos ORDER BY pos) AS places, count(*) AS n,
+                string_agg(concat(start_at, ':', start_at + size), ',' ORDER BY pos) AS spans
+         FROM k WHERE nth > 1 GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)),
+           lambda x, i: NOT list_contains(g.places, i - 1)), chr(10)) END AS text,
+       coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, '') AS removed_spans
+FROM documents d LEFT JOIN gone g USING (doc_id)
+"""
