@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import media, quality_rules, sharding, simhash, sql, substring
+from millrace.llm import bpe, media, packing, quality_rules, sharding, simhash, sql, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(base).cast("long")) != 0)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of every document's ids lies in sequences of 2048."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return packing.packed(_documents(spark, sf_dir), path, pattern).drop("ids")
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, of 40 shards; the law is that of row counts."""
     rows = sharding.sharded(_documents(spark, sf_dir))
@@ -47,6 +54,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every text's ids, and the digest of what they decode to."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = bpe.decoded(bpe.encoded(_documents(spark, sf_dir), path, pattern), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without lines that occurred earlier, and where they were."""
     rows = substring.deduplicated(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -57,9 +72,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_packing": op2_packing,
         "op3_feistel_shards": op3_feistel_shards,
         "op4_media_columns": op4_media_columns,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op7_byte_bpe": op7_byte_bpe,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
