@@ -22,7 +22,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -211,13 +210,13 @@ def packed(
         for w in packer.left():
             yield _batch([(*r[:5], part, *r[6:]) for r in _listed(w, None, True)], doc_type, False)
 
-    def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sequence_id", "length", "start", "ids_crc32"], kind="stable")
-        pieces = [Piece(r.doc_id, int(r.start), int(r.doc_tokens), bytes(r.ids)) for r in rows.itertuples()]
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("sequence_id", "length", "start", "ids_crc32")])
+        pieces = [Piece(*p) for p in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")))]
         out = []
         for n, w in enumerate(merged(pieces, window, min_cut)):
-            out += _listed(w, ((1 << 30) + int(key[0]) << 32) + n, with_ids)
-        return pd.DataFrame(out, columns=list(FIELDS)).astype({"doc_id": object})
+            out += _listed(w, ((1 << 30) + key[0].as_py() << 32) + n, with_ids)
+        return pa.Table.from_batches([_batch(out, rows.schema.field("doc_id").type).select(list(FIELDS))])
 
     # done is false for leftovers, whose sequence_id is the partition for now.
     schema = _rows(kind) + ", done boolean"
@@ -225,7 +224,7 @@ def packed(
     leftovers = all_pieces.filter("NOT done").drop("done")
     whole = all_pieces.filter("done").drop("done")
     groups = leftovers.withColumn("merge", F.expr(f"sequence_id div {fan_in}"))
-    return whole.unionByName(groups.groupBy("merge").applyInPandas(joined, _rows(kind)))
+    return whole.unionByName(groups.groupBy("merge").applyInArrow(joined, _rows(kind)))
 
 
 _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, media, packing, quality_rules, sharding, simhash, sql, substring
+from millrace.llm import bpe, licence_texts, licenses, media, packing, quality_rules, sharding, simhash, sql, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every text's canonical form, the licence that it is, and one-line notices in it."""
+    rows = licenses.scanned(_documents(spark, sf_dir), licence_texts.KNOWN)
+    return rows.withColumn("notices", F.array_join("notices", ","))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without lines that occurred earlier, and where they were."""
     rows = substring.deduplicated(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_media_columns": op4_media_columns,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_license_scan": op8_license_scan,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
@@ -84,5 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": sql.OP1,
+        "op8_license_scan": sql.op8(licence_texts.KNOWN, licenses.SPELLINGS, licenses.COPYRIGHT),
         "op9_substring_dedup": sql.OP9,
     }

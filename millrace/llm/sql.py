@@ -35,3 +35,31 @@ SELECT d.doc_id, CASE WHEN n IS NULL THEN d.text ELSE array_to_string(list_filte
        coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, '') AS removed_spans
 FROM documents d LEFT JOIN gone g USING (doc_id)
 """
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spelled(text: str, spellings) -> str:
+    for found, kept in spellings:
+        text = f"replace({text}, {_literal(found)}, {_literal(kept)})"
+    return text
+
+
+def op8(known, spellings, copyright_line: str) -> str:
+    """SQL of the licence scan for a catalogue; the expression of copyright lines is written as RE2 reads it."""
+    values = ", ".join(f"({_literal(i)}, {_literal(t)})" for i, t in known)
+    return rf"""
+WITH known(id, text) AS (VALUES {values}),
+texts AS (SELECT 'k' AS kind, NULL::BIGINT AS doc_id, id, text, row_number() OVER () AS r FROM known
+          UNION ALL SELECT 'd', doc_id, NULL, coalesce(text, ''), -row_number() OVER () FROM documents),
+plain AS (SELECT kind, doc_id, id, r, regexp_replace(regexp_replace(lower(text), {_literal(copyright_line)}, '', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM texts),
+lines AS (SELECT kind, doc_id, id, r, string_split({_spelled("array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10))", spellings)}, chr(10)) AS ls FROM plain),
+forms AS (SELECT kind, doc_id, id, r, ls, sha256({_spelled("array_to_string(ls, ' ')", spellings)}) AS digest FROM lines),
+catalogue AS (SELECT digest, min(id) AS id FROM forms WHERE kind = 'k' GROUP BY digest),
+hits AS (SELECT f.r, c.id FROM (SELECT r, unnest(ls) AS l FROM forms WHERE kind = 'd') f JOIN catalogue c ON sha256(f.l) = c.digest),
+counted AS (SELECT r, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS notices FROM hits GROUP BY r)
+SELECT f.doc_id, f.digest AS canonical_sha256, c.id AS license_id, coalesce(n, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
+FROM forms f LEFT JOIN catalogue c USING (digest) LEFT JOIN counted ON f.r = counted.r WHERE kind = 'd'
+"""
