@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, licence_texts, licenses, media, packing, quality_rules, sharding, simhash, sql, substring
+from millrace.llm import bpe, licence_texts, licenses, media, packing, quality_rules, secret_scan, sharding, simhash, sql, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the patterns' spans of every text, and all spans with those that the field adds."""
+    rows = secret_scan.scanned(_documents(spark, sf_dir))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex", "crf")]
+    base = listed(F.filter("spans", lambda s: s["kind"] != "crf"))
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every text's ids, and the digest of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -82,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_feistel_shards": op3_feistel_shards,
         "op4_media_columns": op4_media_columns,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_secret_scan": op6_secret_scan,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_license_scan": op8_license_scan,
         "op9_substring_dedup": op9_substring_dedup,
