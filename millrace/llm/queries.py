@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, licence_texts, licenses, media, packing, quality_rules, secret_scan, sharding, simhash, sql, substring
+import corpus_pipeline
+from millrace.llm import bpe, licence_texts, licenses, media, packing, quality_rules, secret_scan, sharding, simhash, sql, substring, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans"))
 
 
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, weak label, score and verdict of every document."""
+    return weak_quality.classified(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -96,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_byte_bpe": op7_byte_bpe,
         "op8_license_scan": op8_license_scan,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_weak_quality": op10_weak_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

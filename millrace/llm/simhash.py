@@ -233,21 +233,21 @@ def linked(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return met.mapInArrow(compared, "a long, b long").distinct()
 
 
-def components_of(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """rows (doc_id, fp; written, not computed) with component_id: the smallest doc_id reachable over links."""
+def classes(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """fp (distinct) and component_id of rows (doc_id, fp; written, not computed): the smallest doc_id reachable over links."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(linked(nodes, threshold)).withColumnRenamed("node", "fp")
     members = written(nodes.join(roots, "fp"), "members")
     least = members.groupBy("root").agg(F.min("first").alias("least"))
     tied = members.join(least, "root").select("fp", "least")
-    classes = written(nodes.join(tied, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes")
-    return rows.join(classes, "fp")
+    # Written, so that the join with all rows is one of two plain tables, whose hot keys Spark can split.
+    return written(nodes.join(tied, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = HASH_SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (long) and component_id of every row."""
     rows = written(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    return components_of(rows, threshold).select("doc_id", "fp", "component_id")
+    return rows.join(classes(rows, threshold), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: str = "fp") -> Column:

@@ -89,11 +89,8 @@ def test_fingerprints_and_components_equal_brute_force(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("hot", [3, 10**9])
-def test_hot_anchors_lose_no_link(spark, monkeypatch, hot):
+def test_crowded_points_lose_no_link(spark):
     """Hundreds of fingerprints around one point, and a chain: as by comparing all with all."""
-    monkeypatch.setattr(simhash, "HOT_ANCHOR", hot)
-    monkeypatch.setattr(simhash, "SLICE", 500)
     rng = random.Random(5)
     fps = {0, 2**64 - 1}
     for _ in range(300):
@@ -104,10 +101,35 @@ def test_hot_anchors_lose_no_link(spark, monkeypatch, hot):
         fps.add(x)
     items = [(n, f) for n, f in enumerate(sorted(fps, key=lambda f: rng.random()))]
     rows = spark.createDataFrame([(n, f - 2**64 if f >> 63 else f) for n, f in items], "doc_id long, fp long")
-    got = {r.doc_id: r.component_id for r in simhash.components_of(rows).collect()}
+    got = {r.doc_id: r.component_id for r in rows.join(simhash.classes(rows), "fp").collect()}
     assert [got[n] for n, _ in items] == brute_components(items)
 
 
+@pytest.mark.parametrize("hot", [3, 10**9])
+def test_hot_anchors_lose_no_link(monkeypatch, hot):
+    """Anchor groups joined over flips or with each other give the same components."""
+    monkeypatch.setattr(simhash, "HOT_ANCHOR", hot)
+    monkeypatch.setattr(simhash, "SLICE", 500)
+    rng = np.random.default_rng(7)
+    fps = np.unique(np.concatenate([rng.integers(0, 2**12, 300, dtype=np.uint64), rng.integers(0, 2**64, 20, dtype=np.uint64)]))
+    row, anchor = simhash.anchors(fps)
+    order = np.argsort(anchor, kind="stable")
+    a, b = simhash._links(anchor[order], fps[row[order]], 2)
+    assert (np.bitwise_count(a ^ b) > 0).all()
+    parent = {int(f): int(f) for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(map(int, a), map(int, b)):
+        parent[root(x)] = root(y)
+    got = [root(int(f)) for f in fps]
+    want = brute_components([(int(f), int(f)) for f in fps])
+    assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
+
+
 def test_flip_links_in_slices(monkeypatch):
     monkeypatch.setattr(simhash, "SLICE", 1000)
     rng = np.random.default_rng(6)
