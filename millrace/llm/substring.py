@@ -67,6 +67,8 @@ def repeated(found: DataFrame) -> DataFrame:
     """rank, of and gone (positions) of documents with units that occurred earlier; found: as from units(), written."""
     place = F.struct(F.col("rank").isNull().alias("last"), "rank", "of", "pos")
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("digest", "first")
+    # Written, so that the join is one of two plain tables, whose hot digests Spark can split.
+    first = written(first, "repeated")
     later = found.join(first, "digest").filter(~(place.eqNullSafe(F.col("first"))))
     return later.groupBy("rank", "of").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
