@@ -49,6 +49,9 @@ class Vocabulary:
         #: (token, rank of the merge that takes it up) from the whole token inwards, at its left and its right end.
         self.heads: dict[int, list[tuple[int, int]]] = {}
         self.tails: dict[int, list[tuple[int, int]]] = {}
+        #: Length of each token that merging makes, and the longest such token that it starts with.
+        self.size: dict[int, int] = {}
+        self.shorter: dict[int, int | None] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             halves = self._halves(token, rank)
@@ -59,7 +62,11 @@ class Vocabulary:
             self.tails[rank] = [(rank, NEVER)] + [(t, rank if up == NEVER else up) for t, up in self.tails.get(right, [])]
             if halves:
                 self.pair[halves] = rank
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), rank)
+            self.size[rank] = len(token)
+        for rank, size in self.size.items():
+            token = self.bytes[rank]
+            self.shorter[rank] = next((p for k in range(size - 1, 0, -1) if (p := ranks.get(token[:k])) in self.size), None)
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
 
@@ -93,23 +100,35 @@ class Vocabulary:
         """Ids of one pre-token."""
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
-        starts: list[list[tuple[int, int]]] = [[] for _ in word]
-        for end, (token, size) in self.automaton.iter(word.decode("latin-1")):
-            starts[end + 1 - size].append((token, size))  # by growing size, as ends grow
-        path: list[tuple[int, int]] = []
-        dead, at, fits = bytearray(len(word) + 1), 0, self.fits
-        while at < len(word):
-            longest = starts[at]
-            while longest:
-                token, size = longest.pop()
-                if not dead[at + size] and (not path or fits(path[-1][0], token)):
-                    path.append((token, size))
-                    at += size
-                    break
-            else:
+        text, known = word.decode("latin-1"), self.compatible
+        # Where the longest matches in a row all fit, the search would not go back once.
+        longest = [token for _, token in self.automaton.iter_long(text)]
+        for pair in zip(longest, longest[1:]):
+            fit = known.get(pair)
+            if not (self.fits(*pair) if fit is None else fit):
+                return self._searched(word, text)
+        return longest
+
+    def _searched(self, word: bytes, text: str) -> list[int]:
+        """The search with steps back."""
+        shorter, size, fits, long = self.shorter, self.size, self.fits, self.automaton.iter_long
+        path: list[int] = []
+        dead, at, n = bytearray(len(word) + 1), 0, len(word)
+        token = next(long(text))[1]
+        while at < n:
+            while token is not None and (dead[at + size[token]] or path and not fits(path[-1], token)):
+                token = shorter[token]
+            if token is None:  # nothing may go on from here
                 dead[at] = 1
-                at -= path.pop()[1]
-        return [token for token, _ in path]
+                token = path.pop()
+                at -= size[token]
+                token = shorter[token]
+            else:
+                path.append(token)
+                at += size[token]
+                if at < n:
+                    token = next(long(text, at))[1]
+        return path
 
 
 class RankFile:
