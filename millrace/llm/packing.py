@@ -33,7 +33,7 @@ from millrace.llm.tokens import ByteLevel, CachedEncoder
 WINDOW = 2048
 OPEN = 64
 MIN_CUT = 8
-FAN_IN = 32
+FAN_IN = 8
 END = 1
 BYTES = 4
 
