@@ -8,6 +8,7 @@ text is not cut, so that results equal those for the whole text.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from struct import pack
 
@@ -15,6 +16,8 @@ from struct import pack
 CACHE = 300_000
 #: Longer pieces are encoded each time.
 LONGEST = 64
+#: Letters below this one are letters to every version of Unicode.
+LETTERS_TO = "\u0250"
 
 
 class CachedEncoder:
@@ -22,6 +25,9 @@ class CachedEncoder:
 
     def __init__(self, plain: Callable[[list[str]], list[bytes]]):
         self.plain, self.known, self.older = plain, {}, {}
+        # No reference cycles are made here; frequent collections would only walk what the cache holds.
+        gc.set_threshold(200_000, 50, 50)
+        self.marks = dict(zip(",.", plain([",", "."])))
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces that together are the text, cut only where no white space runs on."""
@@ -55,8 +61,17 @@ class CachedEncoder:
         return b"".join(out)
 
     def _found(self, missing: set[str]) -> dict[str, bytes]:
-        new = {p: x for p in missing if (x := self.older.get(p)) is not None}
-        rest = [p for p in missing if p not in new]
+        new, rest, known, older = {}, [], self.known, self.older
+        for p in missing:
+            ids = older.get(p)
+            # A letter and a mark are never one pre-token, so a known word's ids go on with the mark's.
+            if ids is None and p[-1] in self.marks and len(p) > 1 and p[-2].isalpha() and p[-2] < LETTERS_TO:
+                stem = known.get(p[:-1]) or older.get(p[:-1])
+                ids = stem and stem + self.marks[p[-1]]
+            if ids:
+                new[p] = ids
+            else:
+                rest.append(p)
         new.update(zip(rest, self.plain(rest)))
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
@@ -68,10 +83,13 @@ class CachedEncoder:
     @staticmethod
     def _simple(text: str) -> list[str] | None:
         """The pieces of a text in which every white space stands alone; None if there may be others."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text or text[0].isspace() or text[-1].isspace() or not text.isprintable() and any(c.isspace() for c in set(text) - {" ", "\n"}):
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text or text[0].isspace() or text[-1].isspace():
+            return None
+        # Printable text has no white space but the space; other text may have.
+        if not text.replace("\n", "").isprintable() and ("\x00" in text or any(c.isspace() for c in set(text) - {" ", "\n"})):
             return None
         # A part is kept with its space, and a line feed by itself.
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else None
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
 
 class ByteLevel:
@@ -91,9 +109,12 @@ class ByteLevel:
         self.alphabet = {b: b if b in same else next(others) for b in range(256)}
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
-        merges, split, alphabet = self.merges, self.split, self.alphabet
+        merges, split, alphabet, space = self.merges, self.split, self.alphabet, chr(self.alphabet[32])
         out = []
         for p in pieces:
-            ids = [t.id for word in split(p) for t in merges(word.encode().decode("latin-1").translate(alphabet))]
+            ids = []
+            for word in split(p):
+                plain = word.isascii() and word.isprintable()
+                ids += [t.id for t in merges(word.replace(" ", space) if plain else word.encode().decode("latin-1").translate(alphabet))]
             out.append(pack(f"<{len(ids)}I", *ids))
         return out
