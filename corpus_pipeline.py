@@ -9,10 +9,10 @@ is computed again for a later one.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, secret_scan, simhash, substring, weak_quality
+from millrace.llm import near_copies, packing, secret_scan, simhash, substring, weak_quality
 from millrace.llm.shared import written
 
 
@@ -26,20 +26,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return weak_quality.kept(docs)
 
 
+def _place() -> tuple[list[Column], Column]:
+    """128 bits of id and text that tell a row from others (rows equal in both are copies, of which one stays), and its place in order."""
+    keys = [F.xxhash64("doc_id", "text").alias("__k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("__k2")]
+    return keys, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *keys)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the smallest id's; of rows with that id the first by text.
 
     Documents without an id are a class's last choice.
     """
-    # A row is told from others by 128 bits of id and text; rows equal in both are copies, of which one stays.
-    keys = [F.xxhash64("doc_id", "text").alias("__k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("__k2")]
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *keys)
+    keys, place = _place()
     rows = written(simhash.fingerprints(docs.select(place.alias("place"), "text"), id_col="place"), "fingerprints")
     chosen = written(simhash.classes(rows).select("component_id.__k1", "component_id.__k2").distinct(), "chosen")
     met = docs.select("*", *keys).join(chosen, ["__k1", "__k2"], "left_semi")
     return met.dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
 
 
+def loose_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents, told apart by id and text, without those connected to an earlier one over five-word Jaccard similarities of 0.8 or more."""
+    keys, place = _place()
+    lost = written(near_copies.later_copies(docs.select(place.alias("place"), "text")).select("place.__k1", "place.__k2"), "lost")
+    return docs.select("*", *keys).join(lost, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+
+
+def all_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-duplicates by op5's fingerprints, then what they leave of looser copies."""
+    return loose_copies(spark, written(near_duplicates(spark, docs, sf_dir), "by-fingerprint"), sf_dir)
+
+
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document (or the same) has; those left without a word go."""
     cut = substring.deduplicated(docs, spans_col="__spans")
@@ -59,7 +75,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("SimHash near-dedup", all_near_duplicates),
     ("substring dedup", repeated_lines),
     ("secret scans", secrets),
     ("packing", packed),
