@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import near_copies, packing, secret_scan, simhash, substring, weak_quality
+from millrace.llm import near_copies, packing, passages, secret_scan, simhash, substring, weak_quality
 from millrace.llm.shared import written
 
 
@@ -63,6 +63,17 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _counted(cut.filter(~F.coalesce(lost, F.lit(False))).drop("__spans"))
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of fifty words that an earlier document (or place) has; those left without a word go."""
+    cut = passages.deduplicated(docs, cut_col="__cut")
+    return _counted(cut.filter(~F.col("__cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut"))
+
+
+def all_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines, then passages that start or end within lines."""
+    return repeated_passages(spark, written(repeated_lines(spark, docs, sf_dir), "by-line"), sf_dir)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets masked in their texts."""
     return _counted(secret_scan.masked(docs))
@@ -76,7 +87,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("SimHash near-dedup", all_near_duplicates),
-    ("substring dedup", repeated_lines),
+    ("substring dedup", all_repeats),
     ("secret scans", secrets),
     ("packing", packed),
 ]

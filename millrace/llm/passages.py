@@ -1,0 +1,123 @@
+"""Repeated passages of PASSAGE words or more, wherever they start and end.
+
+Of every PASSAGE words in a row (lower case, white space aside) the earliest occurrence stays (smallest rank,
+then position; within one text only occurrences that don't overlap the first count) and the words of every other are cut.
+Words are hashed, and GRAM words in a row by a polynomial; the least of each PASSAGE - GRAM + 1 neighbouring ones is
+an anchor, so that equal passages have an equal anchor. Only passages around anchors that occur twice are digested
+(128 bits) and counted. Shuffled are anchors, those digests, and each text twice, to meet its anchors and its cuts.
+
+Defined results: a null text stays null; other columns stay, whatever their names; rows with equal id and
+equal text are one document.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from millrace.llm.shared import WORD, written
+
+PASSAGE = 50
+GRAM = 25
+_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_WORD = re.compile(WORD)
+
+
+def _rolled(words: np.ndarray, size: int, factor: int) -> np.ndarray:
+    """A hash of every size words in a row."""
+    out, n = np.zeros(len(words) - size + 1, np.uint64), len(words) - size + 1
+    for j in range(size):
+        out = out * np.uint64(factor) + words[j : j + n]
+    return out ^ (out >> np.uint64(32))
+
+
+def _hashed(text: str) -> np.ndarray:
+    return np.array([xxh64_intdigest(w) for w in _WORD.findall(text.lower())], np.uint64)
+
+
+def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the anchors of a text of PASSAGE words or more."""
+    grams, width = _rolled(words, GRAM, _FACTORS[0]), PASSAGE - GRAM + 1
+    at = [s + sliding_window_view(grams[s : s + 4096 + width - 1], width).argmin(1) for s in range(0, len(grams) - width + 1, 4096)]
+    at = np.unique(np.concatenate(at) + np.arange(len(grams) - width + 1) % 4096)
+    return grams[at], at
+
+
+def _without(text: str, starts: list[int]) -> str:
+    """The text without the passages that start at these words."""
+    words, gone = [m.span() for m in _WORD.finditer(text)], set()
+    for s in starts:
+        gone.update(range(s, s + PASSAGE))
+    parts, at, n = [], 0, 0
+    while n < len(words):
+        if n not in gone:
+            n += 1
+            continue
+        parts.append(text[at : words[n][0]])
+        while n < len(words) and n in gone:
+            n += 1
+        at = words[n][0] if n < len(words) else words[-1][1]
+        # Of the white space after a cut a line's end stays, unless the cut began a line.
+        if "\n" in text[words[n - 1][1] : at] and parts[-1][-1:] not in ("", "\n"):
+            parts.append("\n")
+    return "".join([*parts, text[at:]])
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut_col: str = "cut") -> DataFrame:
+    """docs (written, not computed) with repeated passages cut from the text column, and cut_col: whether any was."""
+    rank, text = F.col(id_col), F.col(text_col)
+    keyed = docs.withColumn("__pas_key", F.xxhash64(rank, text))
+    rows = keyed.filter(text.isNotNull()).select("__pas_key", rank.alias("rank"), text.alias("data"))
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, found = [], []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1)):
+                words = _hashed(t.as_py())
+                if len(words) >= PASSAGE:
+                    found.append(_anchors(words)[0])
+                    keys.append(np.full(len(found[-1]), key, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found).view(np.int64))], names=["key", "anchor"])
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, t in enumerate(b.column(2)):
+                words = _hashed(t.as_py())
+                grams, at = _anchors(words)
+                hot = at[np.isin(grams.view(np.int64), b.column(3)[n].values.to_numpy())]
+                near = np.zeros(len(words) + 1, np.int64)  # windows that hold a repeated anchor
+                np.add.at(near, np.maximum(hot + GRAM - PASSAGE, 0), 1)
+                np.add.at(near, hot + 1, -1)
+                last = len(words) - PASSAGE + 1
+                pos = np.flatnonzero(np.cumsum(near)[:last] > 0)
+                one, two = (_rolled(words, PASSAGE, f)[pos].view(np.int64) for f in _FACTORS)
+                same = [pa.repeat(b.column(c)[n], len(pos)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(pos.astype(np.int32)), pa.array(one), pa.array(two)], names=["key", "rank", "pos", "one", "two"])
+
+    anchors = written(rows.select("__pas_key", "data").mapInArrow(anchored, "key long, anchor long"), "anchors")
+    twice = written(anchors.groupBy("anchor").count().filter("count > 1").select("anchor"), "twice")
+    hot = written(anchors.join(twice, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("hot")), "hot")
+    met = rows.join(hot.withColumnRenamed("key", "__pas_key"), "__pas_key").select("__pas_key", "rank", "data", "hot")
+    windows = written(met.mapInArrow(digested, f"key long, rank {met.schema['rank'].dataType.simpleString()}, pos int, one long, two long"), "windows")
+    place = F.struct(F.col("rank").isNull().alias("last"), "rank", "key", "pos")
+    first = written(windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "first")
+    # Repeated rows give the same windows twice; they are no other place.
+    far = (F.col("key") != F.col("first.key")) | (F.col("pos") >= F.col("first.pos") + PASSAGE)
+    gone = windows.join(first, ["one", "two"]).filter(far).groupBy(F.col("key").alias("__pas_key")).agg(F.collect_set("pos").alias("__pas_gone"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else _without(t, list(map(int, s))) for t, s in zip(texts, starts)], dtype=object)
+
+    done = keyed.join(written(gone, "gone"), "__pas_key", "left")
+    kept = [cut(text, "__pas_gone").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*kept, F.col("__pas_gone").isNotNull().alias(cut_col))

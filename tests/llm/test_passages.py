@@ -1,0 +1,52 @@
+import random
+
+import corpus_pipeline
+from millrace.llm import passages
+
+KIND = "doc_id long, text string, n_chars long"
+
+
+def brute(texts):
+    """Words that stay of every text: those in no later occurrence of fifty words in a row."""
+    first, gone = {}, {i: set() for i, _ in texts}
+    for i, t in sorted((x for x in texts if x[1] is not None)):
+        w = t.lower().split()
+        for p in range(len(w) - 49):
+            j, q = first.setdefault(" ".join(w[p : p + 50]), (i, p))
+            if j != i or p >= q + 50:
+                gone[i].update(range(p, p + 50))
+    return {i: None if t is None else [w for n, w in enumerate(t.split()) if n not in gone[i]] for i, t in texts}
+
+
+def test_passages_within_lines_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = ["w%d" % k for k in range(900)]
+    some = lambda n, ends=" ": "".join(rng.choice(words) + rng.choice(ends) for _ in range(n))
+    shared = [some(n, "  \n") for n in (49, 50, 51, 70, 200)]
+    texts = []
+    for k in range(60):
+        parts = [some(rng.randrange(1, 90), " " * 15 + "\n")]
+        for s in rng.sample(shared, rng.randrange(4)):
+            parts += [s if rng.random() < 0.5 else s.upper().replace(" ", "  "), some(rng.randrange(0, 60))]
+        texts.append((k, "".join(parts)))
+    texts += [(70, None), (71, ""), (72, "again " * 400), (73, shared[4] + shared[4]), (74, "é " * 60)]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in texts], KIND)
+    want = brute(texts)
+    rows = passages.deduplicated(docs).collect()
+    assert len(rows) == len(texts)
+    assert {r.doc_id: None if r.text is None else r.text.split() for r in rows} == want
+    cut = {i for i, t in texts if t is not None and len(want[i]) < len(t.split())}
+    assert {r.doc_id for r in rows if r.cut} == cut and len(cut) > 20
+    assert all(r.text == dict(texts)[r.doc_id] for r in rows if not r.cut)
+    stage = dict(corpus_pipeline.STAGES)["substring dedup"]
+    left = stage(spark, docs, "").collect()
+    assert brute([(r.doc_id, r.text) for r in left]) == {r.doc_id: None if r.text is None else r.text.split() for r in left}
+    assert all(r.text is None or r.n_chars == len(r.text) for r in left)
+    assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_cuts_keep_line_ends():
+    a, b = " ".join(f"a{n}" for n in range(50)), "x y"
+    assert passages._without(f"{b} {a}\nz", [2]) == "x y \nz"
+    assert passages._without(f"{b}\n{a}\nz", [2]) == "x y\nz"
+    assert passages._without(f"{a} z", [0]) == "z" and passages._without(f"{b} {a}", [2]) == "x y "
