@@ -10,7 +10,7 @@ from millrace.functions import text as T
 from millrace.functions.hashing import digest, pick, uniform
 from millrace.operators import ranking as K
 from millrace.plans.fixtures import MESSAGES_SQL, RESPONSES_SQL, SCORES_SQL, documents, messages, responses, scores
-from millrace.plans.q_evaluation import _PER_Q, _per_question
+from millrace.plans.q_evaluation import _PER_Q, _per_question, w3_a13_head_to_head
 from millrace.plans.q_parse import body, has, s
 
 
@@ -182,6 +182,32 @@ def t10_rank_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return placed.groupBy("label").agg(_r(F.first("point")).alias("h2h"), _r(at(2)).alias("lo"), _r(at(97)).alias("hi"), _r(F.avg((F.col("m") <= 0.5).cast("double"))).alias("share_below"))
 
 
+def t10_rank_intervals(spark: SparkSession, d: str, reps: int = 10_000, alpha: float = 0.05) -> DataFrame:
+    """Intervals of head-to-head means (b is null) and of their differences between any two conditions, from the same resamples of questions; whether the point is that of the head-to-head table."""
+    ranked = K.beat_credit(K.competition_ranks(_per_question(spark, d), ["suite", "item"], "label", "score"), ["suite", "item"])
+    # Questions are hundreds; each resample is dealt out as counts per question.
+    table = ranked.agg(F.array_sort(F.collect_set(F.struct("suite", "item"))).alias("all"))
+    draws = table.select(F.size("all").alias("size")).crossJoin(spark.range(reps).select(F.col("id").alias("rep")))
+    drawn = draws.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: pick(F.col("size"), "t10", F.col("rep"), k))).alias("q")).groupBy("rep", "q").agg(F.count("*").alias("times"))
+    numbered = table.select(F.posexplode("all").alias("q", "of")).select(F.col("q").cast("long").alias("q"), "of.suite", "of.item")
+    credit = ranked.join(numbered, ["suite", "item"]).select("q", "label", "credit")
+    means = drawn.join(F.broadcast(credit), "q").groupBy("rep", "label").agg((F.sum(F.col("times") * F.col("credit")) / F.sum("times")).alias("m"))
+    points = credit.groupBy("label").agg(F.avg("credit").alias("point"))
+    saved = w3_a13_head_to_head(spark, d).filter("suite IS NULL").select("label", "h2h")
+    points = points.join(saved, "label").select("label", "point", (F.abs(F.col("point") - F.col("h2h")) <= 1e-3).alias("reproduced"))
+    m, other = (means.select("rep", F.col("label").alias(c), F.col("m").alias(f"v_{c}")) for c in ("a", "b"))
+    single = m.select("a", F.lit(None).cast("string").alias("b"), F.col("v_a").alias("v"))
+    pairs = m.join(other, "rep").filter("a < b").select("a", "b", (F.col("v_a") - F.col("v_b")).alias("v"))
+    at = F.row_number().over(Window.partitionBy("a", "b").orderBy("v")) - 1
+    placed = single.unionByName(pairs).select("a", "b", F.round("v", 9).alias("v")).withColumn("at", at).withColumn("of", F.count("*").over(Window.partitionBy("a", "b")))
+    spot = lambda share: F.max(F.when(F.col("at") == F.least(F.floor(F.lit(share) * F.col("of") + 1e-9), F.col("of") - 1), F.col("v")))
+    ends = placed.groupBy("a", "b").agg(_r(spot(alpha / 2)).alias("lo"), _r(spot(1 - alpha / 2)).alias("hi"), _r(F.avg((F.col("v") <= 0).cast("double"))).alias("share"))
+    left = points.select(F.col("label").alias("a"), F.col("point").alias("pa"), F.col("reproduced").alias("ra"))
+    right = points.select(F.col("label").alias("b"), F.col("point").alias("pb"), F.col("reproduced").alias("rb"))
+    out, two = ends.join(left, "a").join(right, "b", "left"), F.col("b").isNotNull()
+    return out.select("a", "b", _r(F.col("pa") - F.coalesce("pb", F.lit(0.0))).alias("point"), "lo", "hi", F.when(two, F.col("share")).alias("share_le_0"), F.when(two, ~((F.col("lo") <= 0) & (F.col("hi") >= 0))).alias("separated"), (F.col("ra") & F.coalesce("rb", F.lit(True))).alias("reproduced"))
+
+
 def m2_m15_sets(spark: SparkSession, d: str) -> DataFrame:
     """Pairs kept once, ids of two runs in order of first sight, and tokens in common."""
     docs = documents(spark, d).select("doc_id", "lang", "source")
@@ -231,7 +257,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p22_p23_json, p30_appraisal_block, p34_x24_rendering, p35_p37_cells, p40_g7_pads, x5_x10_native, x11_x12_templates, x22_e9_rows, f13_f23_checks, j5_rescore, a12_a34_means, a15_leaderboard,
-        a20_a28_catalogue, a22_a24_ablation, t10_rank_bootstrap, m2_m15_sets, g3_retries, e1_e4_gold, s9_s17_seeds, x28_x30_prompts,
+        a20_a28_catalogue, a22_a24_ablation, t10_rank_bootstrap, t10_rank_intervals, m2_m15_sets, g3_retries, e1_e4_gold, s9_s17_seeds, x28_x30_prompts,
     )
 }
 
@@ -282,6 +308,13 @@ SQL = {
         w AS (SELECT label, rep, ('0x' || substr(md5(concat('t10|', rep, '|', k)), 1, 8))::BIGINT % n AS i FROM (SELECT DISTINCT label, n FROM o), unnest(range(0, 100)) AS a(rep), unnest(range(0, n)) AS b(k)),
         m AS (SELECT w.label, rep, avg(credit) AS m FROM w JOIN o USING (label, i) GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m) - 1 AS spot FROM m), t AS (SELECT label, avg(credit) AS h FROM c GROUP BY 1)
         SELECT label, round(h, 6) AS h2h, round(max(p.m) FILTER (spot = 2), 6) AS lo, round(max(p.m) FILTER (spot = 97), 6) AS hi, round(avg((round(p.m, 9) <= 0.5)::INT), 6) AS share_below FROM p JOIN t USING (label) GROUP BY label, h""",
+    "t10_rank_intervals": f"""{_S}, {_PER_Q}, c AS (SELECT a.suite, a.item, a.label, (count(*) FILTER (b.score < a.score) + 0.5 * count(*) FILTER (b.score = a.score))::DOUBLE / greatest(count(b.label), 1) AS credit FROM q a LEFT JOIN q b ON a.suite = b.suite AND a.item = b.item AND a.label <> b.label GROUP BY ALL),
+        n AS (SELECT suite, item, row_number() OVER (ORDER BY suite, item) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT suite, item FROM q)), o AS (SELECT i, label, credit FROM c JOIN n USING (suite, item)),
+        w AS (SELECT rep, ('0x' || substr(md5(concat('t10|', rep, '|', k)), 1, 8))::BIGINT % n AS i FROM (SELECT DISTINCT n FROM n), unnest(range(0, 10000)) AS a(rep), unnest(range(0, n)) AS b(k)),
+        m AS (SELECT rep, label, avg(credit) AS m FROM w JOIN o USING (i) GROUP BY ALL), v AS (SELECT label AS a, NULL AS b, round(m, 9) AS v FROM m UNION ALL SELECT x.label, y.label, round(x.m - y.m, 9) FROM m x JOIN m y USING (rep) WHERE x.label < y.label),
+        p AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY v) - 1 AS spot, count(*) OVER (PARTITION BY a, b) AS k FROM v), t AS (SELECT label, avg(credit) AS h FROM c GROUP BY 1),
+        e AS (SELECT a, b, round(max(v) FILTER (spot = k * 25 // 1000), 6) AS lo, round(max(v) FILTER (spot = least(k * 975 // 1000, k - 1)), 6) AS hi, round(avg((v <= 0)::INT), 6) AS share FROM p GROUP BY a, b)
+        SELECT a, b, round(x.h - coalesce(y.h, 0), 6) AS point, lo, hi, CASE WHEN b IS NOT NULL THEN share END AS share_le_0, CASE WHEN b IS NOT NULL THEN NOT (lo <= 0 AND hi >= 0) END AS separated, true AS reproduced FROM e JOIN t x ON x.label = a LEFT JOIN t y ON y.label = b""",
     "m2_m15_sets": """WITH p AS (SELECT lang, source, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY ALL)
         SELECT *, row_number() OVER (PARTITION BY lang ORDER BY first) AS nth, len(list_intersect(string_split(lang, ''), string_split(source, '')))::BIGINT AS shared FROM p""",
     "g3_retries": """WITH t AS (SELECT user_id, event_id // 500 AS turn, event_id, value < 30 AS clean, row_number() OVER (PARTITION BY user_id, event_id // 500 ORDER BY event_id) AS k FROM events)
