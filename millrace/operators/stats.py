@@ -92,7 +92,7 @@ def cohens_h(p: Column, q: Column) -> Column:
     return 2 * F.asin(F.sqrt(p)) - 2 * F.asin(F.sqrt(q))
 
 
-def paired_bootstrap(pairs: DataFrame, by: str, key: str, a: str, b: str, reps: int = 500, alpha: float = 0.05, seed: str = "42") -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, by: str, key: str, a: str, b: str, reps: int = 2000, alpha: float = 0.05, seed: str = "42") -> DataFrame:
     """by, n, delta (mean b - a), lo, hi: percentile interval over reps resamples of the shared items.
 
     Items of a group are one array (item-level tables: hundreds), drawn from by keyed hashes; the replicates are dealt

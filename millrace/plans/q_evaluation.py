@@ -170,12 +170,20 @@ def t8_a31_consistency(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def t9_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Percentile intervals of each condition's mean difference from 'click' over shared items."""
+def _click_pairs(spark: SparkSession, d: str) -> DataFrame:
     per = scores(spark, d).groupBy("label", "item").agg(F.avg("rule_score").alias("score"))
     base = per.filter("label = 'click'").select("item", F.col("score").alias("base"))
-    pairs = per.filter("label <> 'click'").join(base, "item")
-    return S.paired_bootstrap(pairs, "label", "item", "base", "score", 200).select("label", "n", *[_r(F.col(c)).alias(c) for c in ("delta", "lo", "hi")])
+    return per.filter("label <> 'click'").join(base, "item")
+
+
+def t9_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Percentile intervals of each condition's mean difference from 'click' over shared items, of 200 resamples as its SQL has it."""
+    return S.paired_bootstrap(_click_pairs(spark, d), "label", "item", "base", "score", 200).select("label", "n", *[_r(F.col(c)).alias(c) for c in ("delta", "lo", "hi")])
+
+
+def t9_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The same intervals of the reference's 2,000 resamples."""
+    return S.paired_bootstrap(_click_pairs(spark, d), "label", "item", "base", "score").select("label", "n", *[_r(F.col(c)).alias(c) for c in ("delta", "lo", "hi")])
 
 
 def t15_correlations(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a7_j4_principles, a8_a10_suites, a11_attack_rollup, a3_a5_depth_tools_cost, a25_percentiles, j1_t14_significance, j2_e7_compare, j3_k4_matrix, w3_a13_head_to_head, a14_grades,
-        j12_duels, w5_w9_ladder, t1_t7_agreement, t8_a31_consistency, t9_bootstrap, t15_correlations, t16_rouge, w1_w2_drift, w7_rolling, w8_bursts, a16_honesty,
+        j12_duels, w5_w9_ladder, t1_t7_agreement, t8_a31_consistency, t9_bootstrap, t9_intervals, t15_correlations, t16_rouge, w1_w2_drift, w7_rolling, w8_bursts, a16_honesty,
     )
 }
 
@@ -321,6 +329,13 @@ SQL = {
         o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m) - 1 AS spot FROM m),
         t AS (SELECT label, count(*) AS n, avg(x) AS delta FROM d GROUP BY label)
         SELECT label, n, round(delta, 6) AS delta, round(max(o.m) FILTER (spot = 5), 6) AS lo, round(max(o.m) FILTER (spot = 195), 6) AS hi FROM t JOIN o USING (label) GROUP BY label, n, delta""",
+    "t9_intervals": f"""{_S}, p AS (SELECT label, item, avg(rule_score) AS s FROM scores GROUP BY ALL),
+        d AS (SELECT a.label, row_number() OVER (PARTITION BY a.label ORDER BY item) - 1 AS i, count(*) OVER (PARTITION BY a.label) AS n, a.s - z.s AS x FROM p a JOIN p z USING (item) WHERE z.label = 'click' AND a.label <> 'click'),
+        w AS (SELECT DISTINCT label, n, rep, k, ('0x' || substr(md5(concat('42|', rep, '|', k)), 1, 8))::BIGINT % n AS i FROM (SELECT DISTINCT label, n FROM d), unnest(range(0, 2000)) AS a(rep), unnest(range(0, n)) AS b(k)),
+        m AS (SELECT w.label, rep, avg(x) AS m FROM w JOIN d USING (label, i) GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m) - 1 AS spot FROM m),
+        t AS (SELECT label, count(*) AS n, avg(x) AS delta FROM d GROUP BY label)
+        SELECT label, n, round(delta, 6) AS delta, round(max(o.m) FILTER (spot = 50), 6) AS lo, round(max(o.m) FILTER (spot = 1950), 6) AS hi FROM t JOIN o USING (label) GROUP BY label, n, delta""",
     "t15_correlations": f"""{_S}, p AS (SELECT label, item, principle, avg(rule_score) AS s FROM scores GROUP BY ALL), w AS (SELECT label, item, avg(s) AS mean, max(s) AS most, min(s) AS least FROM p GROUP BY ALL),
         l AS (SELECT label, item, 'mean' AS dim, mean AS v FROM w UNION ALL SELECT label, item, 'most', most FROM w UNION ALL SELECT label, item, 'least', least FROM w)
         SELECT a.dim AS d1, b.dim AS d2, round(corr(a.v, b.v), 6) AS r, count(*) AS n, abs(round(corr(a.v, b.v), 6)) >= 0.9 AS redundant FROM l a JOIN l b USING (label, item) GROUP BY ALL""",
