@@ -2,10 +2,11 @@
 
 The text is tokens: runs of TOKEN characters, and runs of other marks between white space. A token is
 tagged begin, inside or outside of a secret by a conditional random field over its shape, the
-neighbouring words and features of the file; the best path is decoded by Viterbi. Only opaque tokens (OPAQUE
-characters or more, with a letter and a digit) can be part of a secret; all others are outside by the
-model's definition, so that decoding each run of neighbouring opaque tokens by itself gives the best
-path of the whole text, in time linear in it.
+neighbouring words and features of the file; the best path is decoded by Viterbi. Only opaque tokens can be part
+of a secret: those of OPAQUE characters or more with a letter and a digit or with a turn from a small to a
+capital letter, and the FOLLOW tokens after a word that asks for a secret, whatever their characters. All others
+are outside by the model's definition, so that decoding each run of neighbouring opaque tokens by itself gives
+the best path of the whole text, in time linear in it.
 
 The field is trained here, on generated lines of known truth (TRAIN_LINES of them, from SEED): it needs no
 pass over the corpus and is the same for every input. Its spans are added where no pattern's span lies.
@@ -52,6 +53,11 @@ BETWEEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[^\x20\x09-\x0DA-Za-z0-9+/_.\-]+")
 GAP = re.compile(r"[.\-/]*[\x20\x09-\x0D]+")
 RUN_CHARS = frozenset(string.ascii_letters + string.digits + "+/_.-")
 TRIGGERS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
+ASKS = re.compile("|".join(TRIGGERS), re.IGNORECASE | re.ASCII)
+#: A turn from a small to a capital letter, which words of prose don't have.
+TURNS = re.compile(r"[a-z][A-Z]")
+#: Tokens that follow a word that asks for a secret, and are tagged whatever their characters.
+FOLLOW = 3
 OUT, BEGIN, INSIDE = range(3)
 
 
@@ -64,22 +70,48 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _stripped(text: str, start: int, end: int) -> int:
+    while end > start and text[end - 1] in ".-/":
+        end -= 1
+    return end
+
+
 def opaque_tokens(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the tokens that may be part of a secret: found from their digits, so that prose costs one scan."""
-    found, done = [], 0
+    """(start, end) of the tokens that may be part of a secret: found from their digits, turns of case and words before, so that prose costs three scans."""
+    found, done = {}, 0
     for m in DIGITS.finditer(text):
         start = m.start()
         if start < done:
             continue
         while start > done and text[start - 1] in RUN_CHARS:
             start -= 1
-        done = end = RUN.match(text, start).end()
-        while end > start and text[end - 1] in ".-/":
-            end -= 1
+        done = RUN.match(text, start).end()
+        end = _stripped(text, start, done)
         token = text[start:end]
         if end - start >= OPAQUE and not token.isdigit() and any(c.isalpha() for c in token):
-            found.append((start, end))
-    return found
+            found[start] = end
+    done = 0
+    for m in TURNS.finditer(text):
+        start = m.start()
+        if start < done:
+            continue
+        while start > done and text[start - 1] in RUN_CHARS:
+            start -= 1
+        done = RUN.match(text, start).end()
+        end = _stripped(text, start, done)
+        if end - start >= OPAQUE:
+            found[start] = end
+    for m in ASKS.finditer(text):
+        at, end = RUN.match(text, m.start()).end(), m.end() + REACH
+        for _ in range(FOLLOW):
+            token = RUN.search(text, at, end)
+            if token is None:
+                break
+            at = RUN.match(text, token.start()).end()
+            stop = _stripped(text, token.start(), at)
+            if stop > token.start() and not ASKS.search(text, token.start(), stop):
+                found[token.start()] = stop
+    return sorted(found.items())
 
 
 def _bucket(x: float, *edges: float) -> int:
@@ -110,9 +142,20 @@ def _shape(token: str) -> list[str]:
         f"hex={all(c in '0123456789abcdef' for c in token)},{size}",
         f"head={head[0].lower() if head else ''}",
         f"start={token[:2] if token[:2].isalpha() else ''}",
+        *_spelling(token, classes),
     ]
 
 
+def _spelling(token: str, classes: str) -> list[str]:
+    """Whether letters read like a word: shares of vowels, runs of consonants, turns of case, and length of short tokens."""
+    letters = [c for c in token if c.isalpha()]
+    vowels = _bucket(sum(c in "aeiouyAEIOUY" for c in letters) / max(1, len(letters)), 0.15, 0.25, 0.33, 0.42)
+    run = _bucket(max(map(len, re.split(r"[^b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+", token))), 3, 4, 5, 7)
+    cased = "lower" if token.islower() else "upper" if token.isupper() else "title" if token.istitle() else "mixed"
+    turns = _bucket(len(TURNS.findall(token)), 1, 2, 3, 5)
+    return [f"vowels={classes},{vowels}", f"consonants={classes},{run}", f"cased={cased},{vowels},{run}", f"turns={cased},{turns}", f"short={classes},{min(len(token), 14)}"]
+
+
 def _word(token: str | None) -> str:
     if token is None:
         return "none"
@@ -224,6 +267,10 @@ class Field:
         return path[::-1]
 
 
+#: Words that stand near those that ask for a secret.
+COMMON = "the of and to in is was for with that this must should required invalid missing expired wrong changed reset your our their it be by from when after before please enter forgot never none null true false people through strength length rhythm thoughts".split()
+
+
 def _truth_line(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
     """A generated line and where its secrets are."""
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
@@ -259,6 +306,9 @@ def _truth_line(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
             lambda: f"x{rng.randrange(9)}+y{rng.randrange(9)}+z{rng.randrange(9)}+w{rng.randrange(9)}",
         ]
     )
+    near = rng.choice([lambda: pick(word[:52], rng.randrange(12, 25)), lambda: pick(low, rng.randrange(14, 21)), lambda: pick(num, rng.randrange(6, 17)), lambda: pick(word, rng.randrange(6, 12)), lambda: pick(low, 2) + pick(num, 2) + pick(word, 3)])
+    spoken = lambda n: "".join(rng.choice(["", *"bcdfglmnprst", "st", "tr", "ch"]) + rng.choice("aeiou") + rng.choice(["", "", *"nrslt"]) for _ in range(n))
+    said = lambda: rng.choice([spoken(rng.randrange(1, 6)), rng.choice(COMMON)]) if rng.random() < 0.8 else spoken(rng.randrange(2, 5)).title() + (spoken(2).title() if rng.random() < 0.5 else "")
     prose = lambda: [pick(low, rng.randrange(1, 9)) for _ in range(rng.randrange(0, 6))]
     asks = rng.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth", "access_key", "client_secret", "credentials", "key"])
     line, spans = " ".join(prose()), []
@@ -272,12 +322,13 @@ def _truth_line(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
 
     kind = rng.random()
     if kind < 0.35:
-        s = secret()
+        s = near() if rng.random() < 0.35 else secret()
         quote = rng.choice(["", '"', "'"])
         add(asks + rng.choice(["=", " = ", ": ", ":", " is ", " "]) + quote + s + quote, s)
     elif kind < 0.5:
-        s = secret()
-        add(rng.choice(["", "Bearer ", "Authorization: Bearer ", "use ", "-H "]) + s, s)
+        lead = rng.choice(["", "Bearer ", "Authorization: Bearer ", "use ", "-H "])
+        s = pick(word[:52], rng.randrange(16, 33)) if rng.random() < 0.25 else secret()
+        add(lead + s, s)
     elif kind < 0.55:
         s, t = secret(), secret()
         add(f"{asks}: {s} {t}", f"{s} {t}")
@@ -285,8 +336,10 @@ def _truth_line(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
         for _ in range(rng.randrange(1, 4)):
             add(rng.choice(["", "version ", "see ", "file=", "id: ", "at ", "user ", "http://", "contact@", "commit "]) + plain())
             line = " ".join([line, *prose()])
-    else:
+    elif kind < 0.94:
         add(asks + rng.choice([" ", " was ", " in "]) + plain())
+    else:
+        add(rng.choice(["the ", "a ", "", "my "]) + rng.choice([asks, "author", "keyboard", "passage", "monkey", "authority"]) + rng.choice([" ", " is ", " was ", " of ", ", ", ". ", ": "]) + " ".join(said() for _ in range(rng.randrange(1, 5))))
     line = " ".join([line, *prose()]) + rng.choice(["", ".", ","])
     return line, spans
 
