@@ -9,7 +9,7 @@ are outside by the model's definition, so that decoding each run of neighbouring
 the best path of the whole text, in time linear in it.
 
 The field is trained here, on generated lines of known truth (TRAIN_LINES of them, from SEED): it needs no
-pass over the corpus and is the same for every input. Its spans are added where no pattern's span lies.
+pass over the corpus and is the same for every input. The parts of its spans outside of the patterns' are added.
 
 Defined results: a null or empty text has no spans; repeated rows and null ids are carried; an empty table
 gives no rows. Offsets are code points, ends exclusive. Whole texts are scanned. scanned() reads id and text only;
@@ -386,15 +386,22 @@ def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
 
 
 def all_spans(text: str, field: Field) -> list[tuple[str, int, int]]:
-    """Spans of the patterns, and those of the field that meet none of them; by start, then kind."""
+    """Spans of the patterns, and the parts of the field's that lie outside of them (white space at their ends aside); by start, then kind."""
     found = pattern_spans(text)
-    more, at, reach = [], 0, 0
+    more, k = [], 0
     for start, end in field_spans(text, field):
-        while at < len(found) and found[at][1] < end:
-            reach = max(reach, found[at][2])
-            at += 1
-        if reach <= start:
-            more.append(("crf", start, end))
+        # The field's spans go on by start, so patterns that end before one are behind for good.
+        while k < len(found) and found[k][2] <= start:
+            k += 1
+        at, n, met = start, k, []
+        while n < len(found) and found[n][1] < end:
+            met.append(found[n][1:])
+            n += 1
+        for a, b in [*met, (end, end)]:
+            part = text[at : max(at, min(a, end))]
+            if part.strip():
+                more.append(("crf", at + len(part) - len(part.lstrip()), at + len(part.rstrip())))
+            at = max(at, b)
     return sorted(found + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -24,3 +24,19 @@ def test_secrets_of_any_characters_after_asking_words(field, chars, size):
 def test_words_near_asking_words_stay(field):
     text = "The key idea is that every author should check JavaScript and getElementById. Your password is required; token missing, authentication failed."
     assert S.all_spans(text, field) == []
+
+
+def test_parts_of_the_field_outside_patterns_stay(monkeypatch):
+    text = "x password: abcdef12 ghijkl34 y " + "0a" * 12 + "-Tail99"
+    a, b, c = text.index("abcdef"), text.index("ghijkl"), text.index("0a0a")
+    monkeypatch.setattr(S, "field_spans", lambda t, f: [(a, b + 8), (c, len(t))])
+    spans = S.all_spans(text, None)
+    assert [s for s in spans if s[0] == "crf"] == [("crf", b, b + 8), ("crf", c + 24, len(text))]
+    clean = S.without(text, spans)
+    assert "abcdef" not in clean and "ghijkl" not in clean and "Tail" not in clean and clean.startswith("x [SECRET]")
+
+
+def test_field_inside_a_pattern_adds_nothing(monkeypatch):
+    text = "token = 'abcdef99'"
+    monkeypatch.setattr(S, "field_spans", lambda t, f: [(text.index("abc"), text.index("abc") + 8)])
+    assert [k for k, _, _ in S.all_spans(text, None)] == ["assign"]
