@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that parts words: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shuffle files go when the query that made them ends; its written rows are what later ones read.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def whole_text(name: str = "text") -> Column:
@@ -18,23 +20,44 @@ def whole_text(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; where unset (tests), a temporary one of this session."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; on a cluster that raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read back from there.
 
-    It cuts lineage: an executor lost later costs no recomputation. The files go when the application ends.
+    It cuts lineage: an executor lost later costs no recomputation. The files go when the application ends, or
+    by dropped().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of written() tables that nothing reads any more."""
+    for table in tables:
+        at, files = _files(table.sparkSession, table.written_path)
+        files.delete(at, True)

@@ -20,20 +20,35 @@ SELECT *, 'web.2' AS policy, fail_bits = 0 AS kept, (fail_bits & 3) <> 0 AS base
 """
 
 OP9 = r"""
-WITH l AS (SELECT doc_id, i - 1 AS pos, string_split(text, chr(10)) AS ls, string_split(text, chr(10))[i] AS line
-           FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
-n AS (SELECT doc_id, pos, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit,
-             coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at,
-             length(line) AS size FROM l),
-k AS (SELECT *, row_number() OVER (PARTITION BY md5(unit) ORDER BY doc_id, pos) AS nth
-      FROM n WHERE unit <> '' AND length(unit) - length(replace(unit, ' ', '')) >= 4),
-gone AS (SELECT doc_id, list(pos ORDER BY pos) AS places, count(*) AS n,
-                string_agg(concat(start_at, ':', start_at + size), ',' ORDER BY pos) AS spans
-         FROM k WHERE nth > 1 GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN n IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)),
-           lambda x, i: NOT list_contains(g.places, i - 1)), chr(10)) END AS text,
-       coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, '') AS removed_spans
-FROM documents d LEFT JOIN gone g USING (doc_id)
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, substr(md5(text), 1, 16), text) AS r, doc_id, text
+           FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT r, regexp_extract(text, '^[\x20\x09-\x0D]*') AS head, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ps FROM d),
+p AS (SELECT r, i, head, ps[i] AS piece, len(ps) AS n, regexp_extract(ps[i], '^[^\x20\x09-\x0D]+') AS word FROM s, unnest(range(1, len(ps) + 1)) AS u(i)),
+w AS (SELECT *, lower(word) AS low,
+             length(head) + coalesce(sum(length(piece)) OVER earlier, 0) AS start_at,
+             length(head) - length(replace(head, chr(10), '')) + coalesce(sum(length(piece) - length(replace(piece, chr(10), ''))) OVER earlier, 0) AS line
+      FROM p WINDOW earlier AS (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lines AS (SELECT r, line, md5(string_agg(low, ' ' ORDER BY i)) AS k FROM w GROUP BY r, line HAVING count(*) >= 15),
+later_lines AS (SELECT r, line FROM (SELECT r, line, row_number() OVER (PARTITION BY k ORDER BY r, line) AS nth FROM lines) WHERE nth > 1),
+lists AS (SELECT r, list(low ORDER BY i) AS ws FROM w GROUP BY r HAVING count(*) >= 50),
+passages AS (SELECT r, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS k FROM lists, unnest(range(1, len(ws) - 48)) AS u(i)),
+firsts AS (SELECT k, min(struct_pack(r := r, i := i)) AS f FROM passages GROUP BY k HAVING count(*) > 1),
+later AS (SELECT r, i FROM passages JOIN firsts USING (k) WHERE r <> f.r OR i >= f.i + 50),
+gone AS (SELECT r, i + j AS i FROM later, unnest(range(0, 50)) AS u(j) UNION SELECT r, i FROM w JOIN later_lines USING (r, line)),
+flagged AS (SELECT w.*, g.i IS NOT NULL AS cut, lag(piece) OVER (PARTITION BY w.r ORDER BY w.i) AS before, max(g.i IS NOT NULL) OVER (PARTITION BY w.r) AS any_cut
+            FROM w LEFT JOIN gone g ON w.r = g.r AND w.i = g.i),
+f AS (SELECT * FROM flagged WHERE any_cut),
+ends AS (SELECT r, any_value(head) AS head, arg_max(piece, i) AS last_piece FROM f GROUP BY r),
+runs AS (SELECT r, min(start_at) AS a, max(start_at + length(word)) AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY r ORDER BY i) AS run FROM f WHERE cut) GROUP BY r, run),
+spans AS (SELECT r, count(*) AS n, string_agg(concat(a::BIGINT, ':', b::BIGINT), ',' ORDER BY a) AS spans FROM runs GROUP BY r),
+kept AS (SELECT f.r, i, n, piece, lead(i) OVER (PARTITION BY f.r ORDER BY i) AS next_i, lead(before) OVER (PARTITION BY f.r ORDER BY i) AS next_before, last_piece
+         FROM f JOIN ends e ON f.r = e.r WHERE NOT cut),
+joined AS (SELECT r, string_agg(piece || CASE WHEN coalesce(next_i, n + 1) > i + 1 AND contains(coalesce(next_before, last_piece), chr(10)) AND NOT contains(piece, chr(10))
+                                              THEN chr(10) ELSE '' END, '' ORDER BY i) AS left_text FROM kept GROUP BY r)
+SELECT o.doc_id, CASE WHEN x.n IS NULL THEN o.text ELSE e.head || coalesce(j.left_text, '') END AS text,
+       coalesce(x.n, 0)::BIGINT AS n_removed, coalesce(x.spans, '') AS removed_spans
+FROM documents o LEFT JOIN d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND o.text = d.text
+LEFT JOIN spans x ON x.r = d.r LEFT JOIN ends e ON e.r = d.r LEFT JOIN joined j ON j.r = d.r
 """
 
 
