@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import near_copies, packing, passages, secret_scan, simhash, substring, weak_quality
+from millrace.llm import near_copies, packing, secret_scan, simhash, substring, weak_quality
 from millrace.llm.shared import written
 
 
@@ -56,22 +56,15 @@ def all_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return loose_copies(spark, written(near_duplicates(spark, docs, sf_dir), "by-fingerprint"), sf_dir)
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document (or the same) has; those left without a word go."""
-    cut = substring.deduplicated(docs, spans_col="__spans")
-    lost = (F.size("__spans") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return _counted(cut.filter(~F.coalesce(lost, F.lit(False))).drop("__spans"))
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines and passages that an earlier document (or place) has; those left without a word go.
 
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of fifty words that an earlier document (or place) has; those left without a word go."""
-    cut = passages.deduplicated(docs, cut_col="__cut")
-    return _counted(cut.filter(~F.col("__cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut"))
-
-
-def all_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines, then passages that start or end within lines."""
-    return repeated_passages(spark, written(repeated_lines(spark, docs, sf_dir), "by-line"), sf_dir)
+    Of rows with equal id and text each is cut alike; a null text stays null, and a text that had no word from the start stays.
+    An empty table gives no rows. Columns keep their names, whatever these are but those that begin with __cut_.
+    """
+    cut = substring.deduplicated(docs, spans_col="__cut_spans")
+    lost = (F.size("__cut_spans") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return _counted(cut.filter(~F.coalesce(lost, F.lit(False))).drop("__cut_spans"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +80,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("SimHash near-dedup", all_near_duplicates),
-    ("substring dedup", all_repeats),
+    ("substring dedup", repeats),
     ("secret scans", secrets),
     ("packing", packed),
 ]
