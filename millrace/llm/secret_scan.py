@@ -1,15 +1,15 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field.
 
-The text is tokens: runs of TOKEN characters, and runs of other marks between white space. A token is
-tagged begin, inside or outside of a secret by a conditional random field over its shape, the
-neighbouring words and features of the file; the best path is decoded by Viterbi. Only opaque tokens can be part
-of a secret: those of OPAQUE characters or more with a letter and a digit or with a turn from a small to a
-capital letter, and the FOLLOW tokens after a word that asks for a secret, whatever their characters. All others
-are outside by the model's definition, so that decoding each run of neighbouring opaque tokens by itself gives
-the best path of the whole text, in time linear in it.
+The text is tokens: runs of letters, digits, underscores and + (with . / - between them), and runs of other marks. Every
+token of a line is tagged begin, inside or outside of a secret by a linear-chain conditional random field over its shape, the
+neighbouring tokens and features of the file; the best path of the line is decoded by Viterbi.
 
-The field is trained here, on generated lines of known truth (TRAIN_LINES of them, from SEED): it needs no
-pass over the corpus and is the same for every input. The parts of its spans outside of the patterns' are added.
+All features but the file's belong to one token and how far it is from the tagged one, so a token's part of the scores is kept by its
+spelling (KNOWN spellings at most) and a text's scores are sums of rows. A line goes through Viterbi only if a token of it could gain
+by being in a secret, all steps taken at their best: on all other lines outside throughout is the best path, and that is exact.
+
+The field is trained here, on generated lines of known truth (TRAIN_LINES of them, from SEED): it needs no pass over the corpus and is
+the same for every input. The parts of its spans outside of the patterns' are added.
 
 Defined results: a null or empty text has no spans; repeated rows and null ids are carried; an empty table
 gives no rows. Offsets are code points, ends exclusive. Whole texts are scanned. scanned() reads id and text only;
@@ -39,25 +39,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MASK = "[SECRET]"
 
-OPAQUE = 8
-TRAIN_LINES = 3000
-EPOCHS = 6
+TRAIN_LINES = 8000
+EPOCHS = 5
 SEED = 11
-#: Neighbouring words are looked for within so many characters on either side.
-REACH = 48
-
-RUN = re.compile(r"[A-Za-z0-9+/_.\-]+")
-DIGITS = re.compile(r"[0-9]+")
-BETWEEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[^\x20\x09-\x0DA-Za-z0-9+/_.\-]+")
-#: What may lie between neighbours: marks that end a token don't count as part of a secret.
-GAP = re.compile(r"[.\-/]*[\x20\x09-\x0D]+")
-RUN_CHARS = frozenset(string.ascii_letters + string.digits + "+/_.-")
+#: Spellings whose parts of the scores one worker keeps.
+KNOWN = 400_000
+
+#: A token, with the blank before it, or the end of a line.
+TOKEN = re.compile(r"\n|[\x20\x09\x0B-\x0D]?(?:[\w+](?:[\w+/.\-]*[\w+])?|[^\w+\x20\x09-\x0D]+)")
 TRIGGERS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
 ASKS = re.compile("|".join(TRIGGERS), re.IGNORECASE | re.ASCII)
+#: So many tokens on, a word that asks for a secret is felt.
+FELT = 4
 #: A turn from a small to a capital letter, which words of prose don't have.
 TURNS = re.compile(r"[a-z][A-Z]")
-#: Tokens that follow a word that asks for a secret, and are tagged whatever their characters.
-FOLLOW = 3
+CONSONANTS = re.compile(r"[^b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+")
+#: Last marks before a token that tell something of it.
+SIGNS = "=:@\"'`"
 OUT, BEGIN, INSIDE = range(3)
 
 
@@ -70,122 +68,115 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _stripped(text: str, start: int, end: int) -> int:
-    while end > start and text[end - 1] in ".-/":
-        end -= 1
-    return end
+def _bucket(x: float, *edges: float) -> int:
+    return sum(x >= e for e in edges)
 
 
-def opaque_tokens(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the tokens that may be part of a secret: found from their digits, turns of case and words before, so that prose costs three scans."""
-    found, done = {}, 0
-    for m in DIGITS.finditer(text):
-        start = m.start()
-        if start < done:
-            continue
-        while start > done and text[start - 1] in RUN_CHARS:
-            start -= 1
-        done = RUN.match(text, start).end()
-        end = _stripped(text, start, done)
-        token = text[start:end]
-        if end - start >= OPAQUE and not token.isdigit() and any(c.isalpha() for c in token):
-            found[start] = end
-    done = 0
-    for m in TURNS.finditer(text):
-        start = m.start()
-        if start < done:
-            continue
-        while start > done and text[start - 1] in RUN_CHARS:
-            start -= 1
-        done = RUN.match(text, start).end()
-        end = _stripped(text, start, done)
-        if end - start >= OPAQUE:
-            found[start] = end
-    for m in ASKS.finditer(text):
-        at, end = RUN.match(text, m.start()).end(), m.end() + REACH
-        for _ in range(FOLLOW):
-            token = RUN.search(text, at, end)
-            if token is None:
-                break
-            at = RUN.match(text, token.start()).end()
-            stop = _stripped(text, token.start(), at)
-            if stop > token.start() and not ASKS.search(text, token.start(), stop):
-                found[token.start()] = stop
-    return sorted(found.items())
+#: Bucket of a token's size.
+SIZES = [_bucket(n, 4, 6, 8, 10, 12, 16, 20, 32) for n in range(33)]
+VOWELS = "aeiouyàáâäèéêëìíîïòóôöùúûü"
+NO_VOWELS = str.maketrans("", "", VOWELS + VOWELS.upper())
+NO_DIGITS = str.maketrans("", "", string.digits)
 
 
-def _bucket(x: float, *edges: float) -> int:
-    return sum(x >= e for e in edges)
+def kind_of(token: str) -> str:
+    """Classes of characters and size, in one word."""
+    size = SIZES[min(len(token), 32)]
+    if token.isalpha():
+        return f"{'lower' if token.islower() else 'title' if token.istitle() else 'upper' if token.isupper() else 'mixed'}{size}"
+    if not any(map(str.isalnum, token)):
+        return f"mark{min(len(token), 3)}"
+    cased = "" if token.isdigit() else "lower" if token == token.lower() else "upper" if token == token.upper() else "title" if token[0].isupper() and token[1:] == token[1:].lower() else "mixed"
+    digits = "1" if any(map(str.isdigit, token)) else ""
+    return f"{cased}{digits}{'' if token.isalnum() else '.'}{size}"
+
+
+def _spelling(token: str, kind: str) -> tuple[str, int, int]:
+    """The kind, and how a token of letters reads: its share of vowels, and the longest run of consonants."""
+    vowels = (len(token) - len(token.translate(NO_VOWELS))) / len(token)
+    return kind, _bucket(vowels, 0.15, 0.25, 0.33, 0.42), _bucket(max(map(len, CONSONANTS.split(token))), 3, 4, 5, 7)
+
+
+def _read(kind: str, vowels: int, run: int) -> list[str]:
+    return [f"kind={kind}", f"vowels={kind},{vowels}", f"consonants={kind},{run}"]
+
 
+def is_plain(token: str, kind: str) -> bool:
+    """Whether all features of a token's shape follow from _spelling()."""
+    return kind[:5] in ("lower", "title") and token.isalpha()
 
-def _shape(token: str) -> list[str]:
-    n = len(token)
-    digits, upper = sum(c.isdigit() for c in token), sum(c.isupper() for c in token)
-    lower = sum(c.islower() for c in token)
-    marks = n - digits - upper - lower
+
+def shape(token: str) -> list[str]:
+    """Features of a token by itself."""
+    kind, n = kind_of(token), len(token)
+    if kind[:4] == "mark":
+        return [f"kind={kind}", f"mark={token[0]}", f"mark2={token[-1]}"]
+    out = _read(*_spelling(token, kind))
+    if is_plain(token, kind):
+        return out
+    digits = n - len(token.translate(NO_DIGITS))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in token]
     turns = sum(a != b for a, b in zip(kinds, kinds[1:])) / n
-    classes = "".join(k for k, c in (("l", lower), ("u", upper), ("d", digits), ("m", marks)) if c)
-    longest = max(map(len, re.split(r"[^A-Za-z]+", token)))
-    size = _bucket(n, 12, 16, 18, 20, 24, 32, 40, 64)
+    longest = max(map(len, re.split(r"[\W\d_]+", token)))
     head = re.match(r"[A-Za-z]{1,10}[_-]", token)
-    return [
-        f"size={size}",
-        f"classes={classes}",
-        f"classes,size={classes},{size}",
-        f"turns={_bucket(turns, 0.1, 0.2, 0.3, 0.4, 0.5)}",
+    return out + [
+        f"turns={kind},{_bucket(turns, 0.1, 0.2, 0.3, 0.4, 0.5)}",
+        f"case={kind},{_bucket(len(TURNS.findall(token)), 1, 2, 3, 5)}",
         f"digits={_bucket(digits / n, 0.1, 0.25, 0.4, 0.6, 0.8)}",
         f"varied={_bucket(len(set(token)) / n, 0.3, 0.5, 0.7, 0.9)}",
         f"letters={_bucket(longest, 4, 6, 8, 12)}",
         f"dots={min(token.count('.'), 3)}",
         f"dashes={min(token.count('-'), 4)}",
-        f"hex={all(c in '0123456789abcdef' for c in token)},{size}",
+        f"slashes={min(token.count('/'), 3)}",
+        f"hex={all(c in '0123456789abcdef' for c in token)},{_bucket(n, 8, 12, 16, 18, 24)}",
         f"head={head[0].lower() if head else ''}",
         f"start={token[:2] if token[:2].isalpha() else ''}",
-        *_spelling(token, classes),
     ]
 
 
-def _spelling(token: str, classes: str) -> list[str]:
-    """Whether letters read like a word: shares of vowels, runs of consonants, turns of case, and length of short tokens."""
-    letters = [c for c in token if c.isalpha()]
-    vowels = _bucket(sum(c in "aeiouyAEIOUY" for c in letters) / max(1, len(letters)), 0.15, 0.25, 0.33, 0.42)
-    run = _bucket(max(map(len, re.split(r"[^b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+", token))), 3, 4, 5, 7)
-    cased = "lower" if token.islower() else "upper" if token.isupper() else "title" if token.istitle() else "mixed"
-    turns = _bucket(len(TURNS.findall(token)), 1, 2, 3, 5)
-    return [f"vowels={classes},{vowels}", f"consonants={classes},{run}", f"cased={cased},{vowels},{run}", f"turns={cased},{turns}", f"short={classes},{min(len(token), 14)}"]
+def _word(token: str) -> str:
+    return "long" if len(token) > 12 else token.lower() if token.isalpha() or not any(map(str.isdigit, token)) else "num"
+
+
+def _asks(token: str) -> int:
+    """0, or 1 + the number of the trigger in the token."""
+    m = ASKS.search(token)
+    return 1 + TRIGGERS.index(m[0].lower()) if m else 0
+
+
+def _sign(token: str) -> int:
+    """0, or 1 + the number of the sign that a token of marks ends with; another mark counts as the last."""
+    return 0 if not token or token[-1].isalnum() or token[-1] in "_+" else 1 + (SIGNS.index(token[-1]) if token[-1] in SIGNS else len(SIGNS))
 
 
-def _word(token: str | None) -> str:
-    if token is None:
-        return "none"
-    return token.lower() if len(token) <= 12 and not any(c.isdigit() for c in token) else "long" if len(token) > 12 else "num"
+#: What stands for a token beyond the line.
+NOTHING = "\n"
 
 
-def token_features(text: str, start: int, end: int, file: list[str]) -> list[str]:
-    """Features of one opaque token: shape, neighbours, file."""
-    before = BETWEEN.findall(text, max(0, start - REACH), start)[-3:]
-    after = BETWEEN.findall(text, end, end + REACH)[:1]
-    b1, b2 = (before[-1] if before else None), (before[-2] if len(before) > 1 else None)
-    joined = start > 0 and not text[start - 1].isspace()
-    near = " ".join(before).lower()
-    trigger = next((t for t in TRIGGERS if t in near), "")
+def features(tokens: list[str], i: int) -> list[str]:
+    """Features of token i of a line (tokens with the blank before them); the file's are added to them."""
+    at = lambda n: tokens[n] if 0 <= n < len(tokens) else NOTHING
+    own = at(i).lstrip()
+    kind, before, after = kind_of(own), at(i - 1).strip(), at(i + 1).strip()
+    asked = [_asks(at(i - d)) for d in range(1, FELT + 1)]
+    near = next((d for d, t in enumerate(asked, 1) if t), 0)
+    glued = int(i > 0 and own == at(i))
     return [
         "all",
-        *_shape(text[start:end]),
-        f"before={_word(b1)}",
-        f"before2={_word(b2)}",
-        f"after={_word(after[0] if after else None)[:2]}",
-        f"joined={joined},{b1[-1] if b1 and not b1[-1].isalnum() else ''}",
-        f"trigger={trigger}",
-        f"trigger={bool(trigger)},joined={bool(b1 and b1[-1] in '=:')}",
-        *file,
+        *shape(own),
+        f"before={_word(before)}",
+        f"before2={_word(at(i - 2).strip())}",
+        f"after={_word(after)[:2]},{int(after == at(i + 1))}",
+        *[f"asked{d}={t}" for d, t in enumerate(asked, 1)],
+        f"kind,near={kind},{near}",
+        f"kind,sign={kind},{_sign(before)},{glued}",
+        *([f"again={glued}"] if own in (before, at(i - 2).strip()) else []),
     ]
 
 
-def file_features(text: str, n_opaque: int) -> list[str]:
+def file_features(text: str) -> list[str]:
     """Features of the whole file."""
-    return [f"assignments={_bucket(text.count('='), 1, 4, 16)}", f"opaque={_bucket(n_opaque, 2, 5, 20)}"]
+    return [f"assignments={_bucket(text.count('='), 1, 4, 16)}", f"file-asks={_bucket(text.count('password') + text.count('token') + text.count('key'), 1, 4)}"]
 
 
 class Field:
@@ -196,66 +187,71 @@ class Field:
         self.weights = np.zeros((0, 3))
         self.steps = np.zeros((3, 3))
 
-    def _scores(self, chain: list[list[int]]) -> np.ndarray:
-        return np.array([self.weights[at].sum(0) if at else np.zeros(3) for at in chain])
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}  # a worker makes its own
 
     def _steps(self) -> np.ndarray:
         steps = self.steps.copy()
         steps[OUT, INSIDE] = -np.inf
         return steps
 
-    def ids(self, features: list[str]) -> list[int]:
-        return [self.index[f] for f in features if f in self.index]
+    def weight(self, name: str) -> np.ndarray:
+        at = self.index.get(name)
+        return np.zeros(3) if at is None else self.weights[at]
 
     def train(self, chains: list[tuple[list[list[str]], list[int]]], epochs: int, seed: int, rate: float = 0.2, shrink: float = 1e-4) -> Field:
         """Stochastic gradient ascent (Adagrad) on the likelihood of chains of (features per token, labels)."""
-        for features, _ in chains:
-            for f in features:
-                for name in f:
+        for rows, _ in chains:
+            for names in rows:
+                for name in names:
                     self.index.setdefault(name, len(self.index))
         self.weights = np.zeros((len(self.index), 3))
         seen_w, seen_s = np.full_like(self.weights, 1e-6), np.full((3, 3), 1e-6)
-        coded = [([self.ids(f) for f in features], labels) for features, labels in chains]
+        coded = []
+        for rows, labels in chains:
+            own, at = np.unique([self.index[f] for names in rows for f in names], return_inverse=True)
+            sizes = np.array([len(names) for names in rows])
+            coded.append((own, at, np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes) - sizes, labels))
         rng = random.Random(seed)
         for _ in range(epochs):
             rng.shuffle(coded)
-            for chain, labels in coded:
-                node, edge = self._expected(chain)
-                last = OUT
-                step = -edge
-                for i, (at, label) in enumerate(zip(chain, labels)):
-                    gap = -node[i]
-                    gap[label] += 1
-                    step[last, label] += 1
-                    last = label
-                    grown = gap - shrink * self.weights[at]
-                    seen_w[at] += grown**2
-                    self.weights[at] += rate * grown / np.sqrt(seen_w[at])
+            for own, at, token, starts, labels in coded:
+                gap, step = self._expected(np.add.reduceat(self.weights[own[at]], starts))
+                gap, step = -gap, -step
+                gap[np.arange(len(labels)), labels] += 1
+                np.add.at(step, ([OUT, *labels[:-1]], labels), 1)
+                spread = gap[token]
+                grown = np.stack([np.bincount(at, spread[:, k], len(own)) for k in range(3)], 1) - shrink * self.weights[own]
+                seen_w[own] += grown**2
+                self.weights[own] += rate * grown / np.sqrt(seen_w[own])
                 step -= shrink * self.steps
                 seen_s += step**2
                 self.steps += rate * step / np.sqrt(seen_s)
         return self
 
-    def _expected(self, chain: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected labels per token and expected steps, by forward and backward sums."""
-        score, steps = self._scores(chain), self._steps()
-        n = len(chain)
-        forward, backward = np.zeros((n, 3)), np.zeros((n, 3))
-        forward[0] = steps[OUT] + score[0]
-        for i in range(1, n):
-            forward[i] = np.logaddexp.reduce(forward[i - 1][:, None] + steps, axis=0) + score[i]
+    def _expected(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected labels per token and expected steps, by forward and backward sums of scaled chances."""
+        n, steps = len(score), np.exp(self._steps())
+        own = np.exp(score - score.max(1, keepdims=True))
+        forward, backward, scale = np.zeros((n, 3)), np.ones((n, 3)), np.ones(n)
+        now = steps[OUT] * own[0]
+        for i in range(n):
+            if i:
+                now = (forward[i - 1] @ steps) * own[i]
+            scale[i] = now.sum()
+            forward[i] = now / scale[i]
         for i in range(n - 2, -1, -1):
-            backward[i] = np.logaddexp.reduce(steps + (score[i + 1] + backward[i + 1])[None, :], axis=1)
-        total = np.logaddexp.reduce(forward[-1])
+            backward[i] = steps @ (own[i + 1] * backward[i + 1]) / scale[i + 1]
+        node = forward * backward
         edge = np.zeros((3, 3))
-        edge[OUT] += np.exp(forward[0] + backward[0] - total)
-        for i in range(1, n):
-            edge += np.exp(forward[i - 1][:, None] + steps + (score[i] + backward[i])[None, :] - total)
-        return np.exp(forward + backward - total), edge
-
-    def decode(self, chain: list[list[int]]) -> list[int]:
-        """The best labels (Viterbi); in ties the smaller label."""
-        score, steps = self._scores(chain), self._steps()
+        edge[OUT] += node[0]
+        if n > 1:
+            edge += np.einsum("ni,nj->ij", forward[:-1], own[1:] * backward[1:] / scale[1:, None]) * steps
+        return node, edge
+
+    def decode(self, score: np.ndarray) -> list[int]:
+        """The best labels of a line's scores (Viterbi); in ties the smaller label."""
+        steps = self._steps()
         best, back = steps[OUT] + score[0], []
         for s in score[1:]:
             through = best[:, None] + steps
@@ -266,122 +262,355 @@ class Field:
             path.append(int(b[path[-1]]))
         return path[::-1]
 
+    def slack(self) -> float:
+        """What a token in a secret may gain by steps at most, over staying outside."""
+        steps = self._steps()
+        return float(steps[:, BEGIN:].max() - steps[OUT, OUT] + max(0.0, steps[BEGIN:, OUT].max() - steps[OUT, OUT]))
+
+
+class Tables:
+    """Gains (scores of begin and inside over outside) by spelling, for texts of any length.
+
+    A gain is a sum of rows: of the token's own spelling, of those of its neighbours, and of what the two say together.
+    """
+
+    def __init__(self, field: Field):
+        self.field, self.slack = field, field.slack()
+        self.kinds: dict[str, int] = {}
+        self.near, self.signed = np.zeros((0, FELT + 1, 2), np.float32), np.zeros((0, len(SIGNS) + 2, 2, 2), np.float32)
+        self.asked = np.array([[self._gain(f"asked{d}={t}") for t in range(len(TRIGGERS) + 1)] for d in range(1, FELT + 1)], np.float32)
+        self.again = np.array([self._gain("again=0"), self._gain("again=1")], np.float32)
+        self.all, self.read, self.older = self._gain("all"), {}, {}
+        self.known: dict[str, int] = {}
+        self._turn()
+
+    def _gain(self, name: str) -> np.ndarray:
+        w = self.field.weight(name)
+        return w[BEGIN:] - w[OUT]
+
+    def _turn(self) -> None:
+        """Forgets all spellings but those that follow."""
+        self.known = {}
+        self.parts = np.zeros((KNOWN, 4, 2), np.float32)  # own, as the one before, as the one before that, as the next
+        self.marks = np.zeros((KNOWN, 5), np.int32)  # kind, trigger, sign, no blank before it, number of its spelling without the blank
+        self._add(NOTHING)
+
+    def _kind(self, kind: str) -> int:
+        if kind not in self.kinds:
+            self.kinds[kind] = len(self.kinds)
+            g = self._gain
+            self.near = np.concatenate([self.near, np.array([[g(f"kind,near={kind},{d}") for d in range(FELT + 1)]], np.float32)])
+            self.signed = np.concatenate([self.signed, np.array([[[g(f"kind,sign={kind},{s},{n}") for n in (0, 1)] for s in range(len(SIGNS) + 2)]], np.float32)])
+        return self.kinds[kind]
+
+    def _add(self, token: str) -> int:
+        n = self.known[token] = len(self.known)
+        own = token.strip()
+        glued = own == token
+        word, kind, index = _word(own), kind_of(own), self.field.index
+        if token != NOTHING:
+            if is_plain(own, kind):
+                key = _spelling(own, kind)
+                if key not in self.read:
+                    self.read[key] = self.all + sum(map(self._gain, _read(*key)))
+                self.parts[n, 0] = self.read[key]
+            else:
+                self.parts[n, 0] = self.all + sum(map(self._gain, shape(own)))
+        for d, name in enumerate((f"before={word}", f"before2={word}", f"after={word[:2]},{int(glued)}"), 1):
+            if name in index:
+                self.parts[n, d] = self._gain(name)
+        self.marks[n] = self._kind(kind), _asks(token), _sign(own), glued, hash(own) & 0x7FFFFFFF
+        return n
+
+    def gains(self, tokens: list[str], file: np.ndarray) -> np.ndarray:
+        """Gains of all tokens of a text (ends of lines among them), file: the file's part."""
+        ids = list(map(self.known.get, tokens))
+        if None in ids:
+            if len(tokens) > KNOWN // 2:
+                return self._long(tokens, file)
+            if len(self.known) + len(tokens) > KNOWN:
+                self._turn()
+            known, add = self.known, self._add
+            ids = [known[t] if t in known else add(t) for t in tokens]
+        return self._summed(np.array(ids), file)
+
+    def _long(self, tokens: list[str], file: np.ndarray) -> np.ndarray:
+        """gains() in parts, of a text that may have more spellings than are kept."""
+        size, out = KNOWN // 4, []
+        for start in range(0, len(tokens), size):
+            a, b, end = max(0, start - FELT), min(len(tokens), start + size + 1), min(len(tokens), start + size)
+            out.append(self.gains(tokens[a:b], file)[start - a : end - a])
+        return np.concatenate(out)
+
+    def _summed(self, ids: np.ndarray, file: np.ndarray) -> np.ndarray:
+        n = len(ids)
+        padded = np.concatenate([np.zeros(FELT, ids.dtype), ids, [0]])
+        marks, parts = self.marks, self.parts
+        kind, own = marks[ids, 0], marks[ids, 4]
+        score = parts[ids, 0] + file.astype(np.float32)
+        score += parts[padded[FELT + 1 :], 3]
+        line = np.zeros(n, bool)  # whether a line's end lies between
+        at = ids
+        for d in (1, 2):
+            at = np.where(line, 0, padded[FELT - d : FELT - d + n])
+            line |= at == 0
+            score += parts[at, d]
+            if d == 1:
+                glued = marks[ids, 3] * (at > 0)
+                score += self.signed[kind, marks[at, 2], glued]
+            same = (marks[at, 4] == own) & ~line
+            again = same if d == 1 else again | same
+        score[again] += self.again[glued[again]]
+        trigger = marks[padded, 1]
+        score += self.asked[:, 0].sum(0) + self.near[kind, 0]
+        # Words that ask are rare: what they change is added by itself.
+        for p in np.flatnonzero(trigger).tolist():
+            for d in range(1, FELT + 1):
+                i = p - FELT + d
+                if i >= n or padded[p + d] == 0:
+                    break
+                score[i] += self.asked[d - 1, trigger[p]] - self.asked[d - 1, 0]
+                if not trigger[p + 1 : p + d].any():
+                    score[i] += self.near[kind[i], d] - self.near[kind[i], 0]
+        return score
+
 
 #: Words that stand near those that ask for a secret.
-COMMON = "the of and to in is was for with that this must should required invalid missing expired wrong changed reset your our their it be by from when after before please enter forgot never none null true false people through strength length rhythm thoughts".split()
-
-
-def _truth_line(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
-    """A generated line and where its secrets are."""
-    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    low, up, num, word = string.ascii_lowercase, string.ascii_uppercase, string.digits, string.ascii_letters + string.digits
-    secret = rng.choice(
-        [
-            lambda: pick("0123456789abcdef", rng.choice([18, 20, 24, 32, 40, 64])),
-            lambda: "AKIA" + pick(up + num, 16),
-            lambda: rng.choice(["ghp_", "gho_", "glpat-", "npm_", "hf_"]) + pick(word, rng.choice([20, 34, 36])),
-            lambda: rng.choice(["sk_live_", "pk_live_", "rk_test_"]) + pick(word, 24),
-            lambda: "xoxb-" + pick(num, 11) + "-" + pick(word, 24),
-            lambda: "eyJ" + pick(word, 30) + "." + pick(word, 60) + "." + pick(word + "-_", 43),
-            lambda: pick(word + "+/", 40),
-            lambda: pick(word, rng.choice([16, 24, 32, 48])),
-            lambda: "AIza" + pick(word + "-_", 35),
-        ]
-    )
-    plain = rng.choice(
-        [
-            lambda: f"v{rng.randrange(9)}.{rng.randrange(30)}.{rng.randrange(9)}-{rng.choice(['beta', 'rc', 'alpha'])}{rng.randrange(9)}",
-            lambda: f"20{pick(num, 2)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}T1{rng.randrange(9)}",
-            lambda: f"{pick(low, rng.randrange(4, 9))}{rng.randrange(100)}.example.com",
-            lambda: f"{pick(low, rng.randrange(4, 9))}.{rng.randrange(100)}",
-            lambda: f"{rng.choice(['report', 'image', 'chapter', 'invoice', 'section'])}{rng.randrange(2030)}_{rng.choice(['final', 'draft', 'copy'])}.{rng.choice(['pdf', 'png', 'txt'])}",
-            lambda: f"{pick(up, 3)}-{pick(num, 5)}",
-            lambda: f"{pick('0123456789abcdef', 8)}-{pick('0123456789abcdef', 4)}-4{pick('0123456789abcdef', 3)}-a{pick('0123456789abcdef', 3)}-{pick('0123456789abcdef', 12)}",
-            lambda: f"/{pick(low, 5)}/{pick(low, 6)}{rng.randrange(99)}/{pick(low, 7)}",
-            lambda: f"{pick(low, rng.randrange(7, 13))}{rng.randrange(2030)}",
-            lambda: f"{pick(up, 1)}{pick(low, rng.randrange(7, 11))}{rng.randrange(30)}",
-            lambda: f"ISBN{pick(num, 10)}",
-            lambda: f"{rng.randrange(1, 900)}{rng.choice(['million', 'th-century', 'kilometres', 'percent'])}",
-            lambda: f"{pick(low, 6)}-{pick(num, 2)}-{pick(low, 8)}",
-            lambda: f"x{rng.randrange(9)}+y{rng.randrange(9)}+z{rng.randrange(9)}+w{rng.randrange(9)}",
-        ]
-    )
-    near = rng.choice([lambda: pick(word[:52], rng.randrange(12, 25)), lambda: pick(low, rng.randrange(14, 21)), lambda: pick(num, rng.randrange(6, 17)), lambda: pick(word, rng.randrange(6, 12)), lambda: pick(low, 2) + pick(num, 2) + pick(word, 3)])
-    spoken = lambda n: "".join(rng.choice(["", *"bcdfglmnprst", "st", "tr", "ch"]) + rng.choice("aeiou") + rng.choice(["", "", *"nrslt"]) for _ in range(n))
-    said = lambda: rng.choice([spoken(rng.randrange(1, 6)), rng.choice(COMMON)]) if rng.random() < 0.8 else spoken(rng.randrange(2, 5)).title() + (spoken(2).title() if rng.random() < 0.5 else "")
-    prose = lambda: [pick(low, rng.randrange(1, 9)) for _ in range(rng.randrange(0, 6))]
-    asks = rng.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth", "access_key", "client_secret", "credentials", "key"])
-    line, spans = " ".join(prose()), []
-
-    def add(text: str, inside: str | None = None) -> None:
-        nonlocal line
-        line += (" " if line else "") + text
-        if inside:
-            at = line.rindex(inside)
-            spans.append((at, at + len(inside)))
-
-    kind = rng.random()
-    if kind < 0.35:
-        s = near() if rng.random() < 0.35 else secret()
-        quote = rng.choice(["", '"', "'"])
-        add(asks + rng.choice(["=", " = ", ": ", ":", " is ", " "]) + quote + s + quote, s)
-    elif kind < 0.5:
-        lead = rng.choice(["", "Bearer ", "Authorization: Bearer ", "use ", "-H "])
-        s = pick(word[:52], rng.randrange(16, 33)) if rng.random() < 0.25 else secret()
-        add(lead + s, s)
-    elif kind < 0.55:
-        s, t = secret(), secret()
-        add(f"{asks}: {s} {t}", f"{s} {t}")
-    elif kind < 0.9:
-        for _ in range(rng.randrange(1, 4)):
-            add(rng.choice(["", "version ", "see ", "file=", "id: ", "at ", "user ", "http://", "contact@", "commit "]) + plain())
-            line = " ".join([line, *prose()])
-    elif kind < 0.94:
-        add(asks + rng.choice([" ", " was ", " in "]) + plain())
-    else:
-        add(rng.choice(["the ", "a ", "", "my "]) + rng.choice([asks, "author", "keyboard", "passage", "monkey", "authority"]) + rng.choice([" ", " is ", " was ", " of ", ", ", ". ", ": "]) + " ".join(said() for _ in range(rng.randrange(1, 5))))
-    line = " ".join([line, *prose()]) + rng.choice(["", ".", ","])
-    return line, spans
-
-
-def _runs(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Runs of opaque tokens with no other token between."""
-    runs: list[list[tuple[int, int]]] = []
-    for t in tokens:
-        if runs and GAP.fullmatch(text, runs[-1][-1][1], t[0]):
-            runs[-1].append(t)
+COMMON = "the of and to in is was for with that this must should required invalid missing expired wrong changed reset your our their it be by from when after before please enter forgot never none null true false people through strength length rhythm thoughts idea point question moment value function field button card board stone note signature west east".split()
+#: Words of which pass phrases are made.
+PHRASE = "correct horse battery staple hunter summer winter dragon monkey shadow master sunshine princess football baseball welcome charlie tiger silver purple orange coffee guitar cheese rocket planet garden window yellow autumn spring monday friday river castle pepper cookie banana flower".split()
+
+
+class Lines:
+    """Generated lines of known truth."""
+
+    def __init__(self, rng: random.Random):
+        self.rng = rng
+
+    def pick(self, chars: str, n: int) -> str:
+        return "".join(self.rng.choice(chars) for _ in range(n))
+
+    def spoken(self, n: int) -> str:
+        """A made-up word of n syllables."""
+        rng = self.rng
+        return "".join(rng.choice(["", *"bcdfglmnprst", "st", "tr", "ch", "th", "nd", "qu"]) + rng.choice(["a", "e", "i", "o", "u", "ea", "ou", "é", "è", "ö", "ä", "í", "ó", "ei"] if rng.random() < 0.3 else list("aeiou")) + rng.choice(["", "", *"nrslt", "nt", "ng", "nd", "th", "ch", "ß", "tz", "sch", "ción", "x"] if rng.random() < 0.3 else ["", "", *"nrslt"]) for _ in range(n))
+
+    def said(self) -> str:
+        """A word of prose with the mark that may follow it."""
+        rng = self.rng
+        x = rng.random()
+        word = rng.choice(COMMON) if x < 0.35 else self.spoken(rng.randrange(1, 6)) if x < 0.9 else self.pick(string.ascii_lowercase, rng.randrange(1, 9))
+        x = rng.random()
+        word = word.title() if x < 0.12 else word.upper() if x < 0.15 else word
+        return word + rng.choice(["", "", "", "", "", "", ",", ".", ". ", ":", "!", "?", "***", "$$$", "!!"])
+
+    def prose(self, least: int, most: int) -> str:
+        return " ".join(self.said() for _ in range(self.rng.randrange(least, most))).rstrip(" ")
+
+    def junk(self) -> str:
+        """Words said again and again, with symbols, in tables or in capitals."""
+        rng = self.rng
+        word = lambda: rng.choice([self.spoken(rng.randrange(1, 7)), rng.choice(COMMON)])
+        x, sign = rng.random(), rng.choice(["###", "***", "$$$", "%%%", "&&&", "!!", ""])
+        if x < 0.4:
+            return " ".join(" ".join([rng.choice([w, w.title()])] * rng.randrange(2, 40)) for w in (word() for _ in range(rng.randrange(1, 5))))
+        if x < 0.6:
+            return rng.choice([" | ", " ; ", ", "]).join(word() for _ in range(rng.randrange(3, 12)))
+        return " ".join((w.upper() if x > 0.85 else w) + rng.choice([sign, sign, "###", ""]) for w in (word() for _ in range(rng.randrange(4, 20))))
+
+    def opaque(self) -> str:
+        """A secret that looks like one."""
+        rng, pick = self.rng, self.pick
+        low, up, num = string.ascii_lowercase, string.ascii_uppercase, string.digits
+        word = low + up + num
+        return rng.choice(
+            [
+                lambda: pick("0123456789abcdef", rng.choice([18, 20, 24, 32, 40, 64])),
+                lambda: "AKIA" + pick(up + num, 16),
+                lambda: rng.choice(["ghp_", "gho_", "glpat-", "npm_", "hf_", "pat_", "shpat_"]) + pick(word, rng.choice([20, 34, 36])),
+                lambda: rng.choice(["sk_live_", "pk_live_", "rk_test_"]) + pick(word, 24),
+                lambda: "xoxb-" + pick(num, 11) + "-" + pick(word, 24),
+                lambda: "eyJ" + pick(word, 30) + "." + pick(word, 60) + "." + pick(word + "-_", 42) + "a",
+                lambda: pick(word + "+", 40),
+                lambda: pick(word + "+", 64),
+                lambda: pick(word, rng.choice([16, 24, 32, 48])),
+                lambda: "AIza" + pick(word + "-_", 34) + "b",
+            ]
+        )()
+
+    def chosen(self) -> str:
+        """A secret that a person chose; most only tell by what stands before."""
+        rng, pick = self.rng, self.pick
+        letters = string.ascii_letters
+        words = lambda n: [rng.choice(PHRASE) for _ in range(n)]
+        return rng.choice(
+            [
+                lambda: "".join(words(rng.randrange(2, 5))),
+                lambda: "".join(w.title() for w in words(rng.randrange(2, 4))) + pick(string.digits, rng.randrange(0, 4)),
+                lambda: rng.choice("-_.").join(words(rng.randrange(2, 5))),
+                lambda: rng.choice(words(1)) + pick(string.digits, rng.randrange(1, 5)) + rng.choice(["", "!", "#", "$$"]) + rng.choice(words(1)),
+                lambda: pick(letters, rng.randrange(3, 6)) + rng.choice("!@#$%&*") + pick(letters + string.digits, rng.randrange(3, 8)),
+                lambda: pick(string.digits + letters, rng.randrange(2, 5)) + rng.choice("!#$%^&*?") + pick(letters, 3) + rng.choice("!#$%^&*?") + pick(letters + string.digits, rng.randrange(2, 5)),
+                lambda: pick(letters, rng.randrange(12, 33)),
+                lambda: pick(string.ascii_lowercase, rng.randrange(14, 21)),
+                lambda: pick(string.digits, rng.randrange(8, 17)),
+                lambda: pick(letters + string.digits, rng.randrange(7, 14)),
+                lambda: pick(string.ascii_lowercase, 2) + pick(string.digits, 2) + pick(letters, 3),
+            ]
+        )()
+
+    def plain(self) -> str:
+        """What isn't a secret, but not prose either."""
+        rng, pick = self.rng, self.pick
+        low, up, num, digit = string.ascii_lowercase, string.ascii_uppercase, string.digits, "0123456789abcdef"
+        name = lambda: self.spoken(rng.randrange(1, 4))
+        return rng.choice(
+            [
+                lambda: f"v{rng.randrange(9)}.{rng.randrange(30)}.{rng.randrange(9)}-{rng.choice(['beta', 'rc', 'alpha'])}{rng.randrange(9)}",
+                lambda: f"20{pick(num, 2)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}T1{rng.randrange(9)}:{pick(num, 2)}",
+                lambda: f"{name()}.{rng.randrange(100)}@{name()}{rng.randrange(9)}.example.com",
+                lambda: f"{name()}@{name()}.{rng.choice(['com', 'org', 'fr'])}",
+                lambda: f"+{rng.randrange(1, 99)} ({pick(num, 3)}) {pick(num, 3)}-{pick(num, 4)}",
+                lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+                lambda: pick(num, rng.randrange(1, 17)),
+                lambda: rng.choice(["4", "5", "37"]) + pick(num, 15),
+                lambda: " ".join(pick(num, 4) for _ in range(4)),
+                lambda: f"https://{name()}{rng.randrange(100)}.example.com/{name()}/{name()}-{name()}-{rng.randrange(9999)}.html",
+                lambda: f"http://www.{name()}.org/{name()}?{name()}={rng.randrange(99)}&{name()}={name()}",
+                lambda: f"postgres://{name()}@{name()}.{name()}:5432/{name()}",
+                lambda: f"{rng.choice(['report', 'image', 'chapter', 'invoice', 'section'])}{rng.randrange(2030)}_{rng.choice(['final', 'draft', 'copy'])}.{rng.choice(['pdf', 'png', 'txt'])}",
+                lambda: f"{pick(up, 3)}-{pick(num, 5)}",
+                lambda: f"{pick(digit, 8)}-{pick(digit, 4)}-4{pick(digit, 3)}-a{pick(digit, 3)}-{pick(digit, 12)}",
+                lambda: f"/{pick(low, 5)}/{pick(low, 6)}{rng.randrange(99)}/{pick(low, 7)}",
+                lambda: f"{name()}{rng.randrange(2030)}",
+                lambda: f"{name()}{name().title()}{name().title()}",
+                lambda: f"{name()}_{name()}_{name()}",
+                lambda: f"{name().upper()}_{name().upper()}",
+                lambda: f"{name()} = {rng.choice([name(), str(rng.randrange(99)), name() + '()'])}",
+                lambda: f"def {name()}({name()}, {name()}={rng.randrange(9)}):",
+                lambda: f"<{rng.choice(['div', 'a', 'p', 'td'])} class='{name()}-{name()}'>",
+                lambda: f"ISBN{pick(num, 10)}",
+                lambda: f"{rng.randrange(1, 900)}{rng.choice(['million', 'th-century', 'kilometres', 'percent'])}",
+                lambda: f"x{rng.randrange(9)}+y{rng.randrange(9)}+z{rng.randrange(9)}+w{rng.randrange(9)}",
+                lambda: f"Licensed under {rng.choice(['CC BY-NC 4.0', 'the MIT License', 'Apache-2.0', 'GPL-3.0-or-later'])}.",
+            ]
+        )()
+
+    def line(self) -> tuple[str, list[tuple[int, int]]]:
+        """A line and where its secrets are."""
+        rng = self.rng
+        text, spans = "", []
+
+        def add(part: str, secret: bool = False) -> None:
+            nonlocal text
+            if secret:
+                spans.append((len(text), len(text) + len(part)))
+            text += part
+
+        def head() -> None:
+            if (before := self.prose(0, 9)) and rng.random() < 0.7:
+                add(before + " ")
+
+        asks = rng.choice(["password", "passwd", "pwd", "pass", "secret", "token", "api_key", "apikey", "auth", "access_key", "client_secret", "credentials", "key", "passphrase", "auth token", "secret key", "API key", "Password", "PASSWORD", "TOKEN", "DB_PASSWORD", "privateKey"])
+        quote = rng.choice(["", "", '"', "'", "`"])
+        x = rng.random()
+        head()
+        if x < 0.25:
+            add(rng.choice(["", "", "my ", "the ", "new ", "your "]) + asks + rng.choice(["=", " = ", ": ", ":", " is ", " is: ", " ", " => ", " := ", " was ", " to "]) + quote)
+            add(self.chosen() if rng.random() < 0.65 else self.opaque(), True)
+            add(quote)
+        elif x < 0.33:
+            add(rng.choice(["", "", "Bearer ", "Authorization: Bearer ", "Authorization: Basic ", "use ", "-H ", "login with ", "x-auth-key: "]))
+            add(self.pick(string.ascii_letters, rng.randrange(16, 33)) if text.endswith(("Bearer ", "Basic ")) and rng.random() < 0.4 else self.opaque(), True)
+        elif x < 0.39:
+            add(rng.choice(["postgres", "mysql", "https", "ftp", "amqp", "redis", "mongodb+srv"]) + "://" + rng.choice([self.spoken(2), "root", "admin", "user", ""]) + ":")
+            add(self.chosen() if rng.random() < 0.5 else self.opaque(), True)
+            add("@" + self.spoken(2) + rng.choice([".example.com", "", ":5432", ".local"]) + rng.choice(["", "/" + self.spoken(1)]))
+        elif x < 0.44:
+            add(f"{asks}{rng.choice([': ', ' is ', '='])}")
+            one, two = (self.opaque(), self.opaque()) if rng.random() < 0.4 else (self.chosen(), self.chosen())
+            add(f"{one} {two}", True)
+            if rng.random() < 0.6:  # words that follow a secret of two words stand apart
+                add(rng.choice([".", ",", ";", " ."]))
+        elif x < 0.72:
+            for _ in range(rng.randrange(1, 4)):
+                add(rng.choice(["", "", "version ", "see ", "file=", "id: ", "at ", "user ", "contact ", "commit ", "card ", "phone: ", "name: "]) + self.plain() + " " + self.prose(1, 8) + " ")
+        elif x < 0.78:
+            add(asks + rng.choice([" ", " was ", " in ", ", "]) + self.plain())
+        elif x < 0.9:
+            add(rng.choice(["the ", "a ", "", "my ", "The ", "Your ", "this "]) + rng.choice([asks, asks, "author", "keyboard", "passage", "monkey", "authority", "tokens", "keys", "secretary", "passenger"]) + rng.choice([" ", " is ", " was ", " of ", ", ", ". ", ": ", " for ", " to "]) + self.prose(2, 9))
+        elif x < 0.94:
+            add(self.junk())
         else:
-            runs.append([t])
-    return runs
+            add(self.prose(4, 30))
+        if rng.random() < 0.7:
+            add(rng.choice(["", ".", ",", ""]) + " " + self.prose(1, 9))
+        return text, spans
+
+
+def labelled(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[str], list[int]]]:
+    """Tokens and labels of every line."""
+    out, line = [], ([], [])
+    for m in TOKEN.finditer(text):
+        if m[0] == NOTHING:
+            out.append(line)
+            line = ([], [])
+            continue
+        start = m.end() - len(m[0].lstrip())
+        inside = next(((s, e) for s, e in spans if start < e and s < m.end()), None)
+        line[0].append(m[0])
+        line[1].append(OUT if inside is None else BEGIN if start <= inside[0] else INSIDE)
+    return [x for x in [*out, line] if x[0]]
 
 
 @lru_cache(maxsize=4)
 def trained(lines: int = TRAIN_LINES, epochs: int = EPOCHS, seed: int = SEED) -> Field:
-    """The field, trained on so many generated lines."""
-    rng, chains = random.Random(seed), []
-    for _ in range(lines):
-        text, spans = _truth_line(rng)
-        tokens = opaque_tokens(text)
-        file = file_features(text, len(tokens))
-        for run in _runs(text, tokens):
-            labels = [next((BEGIN if a == s else INSIDE for s, e in spans if s <= a < e), OUT) for a, _ in run]
-            chains.append(([token_features(text, *t, file) for t in run], labels))
+    """The field, trained on so many generated lines, in files of one to eight lines."""
+    made, chains, left = Lines(random.Random(seed)), [], lines
+    while left > 0:
+        own = [made.line() for _ in range(min(left, made.rng.randrange(1, 9)))]
+        left -= len(own)
+        file = file_features("\n".join(t for t, _ in own))
+        for text, spans in own:
+            for tokens, labels in labelled(text, spans):
+                chains.append(([features(tokens, i) + file for i in range(len(tokens))], labels))
     return Field().train(chains, epochs, seed)
 
 
+def _tables(field: Field) -> Tables:
+    if not hasattr(field, "tables"):
+        field.tables = Tables(field)
+    return field.tables
+
+
 def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
     """Spans that the field tags as secrets."""
-    tokens = opaque_tokens(text)
+    tokens = TOKEN.findall(text)
     if not tokens:
         return []
-    file, spans = file_features(text, len(tokens)), []
-    for run in _runs(text, tokens):
-        labels = field.decode([field.ids(token_features(text, *t, file)) for t in run])
-        for (start, end), label in zip(run, labels):
+    tables = _tables(field)
+    gains = tables.gains(tokens, sum((tables._gain(f) for f in file_features(text)), np.zeros(2)))
+    hopeful = np.flatnonzero(gains.max(1) + tables.slack > 0).tolist()
+    starts, spans, done = None, [], 0
+    for n in hopeful:
+        if n < done or tokens[n] == NOTHING:
+            continue
+        # The line around it: whatever lies beyond stays apart.
+        a = b = n
+        while a and tokens[a - 1] != NOTHING:
+            a -= 1
+        while b < len(tokens) and tokens[b] != NOTHING:
+            b += 1
+        done = b
+        labels = field.decode(np.concatenate([np.zeros((b - a, 1)), gains[a:b]], 1))
+        if not any(labels):
+            continue
+        starts = starts or [(m.end() - len(m[0].lstrip()), m.end()) for m in TOKEN.finditer(text)]
+        for k, label in enumerate(labels, a):
             if label == BEGIN:
-                spans.append((start, end))
+                spans.append(starts[k])
             elif label == INSIDE:
-                spans[-1] = (spans[-1][0], end)
+                spans[-1] = (spans[-1][0], starts[k][1])
     return spans
 
 
