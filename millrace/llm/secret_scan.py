@@ -39,8 +39,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MASK = "[SECRET]"
 
-TRAIN_LINES = 8000
-EPOCHS = 5
+TRAIN_LINES = 6000
+EPOCHS = 4
 SEED = 11
 #: Spellings whose parts of the scores one worker keeps.
 KNOWN = 400_000
@@ -76,6 +76,7 @@ def _bucket(x: float, *edges: float) -> int:
 SIZES = [_bucket(n, 4, 6, 8, 10, 12, 16, 20, 32) for n in range(33)]
 VOWELS = "aeiouyàáâäèéêëìíîïòóôöùúûü"
 NO_VOWELS = str.maketrans("", "", VOWELS + VOWELS.upper())
+NO_RARE = str.maketrans("", "", "jkqvwxzJKQVWXZ")
 NO_DIGITS = str.maketrans("", "", string.digits)
 
 
@@ -91,14 +92,15 @@ def kind_of(token: str) -> str:
     return f"{cased}{digits}{'' if token.isalnum() else '.'}{size}"
 
 
-def _spelling(token: str, kind: str) -> tuple[str, int, int]:
-    """The kind, and how a token of letters reads: its share of vowels, and the longest run of consonants."""
+def _spelling(token: str, kind: str) -> tuple[str, int, int, int]:
+    """The kind, and how a token of letters reads: its share of vowels, the longest run of consonants, and its rare letters."""
     vowels = (len(token) - len(token.translate(NO_VOWELS))) / len(token)
-    return kind, _bucket(vowels, 0.15, 0.25, 0.33, 0.42), _bucket(max(map(len, CONSONANTS.split(token))), 3, 4, 5, 7)
+    rare = len(token) - len(token.translate(NO_RARE))
+    return kind, _bucket(vowels, 0.15, 0.25, 0.33, 0.42), _bucket(max(map(len, CONSONANTS.split(token))), 3, 4, 5, 7), min(rare, 5)
 
 
-def _read(kind: str, vowels: int, run: int) -> list[str]:
-    return [f"kind={kind}", f"vowels={kind},{vowels}", f"consonants={kind},{run}"]
+def _read(kind: str, vowels: int, run: int, rare: int) -> list[str]:
+    return [f"kind={kind}", f"vowels={kind},{vowels}", f"consonants={kind},{run}", f"rare={kind},{rare}", f"rare,run={rare},{run}"]
 
 
 def is_plain(token: str, kind: str) -> bool:
@@ -262,65 +264,73 @@ class Field:
             path.append(int(b[path[-1]]))
         return path[::-1]
 
+    def steps_over_outside(self) -> list[list[float]]:
+        """Steps, as gains over staying outside."""
+        return (self._steps() - self.steps[OUT, OUT]).tolist()
+
     def slack(self) -> float:
         """What a token in a secret may gain by steps at most, over staying outside."""
-        steps = self._steps()
-        return float(steps[:, BEGIN:].max() - steps[OUT, OUT] + max(0.0, steps[BEGIN:, OUT].max() - steps[OUT, OUT]))
+        steps = self._steps() - self.steps[OUT, OUT]
+        return float(steps[:, BEGIN:].max() + max(0.0, steps[BEGIN:, OUT].max()))
 
 
 class Tables:
     """Gains (scores of begin and inside over outside) by spelling, for texts of any length.
 
-    A gain is a sum of rows: of the token's own spelling, of those of its neighbours, and of what the two say together.
+    A gain is a sum: of the token's own spelling (as if no mark, blank or asking word before it told anything), of its neighbours', and
+    of what the few that tell something change.
     """
 
     def __init__(self, field: Field):
-        self.field, self.slack = field, field.slack()
+        self.steps, self.slack = field.steps_over_outside(), field.slack()
+        gains = dict(zip(field.index, map(tuple, (field.weights[:, BEGIN:] - field.weights[:, :1]).tolist())))
+        self.gain = lambda name: gains.get(name, (0.0, 0.0))
+        self.own = lambda names: tuple(map(sum, zip(*map(self.gain, names))))
+        part = lambda head: {f[len(head) :]: g for f, g in gains.items() if f.startswith(head)}
+        self.before, self.before2, self.after = part("before="), part("before2="), part("after=")
+        asked = np.array([[self.gain(f"asked{d}={t}") for t in range(len(TRIGGERS) + 1)] for d in range(1, FELT + 1)])
+        self.unasked, self.asked = asked[:, 0].sum(0), asked - asked[:, :1]
+        self.again = np.array([self.gain("again=0"), self.gain("again=1")], np.float32)
         self.kinds: dict[str, int] = {}
-        self.near, self.signed = np.zeros((0, FELT + 1, 2), np.float32), np.zeros((0, len(SIGNS) + 2, 2, 2), np.float32)
-        self.asked = np.array([[self._gain(f"asked{d}={t}") for t in range(len(TRIGGERS) + 1)] for d in range(1, FELT + 1)], np.float32)
-        self.again = np.array([self._gain("again=0"), self._gain("again=1")], np.float32)
-        self.all, self.read, self.older = self._gain("all"), {}, {}
-        self.known: dict[str, int] = {}
+        self.near, self.signed = np.zeros((0, FELT + 1, 2)), np.zeros((0, len(SIGNS) + 2, 2, 2), np.float32)
+        self.read: dict[tuple, tuple] = {}
         self._turn()
 
-    def _gain(self, name: str) -> np.ndarray:
-        w = self.field.weight(name)
-        return w[BEGIN:] - w[OUT]
-
     def _turn(self) -> None:
-        """Forgets all spellings but those that follow."""
-        self.known = {}
-        self.parts = np.zeros((KNOWN, 4, 2), np.float32)  # own, as the one before, as the one before that, as the next
-        self.marks = np.zeros((KNOWN, 5), np.int32)  # kind, trigger, sign, no blank before it, number of its spelling without the blank
-        self._add(NOTHING)
+        """Forgets all spellings."""
+        self.known: dict[str, int] = {}
+        self.parts = np.zeros((KNOWN, 8), np.float32)  # own, as the one before, as the one before that, as the next
+        self.marks = np.zeros((KNOWN, 4), np.int32)  # kind, trigger, 2 * sign + no blank before it, the spelling without the blank
+        self._add([NOTHING])
 
     def _kind(self, kind: str) -> int:
+        """The kind's number; what it says with neighbours is kept as the change from nothing said."""
         if kind not in self.kinds:
             self.kinds[kind] = len(self.kinds)
-            g = self._gain
-            self.near = np.concatenate([self.near, np.array([[g(f"kind,near={kind},{d}") for d in range(FELT + 1)]], np.float32)])
-            self.signed = np.concatenate([self.signed, np.array([[[g(f"kind,sign={kind},{s},{n}") for n in (0, 1)] for s in range(len(SIGNS) + 2)]], np.float32)])
+            near = np.array([self.gain(f"kind,near={kind},{d}") for d in range(FELT + 1)])
+            signed = np.array([[self.gain(f"kind,sign={kind},{s},{n}") for n in (0, 1)] for s in range(len(SIGNS) + 2)], np.float32)
+            self.near = np.concatenate([self.near, [near - near[0]]])
+            self.signed = np.concatenate([self.signed, [signed - signed[0, 0]]])
         return self.kinds[kind]
 
-    def _add(self, token: str) -> int:
-        n = self.known[token] = len(self.known)
-        own = token.strip()
-        glued = own == token
-        word, kind, index = _word(own), kind_of(own), self.field.index
-        if token != NOTHING:
-            if is_plain(own, kind):
-                key = _spelling(own, kind)
-                if key not in self.read:
-                    self.read[key] = self.all + sum(map(self._gain, _read(*key)))
-                self.parts[n, 0] = self.read[key]
-            else:
-                self.parts[n, 0] = self.all + sum(map(self._gain, shape(own)))
-        for d, name in enumerate((f"before={word}", f"before2={word}", f"after={word[:2]},{int(glued)}"), 1):
-            if name in index:
-                self.parts[n, d] = self._gain(name)
-        self.marks[n] = self._kind(kind), _asks(token), _sign(own), glued, hash(own) & 0x7FFFFFFF
-        return n
+    def _plainly(self, kind: str) -> np.ndarray:
+        return np.add(self.gain(f"kind,near={kind},0"), self.gain(f"kind,sign={kind},0,0")) + self.unasked
+
+    def _add(self, tokens: list[str]) -> None:
+        parts, marks, none, n = [], [], (0.0, 0.0), len(self.known)
+        for token in tokens:
+            own = token.strip()
+            kind, word, glued = kind_of(own), _word(own), own == token
+            key = _spelling(own, kind) if is_plain(own, kind) else None
+            base = self.read.get(key) if token != NOTHING else none
+            if base is None:
+                base = tuple(self._plainly(kind) + self.own(["all", *(_read(*key) if key else shape(own))]))
+                if key:
+                    self.read[key] = base
+            parts.append(base + self.before.get(word, none) + self.before2.get(word, none) + self.after.get(f"{word[:2]},{int(glued)}", none))
+            marks.append((self._kind(kind), _asks(token), 2 * _sign(own) + glued, hash(own) & 0x7FFFFFFF))
+        self.known.update(zip(tokens, range(n, n + len(tokens))))
+        self.parts[n : n + len(tokens)], self.marks[n : n + len(tokens)] = parts, marks
 
     def gains(self, tokens: list[str], file: np.ndarray) -> np.ndarray:
         """Gains of all tokens of a text (ends of lines among them), file: the file's part."""
@@ -330,8 +340,8 @@ class Tables:
                 return self._long(tokens, file)
             if len(self.known) + len(tokens) > KNOWN:
                 self._turn()
-            known, add = self.known, self._add
-            ids = [known[t] if t in known else add(t) for t in tokens]
+            self._add(list({t for t in tokens if t not in self.known}))
+            ids = list(map(self.known.__getitem__, tokens))
         return self._summed(np.array(ids), file)
 
     def _long(self, tokens: list[str], file: np.ndarray) -> np.ndarray:
@@ -344,34 +354,31 @@ class Tables:
 
     def _summed(self, ids: np.ndarray, file: np.ndarray) -> np.ndarray:
         n = len(ids)
-        padded = np.concatenate([np.zeros(FELT, ids.dtype), ids, [0]])
-        marks, parts = self.marks, self.parts
-        kind, own = marks[ids, 0], marks[ids, 4]
-        score = parts[ids, 0] + file.astype(np.float32)
-        score += parts[padded[FELT + 1 :], 3]
-        line = np.zeros(n, bool)  # whether a line's end lies between
-        at = ids
-        for d in (1, 2):
-            at = np.where(line, 0, padded[FELT - d : FELT - d + n])
-            line |= at == 0
-            score += parts[at, d]
-            if d == 1:
-                glued = marks[ids, 3] * (at > 0)
-                score += self.signed[kind, marks[at, 2], glued]
-            same = (marks[at, 4] == own) & ~line
-            again = same if d == 1 else again | same
+        padded = np.concatenate([np.zeros(2, ids.dtype), ids, [0]])
+        parts, marks = self.parts[padded], self.marks[padded]
+        ends = padded == 0
+        score = parts[2 : n + 2, :2] + file.astype(np.float32)
+        score += parts[1 : n + 1, 2:4]
+        score += parts[:n, 4:6]
+        score += parts[3:, 6:]
+        heads = ends[1 : n + 1]  # tokens at a line's start have nothing before that
+        score[heads] += parts[0, 4:6] - parts[:n, 4:6][heads]
+        kind, own = marks[2 : n + 2, 0], marks[2:, 3][:n]
+        before, glued = marks[1 : n + 1, 2] >> 1, (marks[2 : n + 2, 2] & 1) * ~heads
+        told = np.flatnonzero((before > 0) | (glued > 0))
+        score[told] += self.signed[kind[told], before[told], glued[told]]
+        again = np.flatnonzero((~heads) & ((marks[1 : n + 1, 3] == own) | ((marks[:n, 3] == own) & ~ends[:n])))
         score[again] += self.again[glued[again]]
-        trigger = marks[padded, 1]
-        score += self.asked[:, 0].sum(0) + self.near[kind, 0]
+        trigger = marks[2 : n + 2, 1]
         # Words that ask are rare: what they change is added by itself.
         for p in np.flatnonzero(trigger).tolist():
             for d in range(1, FELT + 1):
-                i = p - FELT + d
-                if i >= n or padded[p + d] == 0:
+                i = p + d
+                if i >= n or ids[i] == 0:
                     break
-                score[i] += self.asked[d - 1, trigger[p]] - self.asked[d - 1, 0]
-                if not trigger[p + 1 : p + d].any():
-                    score[i] += self.near[kind[i], d] - self.near[kind[i], 0]
+                score[i] += self.asked[d - 1, trigger[p]]
+                if not trigger[p + 1 : i].any():
+                    score[i] += self.near[kind[i], d]
         return score
 
 
@@ -385,7 +392,8 @@ class Lines:
     """Generated lines of known truth."""
 
     def __init__(self, rng: random.Random):
-        self.rng = rng
+        #: most: syllables of words of prose; where a secret is asked for, a long word would be one.
+        self.rng, self.most = rng, 7
 
     def pick(self, chars: str, n: int) -> str:
         return "".join(self.rng.choice(chars) for _ in range(n))
@@ -399,9 +407,10 @@ class Lines:
         """A word of prose with the mark that may follow it."""
         rng = self.rng
         x = rng.random()
-        word = rng.choice(COMMON) if x < 0.35 else self.spoken(rng.randrange(1, 6)) if x < 0.9 else self.pick(string.ascii_lowercase, rng.randrange(1, 9))
+        word = rng.choice(COMMON) if x < 0.35 else self.spoken(min(self.most, rng.choice([1, 1, 2, 2, 2, 3, 3, 4, 5, 6, 7]))) if x < 0.9 else self.pick(string.ascii_lowercase, rng.randrange(1, 9))
         x = rng.random()
-        word = word.title() if x < 0.12 else word.upper() if x < 0.15 else word
+        word = "ß" + word if x > 0.95 else word
+        word = word.title() if x < 0.12 or x > 0.96 else word.upper() if x < 0.15 else word
         return word + rng.choice(["", "", "", "", "", "", ",", ".", ". ", ":", "!", "?", "***", "$$$", "!!"])
 
     def prose(self, least: int, most: int) -> str:
@@ -452,7 +461,8 @@ class Lines:
                 lambda: pick(letters, rng.randrange(3, 6)) + rng.choice("!@#$%&*") + pick(letters + string.digits, rng.randrange(3, 8)),
                 lambda: pick(string.digits + letters, rng.randrange(2, 5)) + rng.choice("!#$%^&*?") + pick(letters, 3) + rng.choice("!#$%^&*?") + pick(letters + string.digits, rng.randrange(2, 5)),
                 lambda: pick(letters, rng.randrange(12, 33)),
-                lambda: pick(string.ascii_lowercase, rng.randrange(14, 21)),
+                lambda: pick(string.ascii_lowercase, rng.randrange(10, 21)),
+                lambda: pick(string.ascii_lowercase, rng.randrange(10, 21)).title(),
                 lambda: pick(string.digits, rng.randrange(8, 17)),
                 lambda: pick(letters + string.digits, rng.randrange(7, 14)),
                 lambda: pick(string.ascii_lowercase, 2) + pick(string.digits, 2) + pick(letters, 3),
@@ -514,6 +524,7 @@ class Lines:
         asks = rng.choice(["password", "passwd", "pwd", "pass", "secret", "token", "api_key", "apikey", "auth", "access_key", "client_secret", "credentials", "key", "passphrase", "auth token", "secret key", "API key", "Password", "PASSWORD", "TOKEN", "DB_PASSWORD", "privateKey"])
         quote = rng.choice(["", "", '"', "'", "`"])
         x = rng.random()
+        self.most = 4 if x < 0.44 or 0.72 <= x < 0.9 else 7
         head()
         if x < 0.25:
             add(rng.choice(["", "", "my ", "the ", "new ", "your "]) + asks + rng.choice(["=", " = ", ": ", ":", " is ", " is: ", " ", " => ", " := ", " was ", " to "]) + quote)
@@ -536,9 +547,14 @@ class Lines:
             for _ in range(rng.randrange(1, 4)):
                 add(rng.choice(["", "", "version ", "see ", "file=", "id: ", "at ", "user ", "contact ", "commit ", "card ", "phone: ", "name: "]) + self.plain() + " " + self.prose(1, 8) + " ")
         elif x < 0.78:
-            add(asks + rng.choice([" ", " was ", " in ", ", "]) + self.plain())
+            plain = self.plain()
+            while re.fullmatch("[0-9]{7,}", plain):  # there it would be a secret
+                plain = self.plain()
+            add(asks + rng.choice([" ", " was ", " in ", ", "]) + plain)
         elif x < 0.9:
-            add(rng.choice(["the ", "a ", "", "my ", "The ", "Your ", "this "]) + rng.choice([asks, asks, "author", "keyboard", "passage", "monkey", "authority", "tokens", "keys", "secretary", "passenger"]) + rng.choice([" ", " is ", " was ", " of ", ", ", ". ", ": ", " for ", " to "]) + self.prose(2, 9))
+            add(rng.choice(["the ", "a ", "", "my ", "The ", "Your ", "this "]) + rng.choice([asks, asks, "author", "keyboard", "passage", "monkey", "authority", "tokens", "keys", "secretary", "passenger"]) + rng.choice([" ", " is ", " was ", " of ", ", ", ". ", ": ", " for ", " to "]))
+            # What follows is a word that is used: a long one there would be a pass phrase.
+            add(rng.choice([rng.choice(COMMON), rng.choice(COMMON), self.spoken(rng.randrange(1, 4))[:10]]) + " " + self.prose(2, 9))
         elif x < 0.94:
             add(self.junk())
         else:
@@ -583,26 +599,62 @@ def _tables(field: Field) -> Tables:
     return field.tables
 
 
+def _regions(gains: np.ndarray, ends: np.ndarray, slack: float) -> list[tuple[int, int]]:
+    """Parts of lines that hold every run of tokens which gains by being in a secret, however the steps fall; outside of them outside is best.
+
+    A token gains bound (its gain and slack) at most. A run that reaches beyond a part would have to make up for the negative bounds
+    on the way with all positive ones of the line.
+    """
+    bound = gains.max(1) + slack
+    bound[ends] = -np.inf
+    hopeful = np.flatnonzero(bound > 0)
+    if not len(hopeful):
+        return []
+    line = np.cumsum(ends)[hopeful]
+    most = np.bincount(line, bound[hopeful])[line].tolist()
+    parts: list[tuple[int, int]] = []
+    for n, rest in zip(hopeful.tolist(), most):
+        if parts and n < parts[-1][1]:
+            continue
+        a, left = n, rest
+        while a and (left := left + min(0.0, bound[a - 1])) > 0:
+            a -= 1
+        b, left = n + 1, rest
+        while b < len(bound) and (left := left + min(0.0, bound[b])) > 0:
+            b += 1
+        if parts and a <= parts[-1][1]:
+            a = parts.pop()[0]
+        parts.append((a, b))
+    return parts
+
+
+def best_labels(gains: list[list[float]], steps: list[list[float]], last: bool) -> list[int]:
+    """The best labels (Viterbi) of a part of a line with outside before it, and after it unless it is the last; in ties the smaller label."""
+    never = -np.inf
+    best, back = [0.0, never, never], []
+    for own in gains:
+        through = [[best[k] + steps[k][label] for k in range(3)] for label in range(3)]
+        back.append([max(range(3), key=t.__getitem__) for t in through])
+        best = [max(through[0]), max(through[1]) + own[0], max(through[2]) + own[1]]
+    if not last:
+        best = [best[k] + steps[k][OUT] for k in range(3)]
+    path = [max(range(3), key=best.__getitem__)]
+    for b in reversed(back[1:]):
+        path.append(b[path[-1]])
+    return path[::-1]
+
+
 def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
     """Spans that the field tags as secrets."""
     tokens = TOKEN.findall(text)
     if not tokens:
         return []
     tables = _tables(field)
-    gains = tables.gains(tokens, sum((tables._gain(f) for f in file_features(text)), np.zeros(2)))
-    hopeful = np.flatnonzero(gains.max(1) + tables.slack > 0).tolist()
-    starts, spans, done = None, [], 0
-    for n in hopeful:
-        if n < done or tokens[n] == NOTHING:
-            continue
-        # The line around it: whatever lies beyond stays apart.
-        a = b = n
-        while a and tokens[a - 1] != NOTHING:
-            a -= 1
-        while b < len(tokens) and tokens[b] != NOTHING:
-            b += 1
-        done = b
-        labels = field.decode(np.concatenate([np.zeros((b - a, 1)), gains[a:b]], 1))
+    gains = tables.gains(tokens, np.add(*map(tables.gain, file_features(text)))).astype(float)
+    ends = np.array([t == NOTHING for t in tokens])
+    starts, spans = None, []
+    for a, b in _regions(gains, ends, tables.slack):
+        labels = best_labels(gains[a:b].tolist(), tables.steps, b == len(tokens) or bool(ends[b]))
         if not any(labels):
             continue
         starts = starts or [(m.end() - len(m[0].lstrip()), m.end()) for m in TOKEN.finditer(text)]
