@@ -1,11 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles, on what minwise hashes bring together.
+"""Near copies: exact Jaccard similarity of word shingles, on what minwise hashes bring together.
 
-A text is the set of the hashes of its five-word shingles. Its ROWS * BANDS minwise hashes are cut into
-bands; texts that agree in a band meet, which at similarity 0.8 fails with a chance of 5e-6. Texts that meet, over
-others too, are one group; each text is shuffled once to its group, and there every pair that can reach the
-similarity (by prefixes in order of rarity) and isn't connected yet is compared exactly.
+A text is the set of the hashes of its five-word shingles. Texts of equal sets are one from the start. The ROWS * BANDS minwise
+hashes of a set are cut into bands; sets that agree in a band meet, which at similarity 0.8 fails with a chance of 5e-6. Sets
+that meet, over others too, are one group, and in a group every pair that can reach the similarity (by prefixes in order of
+rarity) and isn't connected yet is compared exactly. A group of more than BLOCK texts, or BLOCK_BYTES, is dealt to blocks, and
+every two blocks are compared by a task of their own: no task holds more than two blocks, and no pair is left out.
 
-Defined results: texts without a word are equal to each other, texts of fewer words than a shingle have one.
+It goes with the fingerprints of simhash.py in the pipeline's stage, which by themselves can't find all copies of that similarity at a
+cost that fits: see the README.
+
+Defined results: texts without a word are equal to each other, texts of fewer words than a shingle have one; a null text is
+an empty one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from millrace.llm.components import components
-from millrace.llm.shared import whole_text, written
+from millrace.llm.shared import dropped, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -29,6 +34,8 @@ ROWS, BANDS = 6, 40
 SEED = 42
 #: Shingles hashed at once.
 PART = 2048
+#: Texts, and bytes of them, that one task holds twice at most when it compares a group.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 
 _rng = np.random.default_rng(SEED)
 _ADD = _rng.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64)
@@ -84,48 +91,49 @@ def joined(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[int]:
     return [root(i) for i in range(len(sets))]
 
 
-def _met(signed: DataFrame) -> DataFrame:
-    """Links (a, b) from every node to the first one of each of its bands."""
+def signature(data: bytes) -> tuple[int, int, np.ndarray]:
+    """Digest of a text's set of shingles (two signed halves), and its bands."""
+    hashes = shingles(data)
+    digest = xxh3_128_digest(hashes.tobytes())
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), bands(hashes).view(np.int64)
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, 0
-        for batch in batches:
-            band, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(band):
-                continue
-            new = np.concatenate([[last is None or band[0] != last], band[1:] != band[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(band)), -1))
-            of = np.where(at < 0, first, node[at])
-            last, first = band[-1], of[-1]
-            far = of != node
-            yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(of[far])], names=["a", "b"])
 
-    each = signed.select(F.explode("bands").alias("band"), "node")
-    return each.repartition("band").sortWithinPartitions("band", "node").mapInArrow(stars, "a long, b long").distinct()
+def equal_sets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) from every node to the first one of an equal set, and (node, bands) of those first ones; signed: node, one, two, bands."""
+    first = written(signed.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1").drop("n"), "equal")
+    met = signed.select("node", "one", "two").join(first, ["one", "two"]).filter("node <> first")
+    links = written(met.select(F.col("node").alias("a"), F.col("first").alias("b")), "equal-links")
+    return links, signed.select("node", "bands").join(links.select(F.col("a").alias("node")), "node", "left_anti")
+
 
+def met(sets: DataFrame) -> DataFrame:
+    """Links (a, b) from every node to the first one of each of its bands; sets: node, bands."""
+    each = written(sets.select(F.explode("bands").alias("band"), "node"), "bands")
+    shared = written(each.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1").drop("n"), "shared-bands")
+    links = written(each.join(shared, "band").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "met")
+    dropped(each, shared)
+    return links
 
-def later_copies(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """place of the rows (place, text; places are distinct and in order) that are connected to a row of a smaller place."""
-    kind = rows.select("place").schema.simpleString()[7:-1]
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [bands(shingles(x.as_py())).view(np.int64) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["node", "place", "bands"])
+def dealt(groups: DataFrame) -> DataFrame:
+    """One row for each task that a text is compared in: node, root, i and j (blocks); groups (written): node, root, size (bytes)."""
+    total = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    placed = groups.join(written(total.select("root", blocks.alias("blocks")), "blocks"), "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # A block is compared with every other; with one block, or the last to be paired, with itself.
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = other.filter("blocks = 1 OR own <> other")
+    return paired.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def verified(group: pa.Table) -> pa.Table:
-        places = group.column("place").to_pylist()
-        order = sorted(range(len(places)), key=lambda i: tuple(places[i].values()))
+
+def verified(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between the texts of each task that reach the similarity, enough to connect all that do; members: node, root, i, j, data."""
+
+    def compared(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_pylist()
         data = group.column("data")
-        roots = joined([shingles(data[i].as_py()) for i in order], similarity)
-        loose = pa.struct([pa.field(f.name, f.type) for f in group.schema.field("place").type])  # all nullable, as declared
-        return pa.table({"place": pa.array([places[order[n]] for n, r in enumerate(roots) if r != n], loose)})
-
-    data = whole_text().cast("binary")
-    numbered = rows.select(F.monotonically_increasing_id().alias("node"), "place", data.alias("data"))
-    # Written, so that the numbers stay.
-    signed = written(numbered.mapInArrow(signatures, f"node long, {kind}, bands array<long>"), "signatures")
-    roots = components(written(_met(signed), "met"))
-    places = written(signed.select("node", "place").join(roots, "node").select("place", "root"), "groups")
-    members = rows.select("place", data.alias("data")).join(places, "place")
-    return members.groupBy("root").applyInArrow(verified, kind)
+        roots = joined([shingles(x.as_py()) for x in data], similarity)
+        far = [n for n, r in enumerate(roots) if r != n]
+        return pa.table({"a": pa.array([nodes[n] for n in far], pa.int64()), "b": pa.array([nodes[roots[n]] for n in far], pa.int64())})
+
+    return members.select("node", "root", "i", "j", "data").groupBy("root", "i", "j").applyInArrow(compared, "a long, b long")

@@ -5,7 +5,8 @@ import pytest
 
 import corpus_pipeline
 from millrace.llm import secret_scan, weak_quality
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute as near_brute
+from tests.llm.test_near_copies import brute_links
 from tests.llm.test_substring import brute
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, votes string, spans string"
@@ -80,8 +81,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
         if k % 2:
             w[rng.randrange(len(w))] = "changed"
         texts.append((500 + k, " ".join(w)))
-    shared = texts[3][1].split("\n")[0]
-    texts += [(700, shared + "\nthe unlike end of it all and more words to keep\n" + shared), (701, "the password=b7db7aa4a5fcc78305 of and to\n" + texts[9][1]), (702, None), (703, ""), (None, prose(rng, 40, ["no", "id", "here"])), texts[0], texts[0]]
+    shared = "here are many words of a line that is long enough to be one of those that are cut"
+    texts += [(699, "of it\n" + shared + "\nand the end of it is near and so on to the last of them"), (700, shared + "\nthe unlike end of it all and more words to keep\n" + shared), (701, "the password=b7db7aa4a5fcc78305 of and to\n" + texts[9][1]), (702, None), (703, ""), (None, prose(rng, 40, ["no", "id", "here"])), texts[0], texts[0]]
     docs = table(spark, texts)
     models = weak_quality.fitted(docs)
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -94,23 +95,16 @@ def test_stages_equal_brute_force(spark, tmp_path):
     two = corpus_pipeline.near_duplicates(spark, one, "")
     assert two.columns == docs.columns
     distinct = sorted(set(kept), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    ranks = [(n, brute_fingerprint(t)) for n, (_, t) in enumerate(distinct)]
-    chosen = [distinct[n] for n in sorted(set(brute_components(ranks)))]
+    loose, close = brute_links(distinct)
+    chosen = [distinct[n] for n in near_brute(distinct, loose | close)]
     assert sorted([(r.doc_id, r.text) for r in two.collect()], key=key) == sorted(chosen, key=key)
     assert len(chosen) < len(distinct)
 
-    three = corpus_pipeline.repeated_lines(spark, two, "")
+    three = corpus_pipeline.repeats(spark, two, "")
     assert three.columns == docs.columns
-    cut, left = brute(chosen, "line", 5), []
-    for i, t in chosen:
-        at, lines = 0, []
-        for line in t.split("\n"):
-            if (at, at + len(line)) not in cut.get((i, t), []):
-                lines.append(line)
-            at += len(line) + 1
-        if "\n".join(lines).split() or not cut.get((i, t)):
-            left.append((i, "\n".join(lines)))
-    assert sorted([(r.doc_id, r.text) for r in three.collect()], key=key) == sorted(left, key=key) and cut
+    cut = brute(chosen)
+    left = [(i, cut[i, t][0]) for i, t in chosen if cut[i, t][0].split() or not cut[i, t][1]]
+    assert sorted([(r.doc_id, r.text) for r in three.collect()], key=key) == sorted(left, key=key) and any(s for _, s in cut.values())
 
     four = corpus_pipeline.secrets(spark, three, "")
     assert four.columns == docs.columns
