@@ -8,12 +8,16 @@ is computed again for a later one.
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import near_copies, packing, secret_scan, simhash, substring, weak_quality
-from millrace.llm.shared import written
+from millrace.llm.components import components
+from millrace.llm.shared import dropped, whole_text, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -26,34 +30,60 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return weak_quality.kept(docs)
 
 
-def _place() -> tuple[list[Column], Column]:
-    """128 bits of id and text that tell a row from others (rows equal in both are copies, of which one stays), and its place in order."""
-    keys = [F.xxhash64("doc_id", "text").alias("__k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("__k2")]
-    return keys, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *keys)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with __near_file and __near_row, which tell a row from all others (equal ones too) in whatever order it is read."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.withColumns({"__near_file": F.xxhash64(at["file_path"]), "__near_row": at["row_index"]})
+    except AnalysisException:  # not a table of files
+        return _numbered(written(docs, "docs"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the smallest id's; of rows with that id the first by text.
+def _signed(rows: DataFrame) -> DataFrame:
+    """place, size, fp, one, two and bands of rows (place, data): a fingerprint and a signature of shingles by one pass over the texts."""
 
-    Documents without an id are a class's last choice.
-    """
-    keys, place = _place()
-    rows = written(simhash.fingerprints(docs.select(place.alias("place"), "text"), id_col="place"), "fingerprints")
-    chosen = written(simhash.classes(rows).select("component_id.__k1", "component_id.__k2").distinct(), "chosen")
-    met = docs.select("*", *keys).join(chosen, ["__k1", "__k2"], "left_semi")
-    return met.dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    def made(batches):
+        for b in batches:
+            data = [x.as_py() for x in b.column(1)]
+            fps = np.array([simhash.fingerprint(x) for x in data], np.uint64).view(np.int64)
+            one, two, bands = zip(*map(near_copies.signature, data)) if data else ((), (), ())
+            columns = [pa.array(map(len, data), pa.int64()), pa.array(fps), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["place", "size", "fp", "one", "two", "bands"])
 
+    kind = rows.select("place").schema.simpleString()[7:-1]
+    return rows.mapInArrow(made, f"{kind}, size long, fp long, one long, two long, bands array<long>")
 
-def loose_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, told apart by id and text, without those connected to an earlier one over five-word Jaccard similarities of 0.8 or more."""
-    keys, place = _place()
-    lost = written(near_copies.later_copies(docs.select(place.alias("place"), "text")).select("place.__k1", "place.__k2"), "lost")
-    return docs.select("*", *keys).join(lost, ["__k1", "__k2"], "left_anti").select(*docs.columns)
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that of the smallest id; of rows with that id the first by a hash of the text.
 
-def all_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates by op5's fingerprints, then what they leave of looser copies."""
-    return loose_copies(spark, written(near_duplicates(spark, docs, sf_dir), "by-fingerprint"), sf_dir)
+    Near-duplicates are documents connected by links: of fingerprints (op5) at two bits or fewer, and of five-word shingles of
+    Jaccard similarity 0.8 or more. Nulls count as empty texts, all texts without a word as equal. Rows without an id are a class's
+    last choice; of repeated rows one stays. An empty table gives no rows. Columns keep their names, whatever these are but
+    __near_file and __near_row.
+    """
+    docs = _numbered(docs)
+    here = ["__near_file", "__near_row"]
+    text = whole_text()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(text).alias("hash"), F.col(here[0]).alias("file"), F.col(here[1]).alias("row"))
+    # Written, so that the numbers of nodes stay.
+    signed = written(_signed(docs.select(place.alias("place"), text.cast("binary").alias("data"))).withColumn("node", F.monotonically_increasing_id()), "signed")
+    classes = simhash.classes(signed.select(F.col("node").alias("doc_id"), "fp"))
+    near = written(signed.select("node", "fp").join(classes, "fp").filter("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b")), "near")
+    equal, sets = near_copies.equal_sets(signed)
+    groups = components(near_copies.met(sets)).join(signed.select("node", "size"), "node")
+    members = near_copies.dealt(written(groups, "groups")).join(signed.select("node", "place.file", "place.row"), "node")
+    members = written(members.select("node", "root", "i", "j", F.col("file").alias(here[0]), F.col("row").alias(here[1])), "members")
+    texts = docs.select(*here, text.cast("binary").alias("data")).join(members.hint("shuffle_hash"), here)
+    similar = written(near_copies.verified(texts), "similar")
+    roots = components(near.unionByName(equal).unionByName(similar))
+    classed = written(signed.select("node", "place").join(roots, "node").select("root", "place"), "classed")
+    first = written(classed.groupBy("root").agg(F.min("place").alias("first")), "first")
+    # Links tie a class's nodes; all but its first go.
+    lost = classed.join(first, "root").filter(~F.col("place").eqNullSafe(F.col("first")))
+    lost = written(lost.select(F.col("place.file").alias(here[0]), F.col("place.row").alias(here[1])), "lost")
+    dropped(signed, near, equal, members, similar, classed, first)
+    return docs.join(lost.hint("shuffle_hash"), here, "left_anti").drop(*here)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +109,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", all_near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("substring dedup", repeats),
     ("secret scans", secrets),
     ("packing", packed),
