@@ -68,7 +68,8 @@ def accuracy_reward(r: Column, expected: Column, category: Column, output: Colum
     mental = T.has_tag(r, "answer") & F.coalesce(T.numbers_match(T.last_number(answer), expected), F.lit(False))
     ran = F.coalesce(T.numbers_match(T.last_number(output), expected), F.lit(False))
     neutral = F.coalesce(expected == "", F.lit(True)) | ~category.isin(*MATH)
-    return F.when(neutral, 0.5).when(F.size(T.code_blocks(r)) == 0, F.when(mental, 0.3).otherwise(0.0)).when(ran, 1.0).otherwise(0.0)
+    code = T.code_blocks(r)
+    return F.when(neutral, 0.5).when(F.size(code) == 0, F.when(mental, 0.3).otherwise(0.0)).when(F.exists(code, trivial), 0.0).when(ran, 1.0).otherwise(0.0)
 
 
 def integrity_reward(called: Column, active: Column) -> Column:
@@ -78,10 +79,26 @@ def integrity_reward(called: Column, active: Column) -> Column:
     return F.when((F.size(unknown) > 0) | (F.size(withheld) > 0), 0.0).otherwise(1.0)
 
 
-def quality_reward(called: Column, active: Column, category: Column) -> Column:
-    """The right tool for the question: each lapse multiplies the score."""
+#: Code of fewer characters does nothing.
+LEAST_CODE = 5
+
+
+def trivial(code: Column) -> Column:
+    """Whether code is too short to do anything."""
+    return F.length(T.strip(F.coalesce(code, F.lit("")))) < LEAST_CODE
+
+
+def empty_code(r: Column) -> Column:
+    """Whether a call of python_execute, native or XML, has trivial code."""
+    native = F.exists(T.call_bodies(r), lambda b: (T.call_name(b) == "python_execute") & trivial(T.call_argument(b, "code")))
+    xml = F.filter(F.regexp_extract_all(r, F.lit(r"(?s)<tool>(.*?)</tool>"), 1), lambda b: b.rlike(r"^\s*python_execute\s*\("))
+    return F.coalesce(native, F.lit(False)) | F.exists(xml, lambda b: trivial(F.get(T.code_blocks(b), F.lit(0))))
+
+
+def quality_reward(r: Column, called: Column, active: Column, category: Column) -> Column:
+    """The right tool for the question: each lapse multiplies the score; a call of code without any is 0."""
     timed = F.array_intersect(active, strings(("get_datetime", "web_search")))
-    return (
+    return F.when(empty_code(r), 0.0).otherwise(
         F.when(category.isin("real_time_dependent", "real_time_data") & (F.size(timed) > 0) & (F.size(F.array_intersect(called, timed)) == 0), 0.1).otherwise(1.0)
         * F.when(category.isin("user_context_behavioral", "verbose_context_behavioral") & ~F.arrays_overlap(called, strings(("user_memory_read", "user_memory_sections"))), 0.4).otherwise(1.0)
         * F.when((category == "entity_facts_web_search") & F.array_contains(active, "web_search") & ~F.array_contains(called, "web_search"), 0.05).otherwise(1.0)
@@ -133,7 +150,7 @@ def harness_violations(r: Column, question: Column, active: Column, pad_open: Co
     last = T.last_sentence(answer)
     code = r.rlike(r'<tool>\s*python_execute|"name"\s*:\s*"python_execute"')
     asked = F.endswith(last, F.lit("?")) & (last.rlike(AXES) | last.rlike(ABOUT_USER))
-    withheld = F.filter(F.array_except(F.array_intersect(called, strings(KNOWN)), active), lambda t: F.contains(F.lower(think), F.concat(t, F.lit(" not available"))))
+    withheld = F.filter(F.array_except(F.array_intersect(called, strings(KNOWN)), active), lambda t: F.regexp_like(F.lower(think), F.concat(t, F.lit(r"\s+not\s+available"))))
     tests = (
         ("P1", ~r.rlike(r"(?i)<think\b")),
         ("P3", F.size(F.array_except(called, strings(KNOWN))) > 0),

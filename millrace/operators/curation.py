@@ -15,6 +15,9 @@ from millrace.operators.ranks import numbered
 
 MIN_RESPONSE = 80
 MIN_THINK = 150
+#: Most tool calls of a trajectory, and characters under which one is of the first stage.
+MOST_CALLS = 5
+SHORT = 600
 #: Marks of a teacher's prompt, and phrases of its scaffolding. Fixed values.
 LEAKS = (
     "you are a frontier ai assistant generating exemplary training data",

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions.hashing import digest, pick, uniform
 from millrace.operators import curation as C
+from millrace.operators import projection as P
 from millrace.operators.ranks import numbered
-from millrace.plans.fixtures import MESSAGES_SQL, RESPONSES_SQL, documents, messages, responses
+from millrace.plans.fixtures import MESSAGES_SQL, RESPONSES_SQL, TRAJECTORIES, documents, messages, responses, trajectories
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +54,7 @@ def m8_stages(spark: SparkSession, d: str) -> DataFrame:
     """Curriculum stages: short rows without tools, all rows, all rows and a replay of the first stage."""
     m = messages(spark, d)
     per = m.groupBy("conv_id").agg(F.max((F.contains("content", F.lit("<tool>"))).cast("int")).alias("tool"), F.sum(F.when(F.col("role") == "assistant", F.length("content") + 1).otherwise(0)).alias("chars"))
-    short = (F.col("tool") == 0) & (F.coalesce("chars", F.lit(0)) - 1 < 1500)
+    short = (F.col("tool") == 0) & (F.coalesce("chars", F.lit(0)) - 1 < C.SHORT)
     one = per.filter(short).select("conv_id")
     sizes = per.agg(F.count("*").alias("n"), F.count_if(short).alias("s"))
     hashed = one.withColumn("h", F.conv(F.substring(digest("replay", F.col("conv_id")), 1, 15), 16, 10).cast("long"))
@@ -81,7 +82,7 @@ def x4_x6_routes(spark: SparkSession, d: str) -> DataFrame:
     calls = F.aggregate(after, F.lit(0), lambda s, c: s + F.regexp_count(c, F.lit(r"(?s)<tool>.*?</tool>")).cast("int"))
     last = F.element_at(m, -1)
     open_end = (last["role"] == "assistant") & F.element_at(after, -1).rlike(r"(?s)<tool>.*?</tool>") & ~F.regexp_replace(F.element_at(after, -1), r"(?s)^.*</tool>", "").rlike("(?is)<answer>.*?</answer>")
-    status = F.when(calls == 0, "unchanged").when(open_end, "dropped_no_answer").when(calls > 2, "dropped_too_many").otherwise("transformed")
+    status = F.when(calls == 0, "unchanged").when(open_end, "dropped_no_answer").when(calls > C.MOST_CALLS, "dropped_too_many").otherwise("transformed")
     native = F.exists(said, lambda c: F.contains(c, F.lit("<tool_call>")))
     stray = F.exists(said, lambda c: F.contains(c, F.lit("<tool>")) | F.contains(c, F.lit("</tool>")))
     route = F.when(native & stray, "mixed").when(native, "native").when(stray, "xml").otherwise("no_tool")
@@ -119,14 +120,17 @@ def a1_a33_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x21_f8_executor(spark: SparkSession, d: str) -> DataFrame:
-    """One row per call of an owned tool: instruction, target, and whether the argument is copied verbatim."""
-    calls = responses(spark, d).select("doc_id", "source", F.posexplode(T.call_bodies(F.col("r"))).alias("k", "body"))
-    rows = calls.select("doc_id", "source", "k", "body", T.call_name(F.col("body")).alias("tool"), F.get_json_object(T.call_arguments(F.col("body")), "$.code").alias("code"))
-    owned = F.col("tool").isin("python_execute", "web_search", "read_url")
-    instruction = F.concat(F.lit("Use python_execute to run this code:\n"), F.col("code"))
-    faulty = F.when(F.col("doc_id") % 20 == 7, F.lit("Use python_execute")).otherwise(instruction)
-    codes = F.array_compact(F.array(F.when(~owned, "E2"), F.when(owned & ~F.contains(faulty, F.col("code")), "E4")))
-    return rows.select("doc_id", F.col("k").cast("long").alias("k"), "tool", F.md5(F.when(owned, instruction)).alias("instruction_md5"), F.md5(F.concat(F.lit("<tool_call>\n"), F.col("body"), F.lit("\n</tool_call>"))).alias("target_md5"), F.array_join(codes, ",").alias("violations"))
+    """One row per call of an owned tool: instruction, target, and the broken terms of the executor's contract, some of them broken on purpose."""
+    rows = P.executor_rows(trajectories(spark, d))
+    broken = lambda n, of, bad, good: F.when(F.col("conv_id") % n == of, bad).otherwise(F.col(good))
+    rows = rows.withColumns({
+        "system": broken(7, 3, F.lit("Another prompt."), "system"),
+        "target": broken(11, 2, F.concat("target", "target"), "target"),
+        "native_tools": broken(5, 1, F.lit("[]"), "native_tools"),
+        "instruction": broken(3, 0, F.left("instruction", F.lit(24)), "instruction"),
+    })
+    codes = P.executor_faults(F.col("system"), F.col("instruction"), F.col("target"), F.col("native_tools"))
+    return rows.select("conv_id", "pos", "k", "tool", "instruction", F.md5("target").alias("target_md5"), F.array_join(codes, ",").alias("violations"))
 
 
 def f7_f9_contract(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +197,7 @@ SQL = {
           CASE WHEN u < 0.5 THEN 'all_tools' WHEN u < 0.7 THEN 'compute_only' WHEN u < 0.9 THEN 'compute_and_search' ELSE 'no_tools' END AS profile,
           ('0x' || substr(md5(concat('m17|', doc_id)), 1, 8))::BIGINT % 5 AS phrase, b <= 20 AS stratified FROM x""",
     "m8_stages": f"""{_T}, p AS (SELECT conv_id, bool_or(contains(content, '<tool>')) AS tool, length(coalesce(string_agg(content, ' ') FILTER (role = 'assistant'), '')) AS chars FROM messages GROUP BY 1),
-        s AS (SELECT conv_id, row_number() OVER (ORDER BY md5(concat('replay|', conv_id)), conv_id) AS k FROM p WHERE NOT tool AND chars < 1500),
+        s AS (SELECT conv_id, row_number() OVER (ORDER BY md5(concat('replay|', conv_id)), conv_id) AS k FROM p WHERE NOT tool AND chars < 600),
         n AS (SELECT least((SELECT count(*) FROM s), greatest(1, (SELECT count(*) FROM p) // 5)) AS replay),
         a AS (SELECT 1 AS stage, conv_id FROM s UNION ALL SELECT 2, conv_id FROM p UNION ALL SELECT 3, conv_id FROM p UNION ALL SELECT 3, conv_id FROM s, n WHERE k <= replay)
         SELECT stage, conv_id, count(*) AS copies FROM a GROUP BY ALL""",
@@ -205,7 +209,7 @@ SQL = {
         g AS (SELECT conv_id, sum(len(regexp_extract_all(post, '(?s)<tool>.*?</tool>'))) FILTER (role = 'assistant')::BIGINT AS calls,
               bool_or(pos = top AND role = 'assistant' AND regexp_matches(post, '(?s)<tool>.*?</tool>') AND NOT regexp_matches(regexp_replace(post, '(?s)^.*</tool>', ''), '(?is)<answer>.*?</answer>')) AS open_end,
               bool_or(role = 'assistant' AND contains(content, '<tool_call>')) AS native, bool_or(role = 'assistant' AND (contains(content, '<tool>') OR contains(content, '</tool>'))) AS stray, count(*) FILTER (role = 'assistant') AS na FROM s GROUP BY 1)
-        SELECT conv_id, calls, CASE WHEN calls = 0 THEN 'unchanged' WHEN open_end THEN 'dropped_no_answer' WHEN calls > 2 THEN 'dropped_too_many' ELSE 'transformed' END AS status,
+        SELECT conv_id, calls, CASE WHEN calls = 0 THEN 'unchanged' WHEN open_end THEN 'dropped_no_answer' WHEN calls > 5 THEN 'dropped_too_many' ELSE 'transformed' END AS status,
           CASE WHEN native AND stray THEN 'mixed' WHEN native THEN 'native' WHEN stray THEN 'xml' ELSE 'no_tool' END AS route FROM g WHERE na > 0""",
     "x8_x9_prompts": f"""{_T}, c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'system') AS s FROM messages GROUP BY 1), v(level, share) AS (VALUES ('minimal', 0.2), ('brief', 0.3), ('none', 0.1))
         SELECT conv_id, level, array_to_string(list_transform(range(0, s), lambda i: 'You are ' || level), '|') AS system, n FROM c, v WHERE {_u("variants", "level", "conv_id")} < share""",
@@ -215,10 +219,15 @@ SQL = {
         FROM messages WINDOW w AS (PARTITION BY conv_id ORDER BY pos, role)""",
     "a1_a33_stats": f"""WITH {RESPONSES_SQL}, x AS (SELECT lang, source, length(text) AS c, contains(r, '<tool>') AS t FROM responses)
         SELECT lang, source, count(*) AS n, (sum(c) // count(*))::BIGINT AS mean_chars, count(*) FILTER (t) AS tool_rows FROM x GROUP BY GROUPING SETS ((), (lang), (source))""",
-    "x21_f8_executor": rf"""WITH {RESPONSES_SQL}, c AS (SELECT doc_id, regexp_extract_all(r, '(?s)<tool_call>\s*(.*?)\s*</tool_call>', 1) AS cs FROM responses),
-        e AS (SELECT doc_id, k - 1 AS k, cs[k] AS body, json_extract_string(cs[k], '$.name') AS tool, json_extract_string(cs[k], '$.arguments.code') AS code FROM c, unnest(range(1, len(cs) + 1)) AS u(k))
-        SELECT doc_id, k, tool, CASE WHEN tool = 'python_execute' THEN md5(concat('Use python_execute to run this code:', chr(10), code)) END AS instruction_md5, md5(concat('<tool_call>', chr(10), body, chr(10), '</tool_call>')) AS target_md5,
-          CASE WHEN tool <> 'python_execute' THEN 'E2' WHEN doc_id % 20 = 7 THEN 'E4' ELSE '' END AS violations FROM e""",
+    "x21_f8_executor": rf"""WITH {TRAJECTORIES}, g AS (SELECT conv_id, pos, regexp_extract_all(content, '(?s)<tool_call>\s*(.*?)\s*</tool_call>', 1) AS cs FROM trajectories WHERE role = 'assistant'),
+        b AS (SELECT conv_id, pos, (k - 1)::INT AS k, cs[k] AS body, replace(cs[k], chr(10), '\n') AS strict FROM g, unnest(range(1, len(cs) + 1)) AS u(k)),
+        a AS (SELECT *, json_extract_string(strict, '$.name') AS tool, json_extract_string(strict, '$.arguments') AS args FROM b),
+        i AS (SELECT *, CASE tool WHEN 'web_search' THEN nullif('Use web_search to find: ' || trim(json_extract_string(args, '$.query')), 'Use web_search to find: ') WHEN 'python_execute' THEN 'Use python_execute to run this code:' || chr(10) || json_extract_string(args, '$.code')
+              WHEN 'read_url' THEN 'Use read_url to fetch ' || json_extract_string(args, '$.url') || ' and extract: ' || json_extract_string(args, '$.prompt') END AS told,
+              CASE tool WHEN 'web_search' THEN trim(json_extract_string(args, '$.query')) WHEN 'python_execute' THEN json_extract_string(args, '$.code') ELSE json_extract_string(args, '$.url') END AS salient FROM a),
+        f AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN left(told, 24) ELSE told END AS instruction, concat('<tool_call>', chr(10), body, chr(10), '</tool_call>') AS call, conv_id % 11 = 2 AS twice FROM i WHERE told IS NOT NULL)
+        SELECT conv_id, pos, k, tool, instruction, md5(CASE WHEN twice THEN call || call ELSE call END) AS target_md5,
+          array_to_string(list_filter([CASE WHEN conv_id % 7 = 3 THEN 'E1' END, CASE WHEN twice THEN 'E2' END, CASE WHEN conv_id % 5 = 1 AND NOT twice THEN 'E3' END, CASE WHEN NOT twice AND NOT contains(instruction, salient) THEN 'E4' END], lambda x: x IS NOT NULL), ',') AS violations FROM f""",
     "f7_f9_contract": rf"""{_T}, {_GATE}, m AS (SELECT conv_id, min_by(role, pos) AS r1, min_by(content, pos) AS c1, max_by(role, pos) AS rl, max_by(content, pos) AS cl, min_by(content, pos) FILTER (role = 'user') AS u,
             bool_or(role = 'assistant' AND contains(content, '<tool>')) AS tool, bool_or(role = 'assistant' AND regexp_replace(regexp_extract(content, '(?is)<think>(.*?)</think>', 1), '^\s+|\s+$', '', 'g') = '') AS empty FROM messages GROUP BY 1),
         a AS (SELECT unnest(list_filter([CASE WHEN r1 <> 'system' OR c1 <> 'You are helpful.' THEN 'T1' END, CASE WHEN NOT (rl = 'assistant' AND (contains(cl, '<answer>') OR contains(cl, '<ask>'))) THEN 'T2_end' END,

@@ -144,7 +144,7 @@ def w5_w9_ladder(spark: SparkSession, d: str) -> DataFrame:
     per = scores(spark, d).groupBy("principle", "label").agg(F.avg("rule_score").alias("score"))
     before = F.lag("score").over(Window.partitionBy("principle").orderBy("label"))
     rows = per.withColumn("before", before).withColumn("delta", _r(F.col("score") - F.col("before")))
-    fails, falls = F.col("score") < 0.45, F.col("delta") < -0.05
+    fails, falls = F.col("score") < 0.6, F.col("delta") < -0.05
     flag = F.when(fails & falls, "FAIL+REGRESS").when(fails, "FAIL").when(falls, "REGRESS")
     return rows.select("principle", "label", _r(F.col("score")).alias("score"), "delta", flag.alias("flag"))
 
@@ -309,7 +309,7 @@ SQL = {
     "w5_w9_ladder": f"""{_S}, p AS (SELECT principle, label, avg(rule_score) AS score FROM scores GROUP BY ALL),
         l AS (SELECT a.principle, a.label, a.score, round(a.score - b.score, 6) AS delta FROM p a LEFT JOIN p b ON a.principle = b.principle
               AND b.label = CASE a.label WHEN 'error' THEN 'click' WHEN 'purchase' THEN 'error' WHEN 'signup' THEN 'purchase' WHEN 'view' THEN 'signup' END)
-        SELECT principle, label, round(score, 6) AS score, delta, CASE WHEN score < 0.45 AND delta < -0.05 THEN 'FAIL+REGRESS' WHEN score < 0.45 THEN 'FAIL' WHEN delta < -0.05 THEN 'REGRESS' END AS flag FROM l""",
+        SELECT principle, label, round(score, 6) AS score, delta, CASE WHEN score < 0.6 AND delta < -0.05 THEN 'FAIL+REGRESS' WHEN score < 0.6 THEN 'FAIL' WHEN delta < -0.05 THEN 'REGRESS' END AS flag FROM l""",
     "t1_t7_agreement": f"""{_S}, p AS (SELECT label, event_id, rule_score AS x, judge_score AS y, (rule_score >= 0.6)::INT AS a, (judge_score >= 0.6)::INT AS b FROM scores WHERE judge_score IS NOT NULL),
         r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY x) + (count(*) OVER (PARTITION BY label, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY label ORDER BY y) + (count(*) OVER (PARTITION BY label, y) - 1) / 2.0 AS ry FROM p),
         k AS (SELECT label, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman, avg(abs(x - y)) AS mae, avg((abs(x - y) <= 1e-9)::INT) AS exact, avg((a = b)::INT) AS po, avg(a) AS pa, avg(b) AS pb, avg(y) - avg(x) AS bias,

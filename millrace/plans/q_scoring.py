@@ -22,7 +22,7 @@ def r1_r6_rewards(spark: SparkSession, d: str) -> DataFrame:
         "format": S.format_reward(r),
         "accuracy": S.accuracy_reward(r, F.col("expected"), category, F.col("output")),
         "tool_integrity": S.integrity_reward(called, active),
-        "tool_quality": S.quality_reward(called, active, category),
+        "tool_quality": S.quality_reward(r, called, active, category),
         "constitution": S.structure_reward(r),
         "greedy_followup": S.followup_reward(r, category),
     }
@@ -248,11 +248,12 @@ _STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 SQL = {
     "r1_r6_rewards": rf"""WITH {RESPONSES_SQL},
         x AS (SELECT *, length({s(body('think'))}) AS n, regexp_matches(r, '(?i)<think>') AS ot, regexp_matches(r, '(?i)<answer>') AS oa, {_TOOLS} AS called, {_ACTIVE} AS active, {OUTPUT} AS output, {_LAST} AS last,
-              len(regexp_extract_all(r, '(?s)code\s*=\s*"([^"]*)"\s*\)')) AS codes FROM responses),
+              regexp_extract_all(r, '(?s)code\s*=\s*"([^"]*)"\s*\)', 1) AS code, len(code) AS codes, len(list_filter(code, lambda c: length(trim(c)) < 5)) > 0 AS hollow,
+              len(list_filter(regexp_extract_all(r, '(?s)<tool_call>\s*(.*?)\s*</tool_call>', 1), lambda b: json_extract_string(b, '$.name') = 'python_execute' AND length(trim(json_extract_string(b, '$.arguments.code'))) < 5)) > 0 AS hollow_call FROM responses),
         p AS (SELECT doc_id, (CASE WHEN NOT (ot AND oa) THEN 0 WHEN n = 0 THEN 0.15 WHEN n < 40 THEN 0.4 WHEN contains(r, 'CAPABILITY_CHECK') THEN 0.6 WHEN n < 100 THEN 0.75 ELSE 1 END)::DOUBLE AS format,
-          (CASE WHEN category NOT IN {_MATH} THEN 0.5 WHEN codes = 0 THEN CASE WHEN {has('answer')} AND {_match(_number(body('answer')))} THEN 0.3 ELSE 0 END WHEN {_match(_number('output'))} THEN 1 ELSE 0 END)::DOUBLE AS accuracy,
+          (CASE WHEN category NOT IN {_MATH} THEN 0.5 WHEN codes = 0 THEN CASE WHEN {has('answer')} AND {_match(_number(body('answer')))} THEN 0.3 ELSE 0 END WHEN hollow THEN 0 WHEN {_match(_number('output'))} THEN 1 ELSE 0 END)::DOUBLE AS accuracy,
           (CASE WHEN len(list_filter(called, lambda t: NOT list_contains({_KNOWN}, t))) > 0 OR len(list_filter(called, lambda t: t IN ('python_execute', 'web_search', 'read_url', 'get_datetime') AND NOT list_contains(active, t))) > 0 THEN 0 ELSE 1 END)::DOUBLE AS tool_integrity,
-          ((CASE WHEN category = 'real_time_data' AND len(list_intersect(active, ['get_datetime', 'web_search'])) > 0 AND len(list_intersect(called, list_intersect(active, ['get_datetime', 'web_search']))) = 0 THEN 0.1 ELSE 1 END)
+          (CASE WHEN hollow OR hollow_call THEN 0 ELSE 1 END * (CASE WHEN category = 'real_time_data' AND len(list_intersect(active, ['get_datetime', 'web_search'])) > 0 AND len(list_intersect(called, list_intersect(active, ['get_datetime', 'web_search']))) = 0 THEN 0.1 ELSE 1 END)
             * (CASE WHEN category = 'user_context_behavioral' THEN 0.4 ELSE 1 END) * (CASE WHEN category = 'entity_facts_web_search' AND list_contains(active, 'web_search') AND NOT list_contains(called, 'web_search') THEN 0.05 ELSE 1 END)
             * (CASE WHEN category IN {_MATH} AND list_contains(active, 'python_execute') AND NOT list_contains(called, 'python_execute') THEN 0.2 ELSE 1 END))::DOUBLE AS tool_quality,
           (ot::INT + oa::INT) / 2.0::DOUBLE AS constitution,
@@ -265,7 +266,7 @@ SQL = {
     "f10_harness": rf"""WITH {RESPONSES_SQL}, x AS (SELECT doc_id, {_ACTIVE} AS active, doc_id % 2 = 0 AS math, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 2 END AS pad, r || CASE WHEN doc_id % 20 = 6 THEN '<tool>x(</tool><tool>y(</tool>' ELSE '' END AS r FROM responses),
         y AS (SELECT *, regexp_extract_all(r, '<tool>(\w+)\(', 1) || regexp_extract_all(r, '"name"\s*:\s*"(\w+)"', 1) AS called, regexp_extract(r, '(?is)<think\b.*?</think>') AS think, {_LAST} AS last FROM x)
         SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT regexp_matches(r, '(?i)<think\b') THEN 'P1' END, CASE WHEN len(list_filter(called, lambda t: NOT list_contains({_KNOWN}, t))) > 0 THEN 'P3' END,
-          CASE WHEN len(list_filter(called, lambda t: list_contains({_KNOWN}, t) AND NOT list_contains(active, t) AND contains(lower(think), t || ' not available'))) > 0 THEN 'P3_unavailable' END,
+          CASE WHEN len(list_filter(called, lambda t: list_contains({_KNOWN}, t) AND NOT list_contains(active, t) AND regexp_matches(lower(think), t || '\s+not\s+available'))) > 0 THEN 'P3_unavailable' END,
           CASE WHEN list_contains(active, 'python_execute') AND math AND NOT regexp_matches(r, '<tool>\s*python_execute|"name"\s*:\s*"python_execute"') AND regexp_matches(r, '(?s)<answer>.*\d[\d,.]+.*</answer>') THEN 'P4' END,
           CASE WHEN NOT regexp_matches(r, '(?i)<answer\b') THEN 'P18' END, CASE WHEN length(think) >= 20 AND NOT regexp_matches(think, '{S.FIRST_PRINCIPLES}') THEN 'P20' END,
           CASE WHEN {has('answer')} AND NOT (ends_with(last, '?') AND (regexp_matches(last, '{S.AXES}') OR regexp_matches(last, '{S.ABOUT_USER}'))) THEN 'P21' END,

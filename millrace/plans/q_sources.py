@@ -20,9 +20,9 @@ def s4_s8_discovery(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s6_newest(spark: SparkSession, d: str) -> DataFrame:
-    """The same by time of change."""
+    """The latest report per label and suite by time of change, whatever its name."""
     files = documents(spark, d).select(F.expr(PATH.replace("VARCHAR(8)", "STRING")).alias("path"), F.col("doc_id").alias("changed"))
-    return J.discovered(files, newest_by="changed")
+    return J.discovered(files, skip=None, newest_by="changed")
 
 
 def s12_quota(spark: SparkSession, d: str) -> DataFrame:
@@ -36,13 +36,14 @@ def k3_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (s4_s8_discovery, s6_newest, s12_quota, k3_total)}
-_FILES = rf"""f AS (SELECT {PATH} AS path, doc_id AS changed FROM documents),
- p AS (SELECT path, changed, string_split(path, '/')[-1] AS name, string_split(path, '/')[-2] AS folder FROM f WHERE NOT regexp_matches(path, '_rescored|_alignment')),
+_ALL_FILES = rf"""f AS (SELECT {PATH} AS path, doc_id AS changed FROM documents),
+ p AS (SELECT path, changed, string_split(path, '/')[-1] AS name, string_split(path, '/')[-2] AS folder FROM f),
  s AS (SELECT *, regexp_extract(name, '{J.NAME}', 1) AS suite, regexp_extract(name, '{J.NAME}', 2) AS own, regexp_extract(name, '{J.NAME}', 3) AS stamp FROM p),
  r AS (SELECT *, CASE WHEN own <> '' THEN own ELSE folder END AS label FROM s WHERE suite <> '')"""
+_FILES = _ALL_FILES.replace("FROM f)", "FROM f WHERE NOT regexp_matches(path, '_rescored|_alignment'))")
 SQL = {
     "s4_s8_discovery": f"WITH {_FILES} SELECT label, suite, path FROM r QUALIFY row_number() OVER (PARTITION BY label, suite ORDER BY own = '' DESC, stamp DESC, name DESC, path DESC) = 1",
-    "s6_newest": f"WITH {_FILES} SELECT label, suite, path FROM r QUALIFY row_number() OVER (PARTITION BY label, suite ORDER BY changed DESC) = 1",
+    "s6_newest": f"WITH {_ALL_FILES} SELECT label, suite, path FROM r QUALIFY row_number() OVER (PARTITION BY label, suite ORDER BY changed DESC) = 1",
     "s12_quota": "SELECT doc_id, source FROM documents WHERE n_chars >= 300 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10",
     "k3_total": "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY 1 UNION ALL SELECT 'OVERALL', count(*), round(avg(n_chars), 6) FROM documents",
 }

@@ -40,13 +40,13 @@ def suite_of(name: Column) -> Column:
     return F.regexp_extract(name, NAME, 1)
 
 
-def discovered(files: DataFrame, skip: str = "_rescored|_alignment", newest_by: str = "name") -> DataFrame:
+def discovered(files: DataFrame, skip: str | None = "_rescored|_alignment", newest_by: str = "name") -> DataFrame:
     """files (path, changed) to label, suite, path: the latest report of each. A label folder wins over a label in the name.
 
-    newest_by: "name" (its stamp) or "changed".
+    skip: paths that are left out, as a regular expression, or None. newest_by: "name" (its stamp) or "changed".
     """
     name, folder = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
-    rows = files.filter(~F.col("path").rlike(skip)).select("path", "changed", name.alias("name"), folder.alias("folder")).withColumn("suite", suite_of(F.col("name"))).filter("suite <> ''")
+    rows = (files.filter(~F.col("path").rlike(skip)) if skip else files).select("path", "changed", name.alias("name"), folder.alias("folder")).withColumn("suite", suite_of(F.col("name"))).filter("suite <> ''")
     inner = F.regexp_extract("name", NAME, 2)
     rows = rows.withColumn("label", F.when(inner != "", inner).otherwise(F.col("folder"))).withColumn("in_folder", (inner == "").cast("int")).withColumn("stamp", F.regexp_extract("name", NAME, 3))
     newest = F.struct("in_folder", "stamp", "name", "path") if newest_by == "name" else F.struct("changed", "path")
