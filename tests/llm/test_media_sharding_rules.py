@@ -130,3 +130,14 @@ def test_media_columns_round_trip(spark):
     assert media.features(media.with_media(table(spark, []))).count() == 0
     nulls = media.features(spark.createDataFrame([(1, None)], "doc_id long, media binary"), ("doc_id",)).collect()
     assert nulls[0].payload is None and nulls[0].feature is None
+
+
+def test_all_filter_types_are_written_and_read_back():
+    """Images of many heights, read together; each type is the best of some row."""
+    rng = np.random.default_rng(5)
+    images = [rng.integers(0, 256, (h, 64), dtype=np.uint8) for h in (1, 2, 50, 300)] + [np.cumsum(rng.integers(0, 3, (h, 64)), axis, dtype=np.uint8) for h in (1, 40) for axis in (0, 1)]
+    images += [np.frombuffer((b"of the and that is here now " * 200)[: 64 * 30], np.uint8).reshape(30, 64), np.add.outer(np.arange(40), np.arange(64)).astype(np.uint8), np.zeros((3, 64), np.uint8)]
+    stored = [media.encode_png(x.tobytes()) for x in images]
+    assert {k for s in stored for k in media.inflated(s)[:, 0]} == {0, 1, 2, 3, 4}
+    assert all((a == b).all() for a, b in zip(media.decoded(stored), images))
+    assert media.decoded([]) == []
