@@ -70,8 +70,10 @@ WITH known(id, text) AS (VALUES {values}),
 texts AS (SELECT 'k' AS kind, NULL::BIGINT AS doc_id, id, text, row_number() OVER () AS r FROM known
           UNION ALL SELECT 'd', doc_id, NULL, coalesce(text, ''), -row_number() OVER () FROM documents),
 plain AS (SELECT kind, doc_id, id, r, regexp_replace(regexp_replace(lower(text), {_literal(copyright_line)}, '', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM texts),
-lines AS (SELECT kind, doc_id, id, r, string_split({_spelled("array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10))", spellings)}, chr(10)) AS ls FROM plain),
-forms AS (SELECT kind, doc_id, id, r, ls, sha256({_spelled("array_to_string(ls, ' ')", spellings)}) AS digest FROM lines),
+bare AS (SELECT kind, doc_id, id, r, list_transform(string_split(t, chr(10)), lambda l: trim(l)) AS every FROM plain),
+lines AS (SELECT kind, doc_id, id, r, string_split({_spelled("array_to_string(list_filter(every, lambda l: l <> ''), chr(10))", spellings)}, chr(10)) AS ls,
+          list_transform(list_filter(string_split_regex(regexp_replace(array_to_string(every, chr(10)), '^\n+|\n+$', '', 'g'), '\n{{2,}}'), lambda b: contains(b, chr(10))), lambda b: {_spelled("replace(b, chr(10), ' ')", spellings)}) AS bs FROM bare),
+forms AS (SELECT kind, doc_id, id, r, ls || bs AS ls, sha256({_spelled("array_to_string(ls, ' ')", spellings)}) AS digest FROM lines),
 catalogue AS (SELECT digest, min(id) AS id FROM forms WHERE kind = 'k' GROUP BY digest),
 hits AS (SELECT f.r, c.id FROM (SELECT r, unnest(ls) AS l FROM forms WHERE kind = 'd') f JOIN catalogue c ON sha256(f.l) = c.digest),
 counted AS (SELECT r, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS notices FROM hits GROUP BY r)
