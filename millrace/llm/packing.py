@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import whole_text, written
+from millrace.llm.shared import kept, whole_text, written
 from millrace.llm.tokens import ByteLevel, CachedEncoder
 
 WINDOW = 2048
@@ -227,14 +227,9 @@ def packed(
     return whole.unionByName(groups.groupBy("merge").applyInArrow(joined, _rows(kind)))
 
 
-_ENCODERS: dict[tuple[str, str], CachedEncoder] = {}
-
-
 def encoder(path: str, pattern: str) -> CachedEncoder:
-    """This worker's encoder for a vocabulary; its cache serves all tasks that follow."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = CachedEncoder(ByteLevel(path, pattern))
-    return _ENCODERS[path, pattern]
+    """This worker's encoder for a vocabulary; its cache serves the tasks that follow."""
+    return kept(("packing", path, pattern), lambda: CachedEncoder(ByteLevel(path, pattern)))
 
 
 def _batch(rows: list[tuple], doc_type: pa.DataType, done: bool = True) -> pa.RecordBatch:

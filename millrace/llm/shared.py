@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: ASCII white space that parts words: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Shuffle files go when the query that made them ends; its written rows are what later ones read.
@@ -30,6 +33,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """What one worker keeps for later tasks, of one operator at a time: tasks of another one free it."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Frees what this worker keeps; called by tasks that need the memory for texts."""
+    _KEPT.clear()
+
+
 def _files(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from millrace.llm.shared import WORD, dropped, written
+from millrace.llm.shared import WORD, dropped, forget, written
 
 MIN_WORDS = 15
 PASSAGE = 50
@@ -65,12 +65,17 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 
 
 def _rolled(words: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """A hash of every size words in a row."""
-    n = len(words) - size + 1
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out *= np.uint64(factor)
-        out += words[j : j + n]
+    """A hash of every size words in a row: a polynomial, put together from those of 1, 2, 4 ... words."""
+    part, length, out, done = words, 1, None, 0
+    while size:
+        if size & 1:
+            # The words of out come first.
+            out = part if out is None else out[: len(part) - done] * np.uint64(pow(factor, length, 1 << 64)) + part[done:]
+            done += length
+        size >>= 1
+        if size:
+            part = part[:-length] * np.uint64(pow(factor, length, 1 << 64)) + part[length:]
+            length *= 2
     return out ^ (out >> np.uint64(32))
 
 
@@ -200,6 +205,7 @@ def repeated(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, id
     split = _splitter(kind)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             held, each = 0, []
             for n in range(b.num_rows):

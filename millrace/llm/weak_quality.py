@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import whole_text
+from millrace.llm.shared import forget, whole_text
 
 SAMPLE = 4000
 DIMENSIONS = 1 << 16
@@ -200,6 +200,7 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col).alias("doc_id"), pick.alias("pick"), text.cast("binary").alias("data"))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             found = [votes_of(measures(x.as_py())[0]) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=["doc_id", "pick", "votes"])
