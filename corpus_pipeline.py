@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import near_copies, packing, secret_scan, simhash, substring, weak_quality
 from millrace.llm.components import components
-from millrace.llm.shared import dropped, whole_text, written
+from millrace.llm.shared import dropped, forget, whole_text, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -43,6 +43,7 @@ def _signed(rows: DataFrame) -> DataFrame:
     """place, size, fp, one, two and bands of rows (place, data): a fingerprint and a signature of shingles by one pass over the texts."""
 
     def made(batches):
+        forget()
         for b in batches:
             data = [x.as_py() for x in b.column(1)]
             fps = np.array([simhash.fingerprint(x) for x in data], np.uint64).view(np.int64)
