@@ -19,16 +19,25 @@ def pearson(x: Column, y: Column, least: int = 2) -> Column:
     return F.when(varied, F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
-def average_rank(value: Column, *partition: str) -> Column:
-    """1-based rank of a value in its partition; ties share the mean of their places."""
-    return F.rank().over(Window.partitionBy(*partition).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / 2.0
+def average_ranks(cells: DataFrame, by: str, value: str, count: str, to: str) -> DataFrame:
+    """by, value and to: the 1-based rank of each distinct value, ties sharing the mean of their places, from counts of values.
+
+    What is sorted per group are distinct values (scores have few), never rows.
+    """
+    counts = cells.groupBy(by, value).agg(F.sum(count).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.select(by, value, (before + (F.col("k") + 1) / 2.0).alias(to))
 
 
 def spearman(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """by, spearman: Pearson's r of average ranks, per group."""
-    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = pairs.select(by, average_rank(F.col(x), by).alias("rx"), average_rank(F.col(y), by).alias("ry"))
-    return ranked.groupBy(by).agg(pearson(F.col("rx"), F.col("ry")).alias("spearman"))
+    """by, spearman: Pearson's r of average ranks, per group, from counts of the pairs of values."""
+    cells = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
+    ranked = cells.join(average_ranks(cells, by, "x", "c", "rx"), [by, "x"]).join(average_ranks(cells, by, "y", "c", "ry"), [by, "y"])
+    total = lambda e: F.sum(F.col("c") * e)
+    sums = ranked.groupBy(by).agg(F.sum("c").alias("n"), F.max("rx").alias("mx"), F.min("rx").alias("lx"), F.max("ry").alias("my"), F.min("ry").alias("ly"), total(F.col("rx")).alias("sx"), total(F.col("ry")).alias("sy"), total(F.col("rx") * F.col("rx")).alias("sxx"), total(F.col("ry") * F.col("ry")).alias("syy"), total(F.col("rx") * F.col("ry")).alias("sxy"))
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    spread = F.sqrt((n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy))
+    return sums.select(by, F.when((F.col("mx") > F.col("lx")) & (F.col("my") > F.col("ly")), (n * F.col("sxy") - sx * sy) / F.nullif(spread, F.lit(0.0))).alias("spearman"))
 
 
 def categorical_agreement(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:

@@ -45,9 +45,11 @@ def m3_m7_samples(spark: SparkSession, d: str) -> DataFrame:
     u = uniform("m16", F.col("doc_id"))
     profile = F.when(u < 0.5, "all_tools").when(u < 0.7, "compute_only").when(u < 0.9, "compute_and_search").otherwise("no_tools")
     order = F.row_number().over(Window.partitionBy("lang").orderBy(digest("m6", F.col("doc_id"))))
-    return docs.join(kept, "doc_id", "left").select(
+    # Filtered by itself, so that tasks pass on twenty rows of a language at most.
+    first = docs.withColumn("nth", order).filter("nth <= 20").select("doc_id", F.lit(True).alias("first"))
+    return docs.join(kept, "doc_id", "left").join(first, "doc_id", "left").select(
         "doc_id", F.coalesce("capped_in", F.lit(False)).alias("capped_in"), (uniform("m5", F.col("doc_id")) < 0.3).alias("drawn"), (uniform("m7", F.col("doc_id")) < 0.1).alias("is_eval"),
-        profile.alias("profile"), pick(5, "m17", F.col("doc_id")).alias("phrase"), (order <= 20).alias("stratified"))
+        profile.alias("profile"), pick(5, "m17", F.col("doc_id")).alias("phrase"), F.coalesce("first", F.lit(False)).alias("stratified"))
 
 
 def m8_stages(spark: SparkSession, d: str) -> DataFrame:
@@ -68,9 +70,9 @@ def m8_stages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m9_interleave(spark: SparkSession, d: str) -> DataFrame:
-    """One French or German document's place after every five others."""
+    """The place of one French or German document after every five others."""
     docs = documents(spark, d).select("doc_id", "lang")
-    rows = C.interleaved(docs.filter("lang IN ('en', 'es')"), docs.filter("lang = 'fr'"), 5, "doc_id", "doc_id")
+    rows = C.interleaved(docs.filter("lang IN ('en', 'es')"), docs.filter("lang IN ('fr', 'de')"), 5, "doc_id", "doc_id")
     return rows.select("doc_id", F.col("place").cast("long").alias("place"))
 
 
@@ -202,7 +204,7 @@ SQL = {
         a AS (SELECT 1 AS stage, conv_id FROM s UNION ALL SELECT 2, conv_id FROM p UNION ALL SELECT 3, conv_id FROM p UNION ALL SELECT 3, conv_id FROM s, n WHERE k <= replay)
         SELECT stage, conv_id, count(*) AS copies FROM a GROUP BY ALL""",
     "m9_interleave": """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE lang IN ('en', 'es')),
-        b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS j FROM documents WHERE lang = 'fr'), n AS (SELECT count(*) AS n FROM a)
+        b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS j FROM documents WHERE lang IN ('fr', 'de')), n AS (SELECT count(*) AS n FROM a)
         SELECT doc_id, i + least((i - 1) // 5, (SELECT count(*) FROM b)) AS place FROM a
         UNION ALL SELECT doc_id, CASE WHEN j * 5 <= n THEN j * 5 + j ELSE n + j END FROM b, n""",
     "x4_x6_routes": rf"""{_T}, s AS (SELECT conv_id, pos, role, content, regexp_replace(content, '(?is)^.*?</think\s*>', '') AS post, max(pos) OVER (PARTITION BY conv_id) AS top FROM messages),

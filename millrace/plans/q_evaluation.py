@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import ranking as K
 from millrace.operators import stats as S
+from millrace.operators.ranks import numbered, numbered_within, rolling_mean
 from millrace.plans.fixtures import RESPONSES_SQL, SCORES_SQL, responses, scores
 
 #: Principles by family, tier and weight: made-up values for nine principles.
@@ -74,9 +75,8 @@ def a3_a5_depth_tools_cost(spark: SparkSession, d: str) -> DataFrame:
 
 def a25_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Counts and p50, p95, p99 by index int(n * p / 100), clamped, per event type."""
-    w = Window.partitionBy("label").orderBy("value", "event_id")
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("label"), "value", "event_id")
-    rows = e.withColumn("at", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    rows = numbered_within(e, "label", "value", "event_id", to="at")
     place = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
     return rows.groupBy("label").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("at") == place(p), F.col("value"))).alias(f"p{p}") for p in (50, 95, 99)])
 
@@ -197,23 +197,25 @@ def t15_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t16_rouge(spark: SparkSession, d: str) -> DataFrame:
-    """ROUGE-1 and ROUGE-2 of documents against the benchmark item of the same remainder: n-gram multisets, no stemming."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id"), F.col("text").alias("ref"))
-    n_items = items.agg(F.max("item_id") + 1).first()[0]
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.pmod("doc_id", F.lit(n_items)).alias("item_id"))
+    """ROUGE-1 and ROUGE-2 (precision, recall, F) of documents against the benchmark item of the same remainder: n-gram multisets, no stemming.
+
+    Each document meets its one reference, and n-grams are counted within the row.
+    """
+    items = numbered(spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("ref")), "item_id", to="k")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.pmod("doc_id", F.lit(max(1, items.count()))).alias("k"))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), 1)
-    grams = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    ids = docs.select("doc_id", "item_id", words("text").alias("w"))
-    refs = items.select("item_id", words("ref").alias("w"))
-    out = docs.select("doc_id")
+    rows = docs.select("doc_id", "k", words("text").alias("w")).join(items.select("k", words("ref").alias("r")), "k")
+    out = [F.col("doc_id")]
     for n in (1, 2):
-        mine = ids.select("doc_id", "item_id", F.explode(grams(F.col("w"), n)).alias("g")).groupBy("doc_id", "item_id", "g").agg(F.count("*").alias("c"))
-        theirs = refs.select("item_id", F.explode(grams(F.col("w"), n)).alias("g")).groupBy("item_id", "g").agg(F.count("*").alias("rc"))
-        hits = mine.join(theirs, ["item_id", "g"]).groupBy("doc_id").agg(F.sum(F.least("c", "rc")).alias("hit"))
-        sizes = ids.select("doc_id", "item_id", F.greatest(F.size("w") - (n - 1), F.lit(0)).alias("size")).join(refs.select("item_id", F.greatest(F.size("w") - (n - 1), F.lit(0)).alias("of")), "item_id")
-        f = F.try_divide(2 * F.coalesce("hit", F.lit(0)), F.col("size") + F.col("of"))
-        out = out.join(sizes.join(hits, "doc_id", "left").select("doc_id", _r(F.coalesce(f, F.lit(0.0))).alias(f"rouge{n}_f")), "doc_id")
-    return out
+        grams = lambda w: w if n == 1 else F.when(F.size(w) >= 2, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))  # noqa: E731, B023
+        rows = rows.withColumns({f"g{n}": grams(F.col("w")), f"h{n}": grams(F.col("r"))})
+        rows = rows.withColumn(f"d{n}", F.array_distinct(f"h{n}")).withColumn(f"c{n}", F.filter(f"g{n}", lambda g: F.array_contains(F.col(f"d{n}"), g)))  # noqa: B023
+        times = lambda name, g: F.size(F.filter(name, lambda x: x == g))
+        hit = F.aggregate(F.array_distinct(f"c{n}"), F.lit(0), lambda s, g: s + F.least(times(f"c{n}", g), times(f"h{n}", g)))  # noqa: B023
+        rows = rows.withColumn(f"hit{n}", hit)
+        share = lambda of: _r(F.coalesce(F.try_divide(F.col(f"hit{n}"), of), F.lit(0.0)))  # noqa: E731, B023
+        out += [share(F.size(f"g{n}")).alias(f"rouge{n}_p"), share(F.size(f"h{n}")).alias(f"rouge{n}_r"), _r(F.coalesce(F.try_divide(2 * F.col(f"hit{n}"), F.size(f"g{n}") + F.size(f"h{n}")), F.lit(0.0))).alias(f"rouge{n}_f")]
+    return rows.select(*out)
 
 
 def w1_w2_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -228,8 +230,8 @@ def w1_w2_drift(spark: SparkSession, d: str) -> DataFrame:
 
 def w7_rolling(spark: SparkSession, d: str) -> DataFrame:
     """Failure rate over the last 50 checks per principle, and whether it calls for adaptation."""
-    w = Window.partitionBy("principle").orderBy("ts", "event_id").rowsBetween(-49, 0)
-    s = scores(spark, d).withColumn("rate", _r(F.avg((F.col("rule_score") < 0.3).cast("double")).over(w)))
+    rows = numbered_within(scores(spark, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))), "principle", "at", "event_id")
+    s = rolling_mean(rows, "principle", "number", (F.col("rule_score") < 0.3).cast("double"), 50, "rate").withColumn("rate", _r(F.col("rate")))
     return s.select("event_id", "principle", "rate", (F.col("rate") >= 0.3).alias("adapts"))
 
 
@@ -339,15 +341,16 @@ SQL = {
     "t15_correlations": f"""{_S}, p AS (SELECT label, item, principle, avg(rule_score) AS s FROM scores GROUP BY ALL), w AS (SELECT label, item, avg(s) AS mean, max(s) AS most, min(s) AS least FROM p GROUP BY ALL),
         l AS (SELECT label, item, 'mean' AS dim, mean AS v FROM w UNION ALL SELECT label, item, 'most', most FROM w UNION ALL SELECT label, item, 'least', least FROM w)
         SELECT a.dim AS d1, b.dim AS d2, round(corr(a.v, b.v), 6) AS r, count(*) AS n, abs(round(corr(a.v, b.v), 6)) >= 0.9 AS redundant FROM l a JOIN l b USING (label, item) GROUP BY ALL""",
-    "t16_rouge": """WITH n AS (SELECT max(item_id) + 1 AS k FROM benchmark),
-        w AS (SELECT doc_id, doc_id % k AS item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents, n), r AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+    "t16_rouge": """WITH n AS (SELECT count(*) AS k FROM benchmark), b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_id, text FROM benchmark),
+        w AS (SELECT doc_id, doc_id % k AS item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents, n WHERE k > 0), r AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM b),
         g AS (SELECT doc_id, item_id, 1 AS o, unnest(w) AS g FROM w UNION ALL SELECT doc_id, item_id, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
         h AS (SELECT item_id, 1 AS o, unnest(w) AS g FROM r UNION ALL SELECT item_id, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM r),
         gc AS (SELECT doc_id, item_id, o, g, count(*) AS c FROM g GROUP BY ALL), hc AS (SELECT item_id, o, g, count(*) AS c FROM h GROUP BY ALL),
-        hit AS (SELECT doc_id, o, sum(least(gc.c, hc.c)) AS n FROM gc JOIN hc USING (item_id, o, g) GROUP BY ALL)
-        SELECT w.doc_id, round(ifnull(2 * ifnull(h1.n, 0) / nullif(len(w.w) + len(r.w), 0), 0)::DOUBLE, 6) AS rouge1_f,
-          round(ifnull(2 * ifnull(h2.n, 0) / nullif(greatest(len(w.w) - 1, 0) + greatest(len(r.w) - 1, 0), 0), 0)::DOUBLE, 6) AS rouge2_f
-        FROM w JOIN r USING (item_id) LEFT JOIN hit h1 ON h1.doc_id = w.doc_id AND h1.o = 1 LEFT JOIN hit h2 ON h2.doc_id = w.doc_id AND h2.o = 2""",
+        hit AS (SELECT doc_id, o, sum(least(gc.c, hc.c)) AS n FROM gc JOIN hc USING (item_id, o, g) GROUP BY ALL),
+        x AS (SELECT w.doc_id, len(w.w) AS a1, len(r.w) AS b1, greatest(len(w.w) - 1, 0) AS a2, greatest(len(r.w) - 1, 0) AS b2, ifnull(h1.n, 0) AS n1, ifnull(h2.n, 0) AS n2
+              FROM w JOIN r USING (item_id) LEFT JOIN hit h1 ON h1.doc_id = w.doc_id AND h1.o = 1 LEFT JOIN hit h2 ON h2.doc_id = w.doc_id AND h2.o = 2)
+        SELECT doc_id, round(ifnull(n1 / nullif(a1, 0), 0)::DOUBLE, 6) AS rouge1_p, round(ifnull(n1 / nullif(b1, 0), 0)::DOUBLE, 6) AS rouge1_r, round(ifnull(2 * n1 / nullif(a1 + b1, 0), 0)::DOUBLE, 6) AS rouge1_f,
+          round(ifnull(n2 / nullif(a2, 0), 0)::DOUBLE, 6) AS rouge2_p, round(ifnull(n2 / nullif(b2, 0), 0)::DOUBLE, 6) AS rouge2_r, round(ifnull(2 * n2 / nullif(a2 + b2, 0), 0)::DOUBLE, 6) AS rouge2_f FROM x""",
     "w1_w2_drift": f"""{_S}, t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, ifnull(judge_score, rule_score) AS s FROM scores),
         f AS (SELECT a.user_id, min(a.turn) AS t FROM t a JOIN t b ON a.user_id = b.user_id AND b.turn = a.turn + 1 JOIN t c ON a.user_id = c.user_id AND c.turn = a.turn + 2 WHERE a.s < 0.5 AND b.s < 0.5 AND c.s < 0.5 GROUP BY 1)
         SELECT t.user_id, count(*) AS turns, any_value(f.t) AS first_drift, round(avg(s), 6) AS adherence FROM t LEFT JOIN f USING (user_id) GROUP BY t.user_id""",

@@ -259,3 +259,21 @@ def test_text_edges(spark):
     rows = spark.createDataFrame([("<think>a</think>",), ("<THINK>open <answer>x",), ("",), ("\\boxed{\\frac{1}{0}}",), (None,)], "t string")
     got = rows.select(T.think_tolerant(F.col("t")), T.user_facing(F.col("t")), T.boxed(F.col("t")), T.turn_kind(F.col("t"))).collect()
     assert [r[0] for r in got][:3] == ["a", "open", ""] and got[3][2] is None and got[4][1] is None
+
+
+def test_numbers_within_groups_and_rolling_means(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("abc"), k, float(rng.randrange(40)), rng.random()) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, id long, at double, v double").repartition(5)
+    got = ranks.numbered_within(df, "g", "at", "id", buckets=8)
+    want, means = {}, {}
+    for g in "abc":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1]))
+        for n, r in enumerate(own):
+            want[r[1]] = (n, len(own))
+            last = [x[3] for x in own[max(0, n - 6) : n + 1]]
+            means[r[1]] = sum(last) / len(last)
+    assert {r.id: (r.number, r.n) for r in got.collect()} == want
+    rolled = ranks.rolling_mean(got, "g", "number", F.col("v"), 7, "m", block=20).collect()
+    assert len(rolled) == 900 and {r.id: r.m for r in rolled} == pytest.approx(means)
+    assert ranks.numbered_within(df.limit(0), "g", "at", "id").count() == 0
