@@ -77,6 +77,28 @@ TRAJECTORIES = f"""c AS (SELECT conv_id, turn, role, text, max(CASE WHEN role =
  FROM c WHERE role = 'assistant' AND turn <> final AND (conv_id + turn) % 6 <> 4 AND conv_id % 5 <> 4)"""
 
 
+#: Trajectories with XML calls, in every form that conversion tells apart; even ones have tool turns.
+XML = """SELECT conv_id, CAST(turn * 10 AS INT) AS pos, role, CASE WHEN role <> 'assistant' THEN text
+  WHEN conv_id % 13 = 5 THEN concat('<think>x</think><tool_call>{}</tool_call>', CASE WHEN conv_id % 3 = 0 THEN '<tool>y' ELSE '' END)
+  WHEN (conv_id + turn) % 8 = 0 THEN concat('<think>', substr(text, 1, 30), '</think> first <tool>web_search(query="', conv_id, ' tea")</tool> <tool> python_execute(code=\"\"\"print(1)', chr(10), 'print(2)\"\"\") </tool> <answer> ', substr(text, 1, 30), ' </answer> tail')
+  WHEN (conv_id + turn) % 8 = 1 THEN concat('<tool>read_url(url="http://x.y/', conv_id, '", prompt="prices of tea")</tool>')
+  WHEN (conv_id + turn) % 8 = 2 THEN text
+  WHEN (conv_id + turn) % 8 = 3 THEN concat('<think>a <tool>web_search(query="in thought")</tool></think><tool>scratchpad_update(section="todo", content="buy tea")</tool>')
+  WHEN (conv_id + turn) % 8 = 4 THEN concat('<answer>', text, '</answer>')
+  WHEN (conv_id + turn) % 8 = 5 THEN concat(repeat('<tool>get_datetime()</tool>', 6), '<answer>x</answer>')
+  WHEN (conv_id + turn) % 8 = 6 AND conv_id % 3 = 0 THEN '<tool>teleport(to="x")</tool><answer>y</answer>'
+  ELSE concat('<tool>python_execute(code="print(', conv_id, ')")</tool><answer>', conv_id, '</answer>') END AS content
+ FROM conversations
+ UNION ALL SELECT conv_id, CAST(turn * 10 + 1 AS INT), 'tool', concat('[TOOL_RESULT: x]', chr(10), 'result ', conv_id, chr(10), '[/TOOL_RESULT]') FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0
+ UNION ALL SELECT conv_id, CAST(turn * 10 + 2 AS INT), 'tool', ' bare result ' FROM conversations WHERE role = 'assistant' AND conv_id % 4 = 0"""
+
+
+def xml_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per message of the trajectories with XML calls."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return spark.sql(XML.replace("{", "{{").replace("}", "}}").replace("FROM conversations", "FROM {turns}"), turns=turns)
+
+
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per message of the trajectories with calls."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")

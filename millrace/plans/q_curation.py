@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.hashing import digest, pick, uniform
+from millrace.operators import conversion as V
 from millrace.operators import curation as C
 from millrace.operators import projection as P
 from millrace.operators.ranks import numbered
-from millrace.plans.fixtures import MESSAGES_SQL, RESPONSES_SQL, TRAJECTORIES, documents, messages, responses, trajectories
+from millrace.plans.fixtures import MESSAGES_SQL, RESPONSES_SQL, TRAJECTORIES, XML, documents, messages, responses, trajectories, xml_turns
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +93,23 @@ def x4_x6_routes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", calls.cast("long").alias("calls"), status.alias("status"), route.alias("route"))
 
 
+#: What code printed, and the time that a replay tells.
+PRINTED, NOW = "concat('printed ', CAST(conv_id AS STRING))", "2026-01-01 00:00:00 UTC"
+
+
+def x4_split(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of trajectories after each XML call got a turn of its own; dropped ones have their status only."""
+    rows = V.split(C.trajectories(xml_turns(spark, d)), F.expr(PRINTED), F.lit(NOW))
+    kept = F.when(F.startswith("status", F.lit("dropped")), F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content")))).otherwise(F.col("messages"))
+    return rows.select("conv_id", "status", F.posexplode(kept).alias("pos", "m")).select("conv_id", "status", "pos", "m.role", "m.content")
+
+
+def x5_x6_native(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of trajectories in native form, with calls and their ids; dropped ones are left out."""
+    rows = V.native(C.trajectories(xml_turns(spark, d)), "conv_id", F.expr(PRINTED), F.lit(NOW)).filter("route <> 'dropped'")
+    return rows.select("conv_id", "route", F.posexplode("messages").alias("pos", "m")).select("conv_id", "route", "pos", "m.role", "m.content", "m.name", "m.arguments", "m.call_id")
+
+
 def x8_x9_prompts(spark: SparkSession, d: str) -> DataFrame:
     """System prompts restamped, and robustness variants of a share of rows."""
     out = C.variants(_rows(spark, d), {"minimal": 0.2, "brief": 0.3, "none": 0.1}, "variants", "conv_id", F.lit("You are"))
@@ -166,7 +184,7 @@ def j6_resume(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (f1_gate, f1_reasons, p1_p6_messages, m1_dedup, m3_m7_samples, m8_stages, m9_interleave, x4_x6_routes, x8_x9_prompts, x16_x23_roles, j11_w8_next, a1_a33_stats, x21_f8_executor, f7_f9_contract, j6_resume)
+    for f in (f1_gate, f1_reasons, p1_p6_messages, m1_dedup, m3_m7_samples, m8_stages, m9_interleave, x4_x6_routes, x4_split, x5_x6_native, x8_x9_prompts, x16_x23_roles, j11_w8_next, a1_a33_stats, x21_f8_executor, f7_f9_contract, j6_resume)
 }
 
 _T = f"WITH {MESSAGES_SQL}"
@@ -187,7 +205,41 @@ def _u(seed: str, *parts: str) -> str:
     return f"(('0x' || substr(md5(concat('{seed}|', {joined})), 1, 8))::BIGINT / 4294967296.0)"
 
 
+#: The calls of every message, their results when replayed, and the message's parts.
+_CALLS = rf"""m AS ({XML}),
+    a AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY pos, role, content) - 1)::INT AS i, count(*) FILTER (role = 'tool') OVER (PARTITION BY conv_id) > 0 AS tools FROM m),
+    p AS (SELECT *, regexp_replace(content, '(?is)^.*?</think\s*>', '') AS post FROM a),
+    s AS (SELECT *, CASE WHEN role = 'assistant' THEN regexp_extract_all(post, '(?s)<tool>(.*?)</tool>', 1) ELSE [] END AS calls, left(content, length(content) - length(post)) AS head,
+            regexp_extract(string_split(post, '</tool>')[-1], '(?is)<answer>.*?</answer>') AS answer FROM p),
+    c AS (SELECT s.*, k, calls[k + 1] AS call, trim(calls[k + 1]) AS bare FROM s, unnest(range(0, len(calls))) AS u(k)),
+    r AS (SELECT *, trim(string_split(bare, '(')[1]) AS tool, replace(replace(coalesce(nullif(regexp_extract(bare, '(?s)code="{{3}}(.*?)"{{3}}', 1), ''), regexp_extract(bare, 'code="([^"]*)"', 1)), '\n', chr(10)), '\t', chr(9)) AS code,
+            regexp_extract(bare, 'query="(.*?)"', 1) AS query, regexp_extract(bare, 'url="(.*?)"', 1) AS url FROM c),
+    t AS (SELECT *, CASE tool WHEN 'python_execute' THEN concat('printed ', conv_id) WHEN 'web_search' THEN concat('[Search results for: ', query, ']', chr(10), '{V.SEARCHED}')
+            WHEN 'read_url' THEN concat('[Page content from: ', url, ']', chr(10), '{V.READ}') WHEN 'get_datetime' THEN '{NOW}' ELSE '{V.NO_RESULT}' END AS replay FROM r)"""
+
 SQL = {
+    "x4_split": rf"""WITH {_CALLS},
+        parts AS (SELECT conv_id, i, 0 AS k, 0 AS part, role, content, false AS split FROM s WHERE tools OR len(calls) = 0
+          UNION ALL SELECT conv_id, i, k, 1, 'assistant', CASE WHEN k = 0 AND regexp_replace(head || string_split(post, '<tool>')[1], '\s+$', '') <> ''
+              THEN regexp_replace(regexp_replace(head || string_split(post, '<tool>')[1], '\s+$', '') || chr(10) || '<tool>' || call || '</tool>', '^\s+|\s+$', '', 'g') ELSE concat('<tool>', call, '</tool>') END, true FROM t WHERE NOT tools
+          UNION ALL SELECT conv_id, i, k, 2, 'tool', concat('[TOOL_RESULT: ', tool, ']', chr(10), replay, chr(10), '[/TOOL_RESULT]'), true FROM t WHERE NOT tools
+          UNION ALL SELECT conv_id, i, 1000, 3, 'assistant', answer, true FROM s WHERE NOT tools AND len(calls) > 0 AND answer <> ''),
+        g AS (SELECT conv_id, CASE WHEN NOT bool_or(split) THEN 'unchanged' WHEN max_by(role, i * 10000 + k * 4 + part) = 'tool' THEN 'dropped_no_answer' WHEN count(*) FILTER (role = 'tool') > 5 THEN 'dropped_too_many' ELSE 'transformed' END AS status FROM parts GROUP BY 1)
+        SELECT conv_id, status, (row_number() OVER (PARTITION BY conv_id ORDER BY i, k, part) - 1)::INT AS pos, role, content FROM parts JOIN g USING (conv_id) WHERE NOT starts_with(status, 'dropped')
+        UNION ALL SELECT conv_id, status, 0, NULL, NULL FROM g WHERE starts_with(status, 'dropped')""",
+    "x5_x6_native": rf"""WITH {_CALLS},
+        known AS (SELECT *, CASE tool WHEN 'python_execute' THEN json_object('code', code)::VARCHAR WHEN 'web_search' THEN json_object('query', query)::VARCHAR WHEN 'read_url' THEN json_object('url', url, 'prompt', 'prices of tea')::VARCHAR
+            WHEN 'get_datetime' THEN '{{}}' WHEN 'scratchpad_update' THEN json_object('section', 'todo', 'content', 'buy tea')::VARCHAR END AS args FROM t),
+        g AS (SELECT s.conv_id, bool_or(tools) AS tools, bool_or(role = 'assistant' AND contains(content, '<tool_call>')) AS nat, bool_or(role = 'assistant' AND (contains(content, '<tool>') OR contains(content, '</tool>'))) AS stray,
+              sum(len(calls)) AS n, (SELECT count(*) FROM known x WHERE x.conv_id = s.conv_id AND args IS NULL) AS bad FROM s GROUP BY s.conv_id),
+        w AS (SELECT conv_id, CASE WHEN NOT tools THEN 'no_tool' WHEN nat THEN CASE WHEN stray THEN 'dropped' ELSE 'already_native' END WHEN n = 0 OR bad > 0 THEN 'dropped' ELSE 'converted' END AS route FROM g),
+        res AS (SELECT conv_id, i, CASE WHEN contains(content, '[TOOL_RESULT') THEN regexp_extract(content, '(?s)\[TOOL_RESULT: [^\]]*\]\s*(.*?)\s*\[/TOOL_RESULT\]', 1) ELSE trim(content) END AS result, pos % 10 AS nth FROM s WHERE role = 'tool'),
+        parts AS (SELECT conv_id, i, 0 AS k, 0 AS part, role, content, NULL AS name, NULL AS arguments, NULL AS call_id FROM s JOIN w USING (conv_id) WHERE route <> 'converted' OR (len(calls) = 0 AND role <> 'tool')
+          UNION ALL SELECT conv_id, i, k, 1, 'assistant', CASE WHEN k = 0 THEN regexp_replace(head, '\s+$', '') ELSE '' END, tool, args, 'call_' || substr(md5(concat(conv_id, '|', i, '|', k)), 1, 8) FROM known JOIN w USING (conv_id) WHERE route = 'converted'
+          UNION ALL SELECT x.conv_id, x.i, k, 2, 'tool', coalesce(res.result, replay), NULL, NULL, 'call_' || substr(md5(concat(x.conv_id, '|', x.i, '|', k)), 1, 8) FROM known x JOIN w USING (conv_id)
+              LEFT JOIN res ON res.conv_id = x.conv_id AND res.i = x.i + 1 + k AND res.nth = k + 1 WHERE route = 'converted'
+          UNION ALL SELECT conv_id, i, 1000, 3, 'assistant', answer, NULL, NULL, NULL FROM s JOIN w USING (conv_id) WHERE route = 'converted' AND len(calls) > 0 AND answer <> '')
+        SELECT conv_id, route, (row_number() OVER (PARTITION BY conv_id ORDER BY i, k, part) - 1)::INT AS pos, role, content, name, arguments, call_id FROM parts JOIN w USING (conv_id) WHERE route <> 'dropped'""",
     "f1_gate": f"{_T}, {_GATE} SELECT conv_id, reason FROM gate",
     "f1_reasons": f"{_T}, {_GATE} SELECT reason, count(*) AS n FROM gate GROUP BY reason",
     "p1_p6_messages": rf"""{_T}, {_GATE}, u AS (SELECT conv_id, min_by(content, pos) FILTER (role = 'user') AS u FROM messages GROUP BY 1)
