@@ -11,7 +11,8 @@ Memory is bounded by OPEN windows per task and FAN_IN * OPEN in the merge, howev
 Partitions' results are written once to the shared folder; a lost executor costs its own tasks.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed each on its
-own; a null id is carried; an empty table gives no rows. Only id and text are read.
+own; a null id is carried; an empty table gives no rows. Only id and text are read. A vocabulary's added tokens that stand in a text
+have their own ids, as the library gives them.
 """
 
 from __future__ import annotations
@@ -229,7 +230,12 @@ def packed(
 
 def encoder(path: str, pattern: str) -> CachedEncoder:
     """This worker's encoder for a vocabulary; its cache serves the tasks that follow."""
-    return kept(("packing", path, pattern), lambda: CachedEncoder(ByteLevel(path, pattern)))
+
+    def made() -> CachedEncoder:
+        plain = ByteLevel(path, pattern)
+        return CachedEncoder(plain, plain.added)
+
+    return kept(("packing", path, pattern), made)
 
 
 def _batch(rows: list[tuple], doc_type: pa.DataType, done: bool = True) -> pa.RecordBatch:

@@ -9,6 +9,7 @@ text is not cut, so that results equal those for the whole text.
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Callable
 from struct import pack
 
@@ -23,8 +24,11 @@ LETTERS_TO = "\u0250"
 class CachedEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes; plain(list of pieces) does so for each piece."""
 
-    def __init__(self, plain: Callable[[list[str]], list[bytes]]):
+    def __init__(self, plain: Callable[[list[str]], list[bytes]], added: dict[str, int] | None = None):
+        """added: tokens that stand for themselves wherever they are in a text; the rest is encoded between them."""
         self.plain, self.known, self.older = plain, {}, {}
+        self.added = {t: pack("<I", i) for t, i in (added or {}).items()}
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         # No reference cycles are made here; frequent collections would only walk what the cache holds.
         gc.set_threshold(200_000, 50, 50)
         self.marks = dict(zip(",.", plain([",", "."])))
@@ -51,6 +55,12 @@ class CachedEncoder:
         return joined
 
     def encode(self, text: str) -> bytes:
+        for token in self.added:
+            if token in text:
+                return b"".join(self.added[p] if n % 2 else self._encode(p) for n, p in enumerate(self.apart.split(text)))
+        return self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
         pieces = self._simple(text)
         if pieces is None:
             pieces = self._pieces(text)
@@ -102,7 +112,10 @@ class ByteLevel:
         import regex
         from tokenizers import Tokenizer
 
-        self.split, self.merges = regex.compile(pattern).findall, Tokenizer.from_file(path).model.tokenize
+        library = Tokenizer.from_file(path)
+        self.split, self.merges = regex.compile(pattern).findall, library.model.tokenize
+        #: The vocabulary's added tokens, which the library takes out of a text first.
+        self.added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         # The byte alphabet of these vocabularies: printable Latin-1 characters stand for themselves, the rest for U+0100 onwards.
         same = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))

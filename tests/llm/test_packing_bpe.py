@@ -22,7 +22,7 @@ def table(spark, texts):
 def odd_texts(n=3000):
     rng = random.Random(2)
     marks = [" ", "\n", "\t", "a", "B", "1", "é", "'s", " ", "　", "\x00", "!", "\r", "🙂", "٣", "漢", "\x1c", "\x85"]
-    own = ["a  b", "\n\nx y \n z\t q\n", "  ", "\n", "", " a", "a ", "it's  don't\n\n\n  x", "a\x00b  c", "<|endoftext|> x <|endoftext|>", "é " * 50, "w" * 3000]
+    own = ["a  b", "\n\nx y \n z\t q\n", "  ", "\n", "", " a", "a ", "it's  don't\n\n\n  x", "a\x00b  c", "<|endoftext|> x <|endoftext|>", "a<|endoftext|><|endoftext|>\n\n<|endoftext|",  "é " * 50, "w" * 3000]
     return own + ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(n)]
 
 
@@ -30,9 +30,9 @@ def test_cached_encoders_equal_the_libraries(monkeypatch):
     import millrace.llm.tokens as tokens
 
     monkeypatch.setattr(tokens, "CACHE", 500)
-    whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
-    by_json, ranks = CachedEncoder(ByteLevel(JSON, P.PATTERN)), bpe.read_ranks(RANKS)
+    whole, plain = Tokenizer.from_file(JSON), ByteLevel(JSON, P.PATTERN)
+    by_json, ranks = CachedEncoder(plain, plain.added), bpe.read_ranks(RANKS)
+    assert 50256 in whole.encode("<|endoftext|>", add_special_tokens=False).ids
     by_ranks, tik = CachedEncoder(bpe.RankFile(RANKS, P.PATTERN)), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for t in odd_texts():
         assert np.frombuffer(by_json.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
@@ -73,7 +73,6 @@ def test_encode_decode_columns(spark):
 def check_windows(rows, texts, size, padding):
     """Every id of every document lies in one piece, sequences are gapless, and padding is little."""
     whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
     want = sorted((str(i), tuple(whole.encode(t or "", add_special_tokens=False).ids) + (1,)) for i, t in texts)
     by_doc, by_sequence = {}, {}
     for r in rows:
