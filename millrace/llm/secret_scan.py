@@ -43,8 +43,8 @@ MASK = "[SECRET]"
 TRAIN_LINES = 6000
 EPOCHS = 4
 SEED = 11
-#: Spellings whose parts of the scores one worker keeps.
-KNOWN = 200_000
+#: Spellings whose parts of the scores one worker keeps in either of two generations.
+KNOWN = 150_000
 
 #: A token, with the blank before it, or the end of a line.
 TOKEN = re.compile(r"\n|[\x20\x09\x0B-\x0D]?(?:[\w+](?:[\w+/.\-]*[\w+])?|[^\w+\x20\x09-\x0D]+)")
@@ -293,11 +293,14 @@ class Tables:
         self.kinds: dict[str, int] = {}
         self.near, self.signed = np.zeros((0, FELT + 1, 2)), np.zeros((0, len(SIGNS) + 2, 2, 2), np.float32)
         self.read: dict[tuple, tuple] = {}
+        self.known: dict[str, int] = {}
+        self.parts = self.marks = None
         self._turn()
 
     def _turn(self) -> None:
-        """Forgets all spellings."""
-        self.known: dict[str, int] = {}
+        """Starts anew with no spellings; those known so far come back when they are met, and are forgotten at the next turn else."""
+        self.older, self.older_parts, self.older_marks = self.known, self.parts, self.marks
+        self.known = {}
         self.parts = np.zeros((KNOWN, 8), np.float32)  # own, as the one before, as the one before that, as the next
         self.marks = np.zeros((KNOWN, 4), np.int32)  # kind, trigger, 2 * sign + no blank before it, the spelling without the blank
         self._add([NOTHING])
@@ -316,6 +319,14 @@ class Tables:
         return np.add(self.gain(f"kind,near={kind},0"), self.gain(f"kind,sign={kind},0,0")) + self.unasked
 
     def _add(self, tokens: list[str]) -> None:
+        back = [t for t in tokens if t in self.older]
+        if back:
+            n, at = len(self.known), [self.older[t] for t in back]
+            self.known.update(zip(back, range(n, n + len(back))))
+            self.parts[n : n + len(back)], self.marks[n : n + len(back)] = self.older_parts[at], self.older_marks[at]
+            tokens = [t for t in tokens if t not in self.older]
+        if not tokens:
+            return
         parts, marks, none, n = [], [], (0.0, 0.0), len(self.known)
         for token in tokens:
             own = token.strip()
