@@ -58,10 +58,17 @@ def dependency_batch(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return events.select("session", "event_id", "at").groupBy("session").applyInPandas(one, RESULT)
 
 
-def dependency_stream(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The same over a stream: state per session is its last hour's times and three numbers."""
+def dependency_stream(events: DataFrame, limits: Limits = Limits(), late: str = "1 hour", idle: float = 7 * 86400.0) -> DataFrame:
+    """The same over a stream: state per session is its last hour's times and three numbers.
+
+    Events later than the watermark (late behind the latest seen) are dropped; the state of a session that had no event for idle seconds
+    goes, and its gaps are forgotten with it.
+    """
 
     def some(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now: Session = START
         if state.exists:
             times, bursts, sent, last = state.get
@@ -72,10 +79,11 @@ def dependency_stream(events: DataFrame, limits: Limits = Limits()) -> DataFrame
             now, fire = step(now, r.at, limits)
             out.append((key[0], r.event_id, fire, now[1], len(now[0])))
         state.update(now)
+        state.setTimeoutTimestamp(max(int((rows["at"].iloc[-1] + idle) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session", "event_id", "disclose", "bursts", "in_hour"])
 
-    rows = events.select("session", "event_id", "at").groupBy("session")
-    return rows.applyInPandasWithState(some, RESULT, "times array<double>, bursts int, sent boolean, last double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("session", "event_id", "at", F.timestamp_millis((F.col("at") * 1000).cast("long")).alias("ts")).withWatermark("ts", late).groupBy("session")
+    return rows.applyInPandasWithState(some, RESULT, "times array<double>, bursts int, sent boolean, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rolling_stream(checks: DataFrame, size: int = 50) -> DataFrame:
