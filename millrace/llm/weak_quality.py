@@ -7,7 +7,7 @@ posterior of a document's pattern is its soft label; a hashed linear scorer (log
 words and votes) is trained on these labels and judges every document.
 
 Passes over the texts: one for the votes, one for a sample of SAMPLE documents (expected; twice that at
-most), chosen by a hash, for training, and one for scoring. What reaches the driver is bounded: the
+most), chosen by a hash of id and text and each taken once, for training, and one for scoring. What reaches the driver is bounded: the
 pattern counts, and the sample's hashed features (DIMENSIONS each at most).
 
 Defined results: a text without a word (null, empty) is rejected with score 0; ties at one half are kept;
@@ -209,10 +209,12 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _sampled(docs: DataFrame, share: float, most: int, id_col: str, text_col: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """Hashed features and votes of documents whose pick is in the lowest share; most rows at most."""
+    """Hashed features and votes of documents whose pick is in the lowest share, repeated rows once; the first most rows by pick."""
     text = whole_text(text_col)
-    pick = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 31))
-    rows = docs.filter(pick < int(share * (1 << 31))).select(pick.alias("pick"), text.cast("binary").alias("data"))
+    key = F.xxhash64(F.col(id_col), text)
+    pick = F.pmod(key, F.lit(1 << 31))
+    # Copies go before the cut, so that those of one row can't fill the sample; they are summed up before the shuffle.
+    rows = docs.filter(pick < int(share * (1 << 31))).select(key.alias("key"), pick.alias("pick"), text.cast("binary").alias("data")).dropDuplicates(["key"]).select("pick", "data")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,7 +222,7 @@ def _sampled(docs: DataFrame, share: float, most: int, id_col: str, text_col: st
             columns = [b.column(0), pa.array([v for v, _ in found], pa.string()), pa.array([f[0].tobytes() for _, f in found], pa.binary()), pa.array([f[1].tobytes() for _, f in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["pick", "votes", "words", "marks"])
 
-    picked = rows.mapInArrow(made, "pick long, votes string, words binary, marks binary").limit(most).collect()
+    picked = rows.mapInArrow(made, "pick long, votes string, words binary, marks binary").orderBy("pick", "words").limit(most).collect()
     picked.sort(key=lambda r: (r.pick, r.votes, bytes(r.words)))
     return [(np.frombuffer(r.words, np.int32), np.frombuffer(r.marks, np.int32), r.votes) for r in picked]
 
