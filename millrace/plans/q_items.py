@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scoring as S
 from millrace.functions import text as T
+from millrace.functions import tools as G
 from millrace.functions.hashing import digest
 from millrace.operators import conversion as V
 from millrace.operators import projection as P
@@ -161,9 +162,19 @@ def e22_tools_line(spark: SparkSession, d: str) -> DataFrame:
     return responses(spark, d).select("doc_id", R.tools_line(profile).alias("line"))
 
 
+def u1_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The result of every trajectory's first call in a message by the registry, for the session's tools."""
+    tools = G.builtins(printed=F.lit("42"), found=F.concat(F.lit("found by "), F.col("conv_id").cast("string")), now=F.lit("2026-01-01 00:00:00 UTC"), memory=F.when(F.col("conv_id") % 2 == 0, F.lit("likes tea")))
+    tools.deregister("read_url")
+    rows = trajectories(spark, d).filter("role = 'assistant'").withColumn("call", T.first_call(F.col("content"))).filter("call IS NOT NULL")
+    profile = F.when(F.col("conv_id") % 3 == 0, "all_tools").otherwise("compute_only")
+    result = tools.call(F.col("call.name"), F.col("call.arguments"), S.tools_of(profile))
+    return rows.select("conv_id", "pos", F.col("call.name").alias("name"), result.alias("result"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (e2_judged_items, a6_item_vectors, a18_think_stats, e24_e6_summary, s7_newest_reports, s16_holdout, s11_numeric, s14_appraisal_questions, e17_failure_prompts, e13_entities, e26_memory, x26_e27_read, f22_filters, r10_confidence, p13_arguments, e22_tools_line)
+    for f in (e2_judged_items, a6_item_vectors, a18_think_stats, e24_e6_summary, s7_newest_reports, s16_holdout, s11_numeric, s14_appraisal_questions, e17_failure_prompts, e13_entities, e26_memory, x26_e27_read, f22_filters, r10_confidence, p13_arguments, e22_tools_line, u1_calls)
 }
 
 _A = f"WITH {RESPONSES_SQL}, a AS (SELECT {", ".join(f"{e} AS {n}" for n, e in ANSWER.items())} FROM responses)"
@@ -219,4 +230,9 @@ SQL = {
         SELECT conv_id, pos, k, CASE WHEN arguments IS NOT NULL THEN tool END AS name, arguments FROM a""",
     "e22_tools_line": f"""WITH {RESPONSES_SQL} SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'unknown (a standard tool set may have been available)' WHEN doc_id % 9 = 1 THEN 'custom' WHEN profile = 'all_tools' THEN 'get_datetime, python_execute, read_url, web_search'
         WHEN profile = 'compute_only' THEN 'python_execute' WHEN profile = 'compute_and_search' THEN 'python_execute, read_url, web_search' ELSE 'none (knowledge/reasoning only — no external tools intended for this question)' END AS line FROM responses""",
+    "u1_calls": rf"""WITH {TRAJECTORIES}, g AS (SELECT conv_id, pos, json_extract_string(replace(regexp_extract(content, '(?s)<tool_call>\s*(.*?)\s*</tool_call>', 1), chr(10), '\n'), '$.name') AS name
+            FROM trajectories WHERE role = 'assistant' AND contains(content, '<tool_call>')
+          UNION ALL SELECT conv_id, pos, 'x' FROM trajectories WHERE role = 'assistant' AND NOT contains(content, '<tool_call>') AND regexp_matches(content, '(?s)<tool>\s*\w+\s*\('))
+        SELECT conv_id, pos, name, CASE name WHEN 'web_search' THEN CASE WHEN conv_id % 3 = 0 THEN concat('found by ', conv_id) ELSE 'Error: tool ''web_search'' is not available in this session.' END WHEN 'python_execute' THEN '42'
+          WHEN 'user_memory_read' THEN CASE WHEN conv_id % 2 = 0 THEN 'likes tea' ELSE '{G.NO_MEMORY}' END ELSE concat('Error: unknown tool ''', name, ''' — only registered tools are callable.') END AS result FROM g""",
 }

@@ -70,6 +70,26 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.option("ignoreNullFields", True).json(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """One JSON document per row, nulls written out; the rows' nested columns are the report's shape."""
+    report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def write_csv(rows: DataFrame, path: str, order: tuple[str, ...]) -> None:
+    """Rows as CSV with a header, in order within ranges of it."""
+    rows.sort(*order).write.option("header", True).csv(path)
+
+
+def append_log(rows: DataFrame, path: str, keep: Column | None = None) -> None:
+    """Adds rows (those of which keep is true, if given) to a log of JSON lines; files that are there stay as they are."""
+    (rows if keep is None else rows.filter(F.coalesce(keep, F.lit(False)))).write.mode("append").json(path)
+
+
+def append_stream(rows: DataFrame, path: str, checkpoint: str):
+    """The same for a stream: each micro-batch adds files once, also after a restart."""
+    return rows.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_csv_with_total(rows: DataFrame, path: str, by: str, value: str) -> None:
     """One row per group and an OVERALL row, as CSV with a header."""
     summed(rows, by, value).write.option("header", True).csv(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.functions import scoring, udfs
+from millrace.functions import scoring, tools, udfs
 from millrace.functions.hashing import uniform
 from millrace.operators import curation, projection, ranks, ranking, stats
 from millrace.plans import registry
@@ -277,3 +277,35 @@ def test_numbers_within_groups_and_rolling_means(spark):
     rolled = ranks.rolling_mean(got, "g", "number", F.col("v"), 7, "m", block=20).collect()
     assert len(rolled) == 900 and {r.id: r.m for r in rolled} == pytest.approx(means)
     assert ranks.numbered_within(df.limit(0), "g", "at", "id").count() == 0
+
+
+def test_registry_and_model_hook(spark):
+    registry = tools.builtins()
+    names = [t["function"]["name"] for t in json.loads(registry.schemas("compute_only"))]
+    assert names[0] == "python_execute" and "web_search" not in names and len(names) == 7 and registry.schemas("x") == registry.schemas("no_tools")
+    registry.register(tools.Tool("echo", "", {"text": True}, lambda a: a("text")))
+    df = spark.createDataFrame([("echo", {"text": "hi"}), ("echo", {}), ("web_search", {"query": "q"}), ("nope", {}), ("scratchpad_read", {}), (None, {})], "n string, a map<string,string>")
+    call = registry.call(F.col("n"), F.col("a"), F.array(F.lit("echo")))
+    got = [r[0] for r in df.select(call).collect()]
+    assert got[:2] == ["hi", ""] and got[2] == "Error: tool 'web_search' is not available in this session." and "unknown tool 'nope'" in got[3] and got[4] == tools.EMPTY_PAD and "unknown tool ''" in got[5]
+    assert df.select(registry.call(F.col("n"), F.col("a"), F.array(F.lit("")), gated=False)).collect()[2][0] == "No results for: q"
+    prompts = spark.createDataFrame([("say a",), (None,), ("b",)], "p string")
+    assert [r[0] for r in prompts.select(tools.model_hook()(F.col("p"))).collect()] == [None] * 3
+    assert [r[0] for r in prompts.select(tools.model_hook(str.upper)(F.col("p"))).collect()] == ["SAY A", None, "B"]
+    assert [r[0] for r in prompts.select(tools.scripted({"say": "one", "a": "two"}, "other")(F.col("p"))).collect()] == ["one", "other", "other"]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "é", None), (1, "b", 0.5)], "id long, t string, x double")
+    J.write_report(rows.coalesce(1), f"{tmp_path}/report")
+    text = next((tmp_path / "report").glob("part-*")).read_text(encoding="utf-8")
+    assert [json.loads(x) for x in text.splitlines()] == [{"id": 2, "t": "é", "x": None}, {"id": 1, "t": "b", "x": 0.5}]
+    J.write_csv(rows, f"{tmp_path}/csv", ("id",))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
+    J.append_log(rows, f"{tmp_path}/log")
+    J.append_log(rows, f"{tmp_path}/log", F.col("x") > 0)
+    assert sorted(r.id for r in spark.read.json(f"{tmp_path}/log").collect()) == [1, 1, 2]
+    rows.write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        J.append_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(60)
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
