@@ -22,9 +22,10 @@ def _tied(links: DataFrame, smallest: DataFrame) -> DataFrame:
 def _round(links: DataFrame) -> DataFrame:
     """One large-star and one small-star step on links (a, b) with a > b."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    # Dealt anew, so that both sides of the joins are plain exchanges, whose hot keys Spark can split.
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).hint("rebalance")
     large = _tied(both.filter("b > a"), least).distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("least"))
+    least = large.groupBy("a").agg(F.min("b").alias("least")).hint("rebalance")
     small = _tied(large, least).unionByName(least.select("a", F.col("least").alias("b")))
     return small.distinct()
 
