@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bpe, licence_texts, licenses, media, packing, quality_rules, secret_scan, sharding, simhash, sql, substring, weak_quality
+from millrace.llm import bpe, centroids, filter_audit, language_id, licence_texts, licenses, media, packing, quality_rules, secret_scan, sharding, simhash, sql, substring, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,23 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classified(_documents(spark, sf_dir))
 
 
+def op11_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroid of every vector after five rounds, with inertias and the centroid's digest."""
+    return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by rank-order profiles, learned from the four fifths that aren't held out."""
+    docs = _documents(spark, sf_dir)
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    return language_id.identified(docs, language_id.profiles(docs, remainder != 0), "text", "doc_id", (remainder == 0).alias("held_out"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters keeps of each language, and each filter's share."""
+    return filter_audit.audited(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -103,6 +120,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_weak_quality": op10_weak_quality,
+        "op11_exponion_clusters": op11_exponion_clusters,
+        "op12_language_id": op12_language_id,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -112,4 +132,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": sql.OP1,
         "op8_license_scan": sql.op8(licence_texts.KNOWN, licenses.SPELLINGS, licenses.COPYRIGHT),
         "op9_substring_dedup": sql.OP9,
+        "op11_exponion_clusters": sql.op11(),
+        "op12_language_id": sql.op12(),
+        "op13_filter_audit": sql.OP13,
     }

@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
 OP1 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -80,3 +82,83 @@ counted AS (SELECT r, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS
 SELECT f.doc_id, f.digest AS canonical_sha256, c.id AS license_id, coalesce(n, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
 FROM forms f LEFT JOIN catalogue c USING (digest) LEFT JOIN counted ON f.r = counted.r WHERE kind = 'd'
 """
+
+
+def op11(k: int = 40, rounds: int = 5, seed: int = 2, scale: int = 256, dimensions: int = 64) -> str:
+    """SQL of the clustering: every round as two tables, the nearest centroids and the means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS MATERIALIZED (SELECT r, c, sum((p.x - m.x) * (p.x - m.x))::BIGINT AS d FROM points p JOIN m{r} m USING (i) GROUP BY r, c),
+a{r} AS MATERIALIZED (SELECT r, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM d{r} GROUP BY r)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN points USING (r) GROUP BY c, i),
+m{r + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM m{r} LEFT JOIN s{r} USING (c, i))""")
+    return f"""
+WITH good AS (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
+              WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions}),
+points AS MATERIALIZED (SELECT r, i, floor({scale} * e[i]::DOUBLE)::BIGINT AS x FROM good, unnest(range(1, {dimensions + 1})) AS u(i)),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, e) - 1 AS c FROM good QUALIFY c < {k}),
+m0 AS MATERIALIZED (SELECT c, i, x FROM first JOIN points USING (r)),{",".join(steps)},
+totals AS (SELECT c, sum(d)::BIGINT AS own FROM a{rounds} GROUP BY c),
+digests AS (SELECT c, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY i)) AS digest FROM m{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, own AS cluster_inertia, (SELECT sum(own) FROM totals)::BIGINT AS inertia, digest AS centroid_sha256
+FROM a{rounds} JOIN good USING (r) JOIN totals USING (c) JOIN digests USING (c)
+"""
+
+
+def _crc_steps(value: int) -> int:
+    """An entry of the usual table of CRC-32: what one byte does to the checksum."""
+    for _ in range(8):
+        value = value >> 1 ^ 0xEDB88320 * (value & 1)
+    return value
+
+
+def op12(profile: int = 400) -> str:
+    """SQL of the language identification; the checksum that deals documents out is computed from its table."""
+    table = "[" + ", ".join(str(_crc_steps(i)) for i in range(256)) + "]::BIGINT[]"
+    # DuckDB gives list_reduce no start value, so the list begins with it.
+    crc = f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda s, b: xor(({table})[xor(s, b) % 256 + 1], s >> 8)))"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, text, {crc} % 5 = 0 AS held_out FROM documents),
+w AS (SELECT r, ' ' || unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+')) || ' ' AS w FROM d),
+words AS (SELECT r, w, count(*) AS n FROM w GROUP BY r, w),
+g AS MATERIALIZED (SELECT r, g, sum(n)::BIGINT AS n
+      FROM (SELECT r, n, substr(w, i, k) AS g FROM words, unnest([1, 2, 3]) AS a(k), unnest(range(1, 64)) AS u(i) WHERE i + k - 1 <= length(w)
+            UNION ALL SELECT r, n, substr(w, i, k) FROM words, unnest([1, 2, 3]) AS a(k), unnest(range(64, length(w) + 1)) AS u(i) WHERE i + k - 1 <= length(w))
+      WHERE g <> ' ' GROUP BY r, g),
+p AS MATERIALIZED (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS p
+      FROM (SELECT lang, g, sum(n) AS n FROM g JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g) QUALIFY p <= {profile}),
+o AS MATERIALIZED (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, g) AS o FROM g QUALIFY o <= {profile}),
+near AS (SELECT r, lang, sum({profile} - abs(o - p)) AS s FROM o JOIN p USING (g) GROUP BY r, lang),
+sized AS (SELECT r, count(*) AS m FROM o GROUP BY r),
+far AS (SELECT r, lang, m, {profile} * m - coalesce(s, 0) AS x FROM sized CROSS JOIN (SELECT DISTINCT lang FROM p) LEFT JOIN near USING (r, lang)),
+best AS (SELECT r, arg_min(lang, struct_pack(x := x, lang := lang)) AS lang, min(x) AS x, any_value(m) AS m FROM far GROUP BY r)
+SELECT doc_id, held_out, CASE WHEN best.lang IS NULL OR NOT regexp_matches(text, '\p{{L}}') THEN 'und' ELSE best.lang END AS lang_pred,
+       CASE WHEN best.lang IS NULL OR NOT regexp_matches(text, '\p{{L}}') THEN 0 ELSE 1 - x::DOUBLE / ({profile} * m) END::DOUBLE AS score
+FROM d LEFT JOIN best USING (r)
+"""
+
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws FROM d),
+f AS (SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM x a JOIN x b ON b.bit <> a.bit JOIN x c ON c.bit NOT IN (a.bit, b.bit) JOIN x d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN x e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+s AS (SELECT filter_order, k AS step, bits[k] AS bit, coalesce(list_sum(list_slice(bits, 1, k - 1)), 0)::INT AS earlier FROM o, unnest(range(1, 6)) AS u(k)),
+r AS (SELECT part, filter_order, step, bit,
+             coalesce(sum(n) FILTER (WHERE mask & (earlier | bit) = 0), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier <> 0), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost
+      FROM c CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
