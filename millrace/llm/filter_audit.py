@@ -1,13 +1,13 @@
 """Audit of how filters interact: what each order of them keeps, and what is each filter's share.
 
-A document's failures are bits of a mask: A to D are told from its text alone, E (identical to the text of a
-smaller id) needs the whole table. For E texts are routed by their XXH64 to the partitions of an RDD. A partition
-keeps, for each fingerprint, a chain of the different texts that have it, each with its smallest id so far; every
-row that meets a smaller id of its very text is emitted with E at once, the others when the partition ends. The
-mapping side does the same over what it has read (in pieces of HELD bytes), so a text with a third of all rows sends one copy a
-piece, not one a row; rows already known to fail go on without their text.
-
-Labels are joined to the rows (id, part, mask), which carry no text. combineByKey then adds up one vector per part:
+A document's failures are bits of a mask: A to D are told from its text alone, by one pass that writes ids, masks and
+fingerprints; E (identical to the text of a smaller id) needs the whole table. For E texts are routed by their XXH64 to the
+partitions of an RDD. A partition keeps, for each fingerprint, a chain of the different texts that have it, each with its
+smallest id so far, and emits every id that meets a smaller one of its very text. The mapping side does the same over
+what it has read (in pieces of HELD bytes), so a text with a third of all rows sends one copy a piece, not one a row; ids already
+known to be later go on without their text.
+
+The later ids and the labels are joined to the rows (id, part, mask), which carry no text. combineByKey then adds up one vector per part:
 how many documents, good and toxic ones have each of the 32 masks. All orders are told from that vector, so its
 size depends neither on the corpus nor on the number of orders.
 
@@ -22,12 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import permutations
 
+import pyarrow as pa
 import xxhash
 from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import whole_text
+from millrace.llm.shared import whole_text, written
 
 FILTERS = "ABCDE"
 COPY = 16
@@ -38,7 +39,12 @@ UPPER = bytes(range(0x41, 0x5B))
 LATER = bytes(range(0x80, 0xC0))  # bytes that continue a code point
 MARKS = b"#$%&*|"
 
-Chain = list[list]  # of [text, smallest id, {part: rows with that id}]
+Chain = list[list]  # of [text, smallest id]
+
+
+def fingerprint(text: bytes) -> int:
+    """XXH64 of a text, as a signed long."""
+    return int.from_bytes(xxhash.xxh64_digest(text), "big", signed=True)
 
 
 def own_failures(text: bytes) -> int:
@@ -50,76 +56,52 @@ def own_failures(text: bytes) -> int:
     return (len(words) < 200) | (100 * len(set(words)) < 50 * len(words)) << 1 | (100 * upper > 3 * points) << 2 | marked << 3
 
 
-def _smaller(chains: dict[int, Chain], key: int, text: bytes, doc_id: int, parts: dict[str, int]) -> tuple[int, dict[str, int]] | None:
-    """Puts a text with an id into its chain; the (id, rows by part) that now have a smaller id, if any."""
+def _later(chains: dict[int, Chain], key: int, text: bytes, doc_id: int) -> int | None:
+    """Puts a text with an id into its chain; the id that thereby has a smaller one, if any."""
     chain = chains.setdefault(key, [])
     for link in chain:
         if link[0] == text:
             if doc_id == link[1]:
-                for part, n in parts.items():
-                    link[2][part] = link[2].get(part, 0) + n
                 return None
-            if doc_id > link[1]:
-                return doc_id, parts
-            lost = link[1], link[2]
-            link[1], link[2] = doc_id, dict(parts)
-            return lost
-    chain.append([text, doc_id, dict(parts)])
+            link[1], later = min(doc_id, link[1]), max(doc_id, link[1])
+            return later
+    chain.append([text, doc_id])
     return None
 
 
-def _sent(rows: Iterable) -> Iterator[tuple[int, tuple]]:
-    """Of rows (id, part, text): (fingerprint, (text, mask, id, rows by part)) of different texts, and (any key, (None, mask, id, rows by part)) where E is settled."""
+def _sent(rows: Iterable) -> Iterator[tuple[int, tuple[bytes | None, int]]]:
+    """Of rows (id, fingerprint, text): (fingerprint, (text, id)) of different texts, and (fingerprint + id, (None, (id, fingerprint))) of ids known to have a smaller one."""
     chains: dict[int, Chain] = {}
-    masks: dict[int, int] = {}
     size = 0
-    for doc_id, part, text in rows:
+    for doc_id, key, text in rows:
         text = bytes(text)
-        key = xxhash.xxh64_intdigest(text)
-        if doc_id is None:
-            yield key, (None, own_failures(text), None, {part: 1})
-            continue
         before = len(chains.get(key, ()))
-        lost = _smaller(chains, key, text, doc_id, {part: 1})
-        if lost:
-            # The chain's mask belongs to one text where there is one; else the text is measured again.
-            mask = masks[key] if len(chains[key]) == 1 else own_failures(text)
-            yield lost[0], (None, mask | COPY, *lost)
+        later = _later(chains, key, text, doc_id)
+        if later is not None:
+            yield key + later, (None, (later, key))
         elif len(chains[key]) > before:
-            masks[key] = own_failures(text)
             size += len(text) + 200
         if size >= HELD:
-            yield from _emptied(chains, masks)
+            yield from _emptied(chains)
             size = 0
-    yield from _emptied(chains, masks)
+    yield from _emptied(chains)
 
 
-def _emptied(chains: dict[int, Chain], masks: dict[int, int]) -> Iterator[tuple[int, tuple]]:
+def _emptied(chains: dict[int, Chain]) -> Iterator[tuple[int, tuple[bytes, int]]]:
     for key, chain in chains.items():
-        for text, doc_id, parts in chain:
-            yield key, (text, masks[key] if len(chain) == 1 else own_failures(text), doc_id, parts)
+        for text, doc_id in chain:
+            yield key, (text, doc_id)
     chains.clear()
-    masks.clear()
 
 
-def _settled(routed: Iterable[tuple[int, tuple]]) -> Iterator[tuple[int | None, str, int, int]]:
-    """(id, part, mask, rows) of what _sent() has sent to one partition."""
+def _not_least(routed: Iterable[tuple[int, tuple]]) -> Iterator[tuple[int, int]]:
+    """(id, fingerprint) of all ids in what _sent() has sent to one partition that have a smaller one."""
     chains: dict[int, Chain] = {}
-    masks: dict[tuple[int, int], int] = {}
-    for key, (text, mask, doc_id, parts) in routed:
-        if text is not None:
-            lost = _smaller(chains, key, text, doc_id, parts)
-            place = next(i for i, link in enumerate(chains[key]) if link[0] == text)
-            masks[key, place] = mask
-            if not lost:
-                continue
-            (doc_id, parts), mask = lost, mask | COPY
-        for part, n in parts.items():
-            yield doc_id, part, mask, n
-    for key, chain in chains.items():
-        for place, (_, doc_id, parts) in enumerate(chain):
-            for part, n in parts.items():
-                yield doc_id, part, masks[key, place], n
+    for key, (text, found) in routed:
+        if text is None:
+            yield found
+        elif (later := _later(chains, key, text, found)) is not None:
+            yield later, key
 
 
 def _partitions(docs: DataFrame) -> int:
@@ -130,23 +112,40 @@ def _partitions(docs: DataFrame) -> int:
     return max(usual, min(4 * size // SHARE + 1, 1 << 17)) if size < 1 << 60 else usual
 
 
+def _own(docs: DataFrame, part_col: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, part, fp and mask (A to D) of every document, by one pass over the texts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), whole_text(text_col).cast("binary").alias("data"))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.as_py() for x in b.column(2)]
+            columns = [pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array([own_failures(t) for t in texts], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns], names=["doc_id", "part", "fp", "mask"])
+
+    return rows.mapInArrow(measured, "doc_id long, part string, fp long, mask int")
+
+
 def masks(docs: DataFrame, part_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, part, mask (bit 0: A ... bit 4: E) and n (rows that have all three) of every document."""
-    rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(part_col).cast("string"), F.lit("")), whole_text(text_col).cast("binary"))
-    routed: RDD = rows.rdd.mapPartitions(_sent).partitionBy(_partitions(rows), lambda key: key)
-    return docs.sparkSession.createDataFrame(routed.mapPartitions(_settled), "doc_id long, part string, mask int, n long", verifySchema=False)
+    """doc_id, part and mask (bit 0: A ... bit 4: E) of every document."""
+    own = written(_own(docs, part_col, id_col, text_col), "masks")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary")).filter("doc_id IS NOT NULL")
+    routed: RDD = texts.rdd.map(lambda r: (r[0], fingerprint(r[1]), r[1])).mapPartitions(_sent).partitionBy(_partitions(texts), lambda key: key)
+    later = docs.sparkSession.createDataFrame(routed.mapPartitions(_not_least), "doc_id long, fp long", verifySchema=False)
+    # An id can repeat, its text too: a row fails if its id and fingerprint are among the later ones.
+    copies = later.distinct().withColumn("copy", F.lit(COPY))
+    return own.join(copies, ["doc_id", "fp"], "left").select("doc_id", "part", (F.col("mask") + F.coalesce("copy", F.lit(0))).alias("mask"))
 
 
-def _one(row: tuple[int, int, bool, bool]) -> list[int]:
+def _one(row: tuple[int, bool, bool]) -> list[int]:
     """A vector of MASKS counts of documents, then of good, then of toxic ones."""
     return _added([0] * (3 * MASKS), row)
 
 
-def _added(vector: list[int], row: tuple[int, int, bool, bool]) -> list[int]:
-    mask, n, good, toxic = row
-    vector[mask] += n
-    vector[MASKS + mask] += n * good
-    vector[2 * MASKS + mask] += n * toxic
+def _added(vector: list[int], row: tuple[int, bool, bool]) -> list[int]:
+    mask, good, toxic = row
+    vector[mask] += 1
+    vector[MASKS + mask] += good
+    vector[2 * MASKS + mask] += toxic
     return vector
 
 
@@ -179,7 +178,7 @@ def audited(docs: DataFrame, labels: DataFrame, part_col: str = "lang", id_col:
     said = lambda name: F.coalesce(F.max(F.col(name) == 1), F.lit(False)).alias(name)
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(said("quality"), said("toxic"))
     rows = masks(docs, part_col, id_col, text_col).join(known, "doc_id", "left")
-    keyed = rows.select("part", "mask", "n", F.coalesce("quality", F.lit(False)), F.coalesce("toxic", F.lit(False))).rdd.map(lambda r: (r[0], tuple(r[1:])))
+    keyed = rows.select("part", "mask", F.coalesce("quality", F.lit(False)), F.coalesce("toxic", F.lit(False))).rdd.map(lambda r: (r[0], tuple(r[1:])))
     vectors = keyed.combineByKey(_one, _added, _both)
     counts = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
     schema = "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in counts)
