@@ -37,6 +37,7 @@ ARGUMENTS = {
 }
 #: Most characters of a result that is written into a trajectory, and what stands for results that are no longer there. Fixed values.
 MOST_RESULT = 3000
+SPLIT_FORMAT = "v3_multi_turn"
 SEARCHED = "(Original training example — live result not available for replay. Model answer reflects the retrieved content.)"
 READ = "(Original training example — live content not available for replay.)"
 NOT_PARSED = "Error: could not parse code"
@@ -51,8 +52,11 @@ def _argument(call: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def code_of(call: Column) -> Column:
-    """The code of a python_execute call, its escaped line breaks and tabs made real; null if it has none."""
-    return F.replace(F.replace(_argument(call, CODE), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+    """The code of a python_execute call, its escaped line breaks, tabs and quotes made real; null if it has none."""
+    code = _argument(call, CODE)
+    for escaped, real in (("\\n", "\n"), ("\\t", "\t"), ('\\"', '"')):
+        code = F.replace(code, F.lit(escaped), F.lit(real))
+    return code
 
 
 def xml_arguments(call: Column) -> Column:
@@ -78,7 +82,7 @@ def replayed(call: Column, printed: Column, now: Column) -> Column:
     pair = lambda tool, result: F.struct(tool.alias("tool"), result.alias("result"))
     other = F.when(F.contains(call, F.lit("(")), T.strip(F.substring_index(call, "(", 1))).otherwise(F.left(call, F.lit(40)))
     return (
-        F.when(F.startswith(call, F.lit("python_execute")), pair(F.lit("python_execute"), F.when(code_of(call).isNotNull(), F.coalesce(printed, F.lit(""))).otherwise(NOT_PARSED)))
+        F.when(F.startswith(call, F.lit("python_execute")), pair(F.lit("python_execute"), F.when(F.coalesce(code_of(call), F.lit("")) != "", F.coalesce(printed, F.lit(""))).otherwise(NOT_PARSED)))
         .when(F.startswith(call, F.lit("web_search")), pair(F.lit("web_search"), F.concat(F.lit("[Search results for: "), said(QUERY, "(query not parsed)"), F.lit(f"]\n{SEARCHED}"))))
         .when(F.startswith(call, F.lit("read_url")), pair(F.lit("read_url"), F.concat(F.lit("[Page content from: "), said(URL, "(URL not parsed)"), F.lit(f"]\n{READ}"))))
         .when(F.startswith(call, F.lit("get_datetime")), pair(F.lit("get_datetime"), now))
@@ -90,6 +94,11 @@ def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+def _behind_calls(post: Column) -> Column:
+    """What follows the last call."""
+    return F.element_at(F.split(post, SPAN, -1), -1)
+
+
 def _after_thought(content: Column) -> Column:
     return F.regexp_replace(content, THOUGHT, "")
 
@@ -107,13 +116,13 @@ def split_turns(content: Column, printed: Column, now: Column) -> Column:
         said = F.when((k == 0) & (before != ""), T.strip(F.concat(before, F.lit("\n"), span))).otherwise(span)
         return F.array(_message("assistant", said), _message("tool", F.concat(F.lit("[TOOL_RESULT: "), seen["tool"], F.lit("]\n"), body, F.lit("\n[/TOOL_RESULT]"))))
 
-    answer = F.regexp_extract(F.substring_index(post, "</tool>", -1), "(?is)<answer>.*?</answer>", 0)
+    answer = F.regexp_extract(_behind_calls(post), "(?is)<answer>.*?</answer>", 0)
     last = F.when(answer != "", F.array(_message("assistant", answer))).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
     return F.when(F.size(spans) > 0, F.concat(F.flatten(F.transform(spans, turns)), last))
 
 
 def split(rows: DataFrame, printed: Column, now: Column, most: int = MOST_CALLS) -> DataFrame:
-    """rows with messages of (role, content) and status: transformed, unchanged, dropped_no_answer or dropped_too_many."""
+    """rows with messages of (role, content), status (transformed, unchanged, dropped_no_answer or dropped_too_many) and tool_format of those that were transformed."""
     plain = lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content"))
     parts = F.transform("messages", lambda m: F.coalesce(F.when(m["role"] == "assistant", split_turns(F.coalesce(m["content"], F.lit("")), printed, now)), F.array(plain(m))))
     done = F.exists("messages", lambda m: m["role"] == "tool")
@@ -122,7 +131,7 @@ def split(rows: DataFrame, printed: Column, now: Column, most: int = MOST_CALLS)
     out = out.withColumns({"messages": F.flatten("messages"), "split": ~F.col("done") & F.exists("messages", lambda p: F.size(p) > 1)}).drop("done")
     results = F.size(F.filter("messages", lambda m: m["role"] == "tool"))
     status = F.when(~F.col("split"), "unchanged").when(F.element_at("messages", -1)["role"] == "tool", "dropped_no_answer").when(results > most, "dropped_too_many").otherwise("transformed")
-    return out.withColumn("status", status).drop("split")
+    return out.withColumn("status", status).withColumn("tool_format", F.when(F.col("status") == "transformed", SPLIT_FORMAT)).drop("split")
 
 
 NATIVE = "struct<role:string,content:string,name:string,arguments:string,call_id:string>"
@@ -154,7 +163,7 @@ def native(rows: DataFrame, key: str, printed: Column, now: Column) -> DataFrame
             said = entry(F.lit("assistant"), F.when(k == 0, thought).otherwise(""), fields["name"], fields["arguments"], own)
             return F.array(said, entry(F.lit("tool"), F.coalesce(F.get(results, k), replayed(call, printed, now)["result"]), call=own))
 
-        answer = F.regexp_extract(F.substring_index(post, "</tool>", -1), "(?is)<answer>.*?</answer>", 0)
+        answer = F.regexp_extract(_behind_calls(post), "(?is)<answer>.*?</answer>", 0)
         last = F.when(answer != "", F.array(entry(F.lit("assistant"), answer))).otherwise(none)
         return F.when(m["role"] == "tool", none).when((m["role"] == "assistant") & (F.size(calls) > 0), F.concat(F.flatten(F.transform(calls, pair)), last)).otherwise(F.array(plain(m)))
 

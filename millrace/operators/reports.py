@@ -27,11 +27,12 @@ def judged_items(reports: DataFrame) -> DataFrame:
 def item_vectors(answers: DataFrame) -> DataFrame:
     """label, key, think_len, ext_ratio, is_ask and hollow of answers (label, group_id, question_idx, response, rule_passed).
 
-    ext_ratio is the answer's share of answer and reasoning, null without either; hollow is a pass without an answer.
+    ext_ratio is the reasoning's share of reasoning and answer, null without either; an answer counts as asking also where a question stands beside it;
+    hollow is a pass without an answer.
     """
     r = F.col("response")
-    rows = answers.select("label", F.concat_ws("::", "group_id", F.col("question_idx").cast("string")).alias("key"), T.think_length(r).cast("double").alias("think_len"), F.length(T.user_facing(r)).alias("chars"), T.is_ask(r).alias("ask"), "rule_passed")
-    return rows.select("label", "key", "think_len", F.try_divide(F.col("chars"), F.col("chars") + F.col("think_len")).alias("ext_ratio"), F.col("ask").cast("double").alias("is_ask"), (F.coalesce("rule_passed", F.lit(False)) & (F.col("chars") == 0)).cast("double").alias("hollow"))
+    rows = answers.select("label", F.concat_ws("::", "group_id", F.col("question_idx").cast("string")).alias("key"), T.think_length(r).cast("double").alias("think_len"), F.length(T.user_facing(r)).alias("chars"), (T.is_ask(r) | (T.strip(T.tag_body(r, "ask")) != "")).alias("ask"), "rule_passed")
+    return rows.select("label", "key", "think_len", F.try_divide(F.col("think_len"), F.col("chars") + F.col("think_len")).alias("ext_ratio"), F.col("ask").cast("double").alias("is_ask"), (F.coalesce("rule_passed", F.lit(False)) & (F.col("chars") == 0)).cast("double").alias("hollow"))
 
 
 def newest_reports(files: DataFrame, latest_only: bool = True) -> DataFrame:
@@ -86,7 +87,7 @@ def merged_memory(base: Column, updates: Column) -> Column:
 def top_paragraphs(paragraphs: Column, prompt: Column, most: int = 5) -> Column:
     """The paragraphs that share most of the prompt's words (stop words aside), best first, ties in order; without any the first three, without a prompt the first eight."""
     words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"(?U)(\w+)"), 1))
-    asked = F.array_except(words(prompt), strings(T.STOP_WORDS))
+    asked = F.array_except(words(prompt), strings(T.PAGE_STOP_WORDS))
     scored = F.transform(paragraphs, lambda p, i: F.struct((-F.size(F.array_intersect(asked, words(p)))).alias("less"), i.alias("i"), p.alias("p")))
     best = F.slice(F.array_sort(F.filter(scored, lambda s: s["less"] < 0)), 1, most)
     found = F.transform(best, lambda s: s["p"])

@@ -101,7 +101,7 @@ def x4_split(spark: SparkSession, d: str) -> DataFrame:
     """Messages of trajectories after each XML call got a turn of its own; dropped ones have their status only."""
     rows = V.split(C.trajectories(xml_turns(spark, d)), F.expr(PRINTED), F.lit(NOW))
     kept = F.when(F.startswith("status", F.lit("dropped")), F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content")))).otherwise(F.col("messages"))
-    return rows.select("conv_id", "status", F.posexplode(kept).alias("pos", "m")).select("conv_id", "status", "pos", "m.role", "m.content")
+    return rows.select("conv_id", "status", "tool_format", F.posexplode(kept).alias("pos", "m")).select("conv_id", "status", "tool_format", "pos", "m.role", "m.content")
 
 
 def x5_x6_native(spark: SparkSession, d: str) -> DataFrame:
@@ -225,8 +225,8 @@ SQL = {
           UNION ALL SELECT conv_id, i, k, 2, 'tool', concat('[TOOL_RESULT: ', tool, ']', chr(10), replay, chr(10), '[/TOOL_RESULT]'), true FROM t WHERE NOT tools
           UNION ALL SELECT conv_id, i, 1000, 3, 'assistant', answer, true FROM s WHERE NOT tools AND len(calls) > 0 AND answer <> ''),
         g AS (SELECT conv_id, CASE WHEN NOT bool_or(split) THEN 'unchanged' WHEN max_by(role, i * 10000 + k * 4 + part) = 'tool' THEN 'dropped_no_answer' WHEN count(*) FILTER (role = 'tool') > 5 THEN 'dropped_too_many' ELSE 'transformed' END AS status FROM parts GROUP BY 1)
-        SELECT conv_id, status, (row_number() OVER (PARTITION BY conv_id ORDER BY i, k, part) - 1)::INT AS pos, role, content FROM parts JOIN g USING (conv_id) WHERE NOT starts_with(status, 'dropped')
-        UNION ALL SELECT conv_id, status, 0, NULL, NULL FROM g WHERE starts_with(status, 'dropped')""",
+        SELECT conv_id, status, CASE WHEN status = 'transformed' THEN 'v3_multi_turn' END AS tool_format, (row_number() OVER (PARTITION BY conv_id ORDER BY i, k, part) - 1)::INT AS pos, role, content FROM parts JOIN g USING (conv_id) WHERE NOT starts_with(status, 'dropped')
+        UNION ALL SELECT conv_id, status, NULL, 0, NULL, NULL FROM g WHERE starts_with(status, 'dropped')""",
     "x5_x6_native": rf"""WITH {_CALLS},
         known AS (SELECT *, CASE tool WHEN 'python_execute' THEN json_object('code', code)::VARCHAR WHEN 'web_search' THEN json_object('query', query)::VARCHAR WHEN 'read_url' THEN json_object('url', url, 'prompt', 'prices of tea')::VARCHAR
             WHEN 'get_datetime' THEN '{{}}' WHEN 'scratchpad_update' THEN json_object('section', 'todo', 'content', 'buy tea')::VARCHAR END AS args FROM t),

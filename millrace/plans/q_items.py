@@ -129,7 +129,7 @@ def e26_memory(spark: SparkSession, d: str) -> DataFrame:
 def x26_e27_read(spark: SparkSession, d: str) -> DataFrame:
     """A read of a page by a prompt: its lines of more than 60 characters as paragraphs, the best five of them."""
     lines = F.filter(F.transform(F.split("text", "\n", -1), T.strip), lambda p: F.length(p) > 60)
-    prompt = F.when(F.col("doc_id") % 4 == 0, F.lit("")).when(F.col("doc_id") % 4 == 1, F.lit("The of")).when(F.col("doc_id") % 4 == 2, F.lit("zzz zzzz")).otherwise(F.lit("Find thon tion ander les que erst und thand"))
+    prompt = F.when(F.col("doc_id") % 4 == 0, F.lit("")).when(F.col("doc_id") % 4 == 1, F.lit("The of")).when(F.col("doc_id") % 4 == 2, F.lit("zzz zzzz")).otherwise(F.lit("What is the latest? Find thon tion ander les que erst und thand now"))
     content = F.array_join(R.top_paragraphs(lines, prompt), "\n\n")
     shown = F.when(F.length(content) > 2000, F.concat(F.left(content, F.lit(2000)), F.lit(T.CUT))).otherwise(content)
     head = F.concat(F.lit("[Fetched: http://x/"), F.col("doc_id").cast("string"), F.lit("]"), F.when(prompt != "", F.concat(F.lit("\nPrompt: "), prompt)).otherwise(""))
@@ -182,9 +182,9 @@ _THINK = f"length({STRIP.format(body('think', 'response'))})"
 SQL = {
     "e2_judged_items": f"""{_A} SELECT label, suite, CASE suite WHEN 'constitution' THEN grp WHEN 'categories' THEN 'cat::' || grp ELSE 'drift' END AS group_id,
         coalesce(judge_principle, CASE suite WHEN 'categories' THEN 'Category: ' || grp ELSE 'principle ' || grp END) AS principle, question, md5(response) AS response_md5 FROM a""",
-    "a6_item_vectors": f"""{_A}, v AS (SELECT label, concat(grp, '/', question, '::', question_idx) AS key, {_THINK}::DOUBLE AS think_len, length({USER}) AS chars, regexp_matches(r, '(?is)<ask>.*?</ask>') AND NOT regexp_matches(r, '(?is)<answer>.*?</answer>') AS ask, rule_passed
+    "a6_item_vectors": f"""{_A}, v AS (SELECT label, concat(grp, '/', question, '::', question_idx) AS key, {_THINK}::DOUBLE AS think_len, length({USER}) AS chars, (regexp_matches(r, '(?is)<ask>.*?</ask>') AND NOT regexp_matches(r, '(?is)<answer>.*?</answer>')) OR {STRIP.format(body('ask', 'r'))} <> '' AS ask, rule_passed
           FROM (SELECT *, response AS r FROM a) WHERE suite = 'constitution')
-        SELECT label, key, think_len, round(chars / nullif(chars + think_len, 0), 6) AS ext_ratio, ask::INT::DOUBLE AS is_ask, (rule_passed AND chars = 0)::INT::DOUBLE AS hollow FROM v""",
+        SELECT label, key, think_len, round(think_len / nullif(chars + think_len, 0), 6) AS ext_ratio, ask::INT::DOUBLE AS is_ask, (rule_passed AND chars = 0)::INT::DOUBLE AS hollow FROM v""",
     "a18_think_stats": f"""{_A}, v AS (SELECT label, {_THINK} AS t FROM a WHERE suite = 'constitution')
         SELECT label, count(*) AS n, round(avg(t), 1) AS mean_think_chars, round(100 * avg((t < 10)::INT), 1) AS pct_empty FROM v GROUP BY label""",
     "e24_e6_summary": f"""{_A}, s AS (SELECT label, suite, avg(rule_passed::INT) AS v FROM a WHERE NOT (label = 'src1' AND suite = 'categories') GROUP BY ALL)
@@ -212,8 +212,8 @@ SQL = {
         UNION ALL SELECT doc_id, 1, 'WHAT', 'Topic', lang, 'a language' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 0, '', 'Task', 'n', 'd' FROM documents WHERE doc_id % 4 = 1""",
     "e26_memory": """SELECT doc_id, concat('[GOALS] ', source, chr(10), '[ROLE] ', CASE WHEN doc_id % 3 = 0 THEN concat('new', chr(10), '[NOTES] ', source) ELSE lang END) AS memory FROM documents""",
     "x26_e27_read": rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format('x')}), lambda x: length(x) > 60) AS ps,
-            CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'The of' WHEN 2 THEN 'zzz zzzz' ELSE 'Find thon tion ander les que erst und thand' END AS prompt FROM documents),
-        w AS (SELECT *, CASE doc_id % 4 WHEN 2 THEN ['zzz', 'zzzz'] WHEN 3 THEN ['find', 'thon', 'tion', 'ander', 'les', 'que', 'erst', 'und', 'thand'] ELSE [] END AS asked FROM p),
+            CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'The of' WHEN 2 THEN 'zzz zzzz' ELSE 'What is the latest? Find thon tion ander les que erst und thand now' END AS prompt FROM documents),
+        w AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(prompt), '\w+')), lambda x: NOT list_contains(string_split('{' '.join(T.PAGE_STOP_WORDS)}', ' '), x)) AS asked FROM p),
         s AS (SELECT doc_id, i, ps[i] AS x, len(list_intersect(asked, regexp_extract_all(lower(ps[i]), '[\w\p{{L}}\p{{N}}]+'))) AS score FROM w, unnest(range(1, len(ps) + 1)) AS u(i)),
         b AS (SELECT doc_id, list(x ORDER BY score DESC, i) AS best FROM (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) <= 5) GROUP BY 1),
         c AS (SELECT w.doc_id, prompt, array_to_string(CASE WHEN len(asked) = 0 THEN ps[1:8] WHEN best IS NOT NULL THEN best ELSE ps[1:3] END, chr(10) || chr(10)) AS t FROM w LEFT JOIN b USING (doc_id))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scoring as S
@@ -38,13 +38,17 @@ def f25_groups(spark: SparkSession, d: str) -> DataFrame:
     return varied.filter("v > 0").select("source", "n", F.round("mean", 6).alias("mean"))
 
 
+def violations_of() -> Column:
+    """Principles that responses (doc_id, r, profile) violate."""
+    question = F.when(F.col("doc_id") % 2 == 0, "How many are there in total?").otherwise("Why?")
+    pad = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("doc_id") % 2)
+    return S.harness_violations(F.concat("r", F.when(F.col("doc_id") % 20 == 6, "<tool>x(</tool><tool>y(</tool>").otherwise("")), question, S.tools_of(F.col("profile")), pad)
+
+
 def f10_harness(spark: SparkSession, d: str) -> DataFrame:
     """Violated principles of every response."""
     rows = responses(spark, d)
-    question = F.when(F.col("doc_id") % 2 == 0, "How many are there in total?").otherwise("Why?")
-    pad = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("doc_id") % 2)
-    v = S.harness_violations(F.concat("r", F.when(F.col("doc_id") % 20 == 6, "<tool>x(</tool><tool>y(</tool>").otherwise("")), question, S.tools_of(F.col("profile")), pad)
-    return rows.select("doc_id", F.array_join(v, ",").alias("violations"))
+    return rows.select("doc_id", F.array_join(violations_of(), ",").alias("violations"))
 
 
 RULES = [
