@@ -28,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,22 +233,28 @@ class Field:
 
     def _expected(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected labels per token and expected steps, by forward and backward sums of scaled chances."""
-        n, steps = len(score), np.exp(self._steps())
-        own = np.exp(score - score.max(1, keepdims=True))
-        forward, backward, scale = np.zeros((n, 3)), np.ones((n, 3)), np.ones(n)
-        now = steps[OUT] * own[0]
-        for i in range(n):
-            if i:
-                now = (forward[i - 1] @ steps) * own[i]
-            scale[i] = now.sum()
-            forward[i] = now / scale[i]
-        for i in range(n - 2, -1, -1):
-            backward[i] = steps @ (own[i + 1] * backward[i + 1]) / scale[i + 1]
-        node = forward * backward
+        steps = np.exp(self._steps())
+        (s00, s01, s02), (s10, s11, s12), (s20, s21, s22) = steps.tolist()
+        own = np.exp(score - score.max(1, keepdims=True)).tolist()
+        # Plain numbers: a line's arrays are too short to gain by numpy.
+        forward, scale, (a, b, c) = [], [], (1.0, 0.0, 0.0)
+        for x, y, z in own:
+            p, q, r = (a * s00 + b * s10 + c * s20) * x, (a * s01 + b * s11 + c * s21) * y, (a * s02 + b * s12 + c * s22) * z
+            whole = p + q + r
+            a, b, c = p / whole, q / whole, r / whole
+            forward.append((a, b, c))
+            scale.append(whole)
+        backward, later, (a, b, c) = [(1.0, 1.0, 1.0)], [], (1.0, 1.0, 1.0)
+        for (x, y, z), whole in zip(own[:0:-1], scale[:0:-1]):
+            x, y, z = x * a / whole, y * b / whole, z * c / whole
+            later.append((x, y, z))
+            a, b, c = s00 * x + s01 * y + s02 * z, s10 * x + s11 * y + s12 * z, s20 * x + s21 * y + s22 * z
+            backward.append((a, b, c))
+        node = np.array(forward) * np.array(backward[::-1])
         edge = np.zeros((3, 3))
         edge[OUT] += node[0]
-        if n > 1:
-            edge += np.einsum("ni,nj->ij", forward[:-1], own[1:] * backward[1:] / scale[1:, None]) * steps
+        if later:
+            edge += np.array(forward[:-1]).T @ np.array(later[::-1]) * steps
         return node, edge
 
     def decode(self, score: np.ndarray) -> list[int]:
@@ -302,7 +309,7 @@ class Tables:
         self.older, self.older_parts, self.older_marks = self.known, self.parts, self.marks
         self.known = {}
         self.parts = np.zeros((KNOWN, 8), np.float32)  # own, as the one before, as the one before that, as the next
-        self.marks = np.zeros((KNOWN, 4), np.int32)  # kind, trigger, 2 * sign + no blank before it, the spelling without the blank
+        self.marks = np.zeros((KNOWN, 4), np.int64)  # kind, trigger, 2 * sign + no blank before it, the spelling without the blank
         self._add([NOTHING])
 
     def _kind(self, kind: str) -> int:
@@ -338,7 +345,7 @@ class Tables:
                 if key:
                     self.read[key] = base
             parts.append(base + self.before.get(word, none) + self.before2.get(word, none) + self.after.get(f"{word[:2]},{int(glued)}", none))
-            marks.append((self._kind(kind), _asks(token), 2 * _sign(own) + glued, hash(own) & 0x7FFFFFFF))
+            marks.append((self._kind(kind), _asks(token), 2 * _sign(own) + glued, xxhash.xxh64_intdigest(own) >> 1))
         self.known.update(zip(tokens, range(n, n + len(tokens))))
         self.parts[n : n + len(tokens)], self.marks[n : n + len(tokens)] = parts, marks
 
@@ -394,6 +401,8 @@ class Tables:
 
 #: Words that stand near those that ask for a secret.
 COMMON = "the of and to in is was for with that this must should required invalid missing expired wrong changed reset your our their it be by from when after before please enter forgot never none null true false people through strength length rhythm thoughts idea point question moment value function field button card board stone note signature west east".split()
+#: Longer words that stand there.
+LONGER = "instructions requirements authentication configuration management verification protection administrator information notification registration application expiration encryption documentation confirmation permissions immediately automatically successfully temporarily regularly".split()
 #: Words of which pass phrases are made.
 PHRASE = "correct horse battery staple hunter summer winter dragon monkey shadow master sunshine princess football baseball welcome charlie tiger silver purple orange coffee guitar cheese rocket planet garden window yellow autumn spring monday friday river castle pepper cookie banana flower".split()
 
@@ -420,9 +429,15 @@ class Lines:
         word = rng.choice(COMMON) if x < 0.35 else self.spoken(min(self.most, rng.choice([1, 1, 2, 2, 2, 3, 3, 4, 5, 6, 7]))) if x < 0.9 else self.pick(string.ascii_lowercase, rng.randrange(1, 9))
         x = rng.random()
         word = "ß" + word if x > 0.95 else word
-        word = word.title() if x < 0.12 or x > 0.96 else word.upper() if x < 0.15 else word
+        # A capital ß is SS before small letters; names and abbreviations turn within a word, too.
+        word = rng.choice([word.title(), word[:1].upper() + word[1:]]) if x < 0.12 or x > 0.96 else word.upper() if x < 0.15 else self.turned(word) if x < 0.17 else word
         return word + rng.choice(["", "", "", "", "", "", ",", ".", ". ", ":", "!", "?", "***", "$$$", "!!"])
 
+    def turned(self, word: str) -> str:
+        """A word that turns from small to capital letters or back, as names, plurals of abbreviations and words run together do."""
+        rng = self.rng
+        return rng.choice([self.pick(string.ascii_uppercase, rng.randrange(2, 5)) + rng.choice(["s", "ed", word.lower()]), rng.choice(["Mc", "Mac", "De", "i", "e", "La"]) + word.title(), word.lower() + self.spoken(1).title()])
+
     def prose(self, least: int, most: int) -> str:
         return " ".join(self.said() for _ in range(self.rng.randrange(least, most))).rstrip(" ")
 
@@ -564,7 +579,7 @@ class Lines:
         elif x < 0.9:
             add(rng.choice(["the ", "a ", "", "my ", "The ", "Your ", "this "]) + rng.choice([asks, asks, "author", "keyboard", "passage", "monkey", "authority", "tokens", "keys", "secretary", "passenger"]) + rng.choice([" ", " is ", " was ", " of ", ", ", ". ", ": ", " for ", " to "]))
             # What follows is a word that is used: a long one there would be a pass phrase.
-            add(rng.choice([rng.choice(COMMON), rng.choice(COMMON), self.spoken(rng.randrange(1, 4))[:10]]) + " " + self.prose(2, 9))
+            add(rng.choice([rng.choice(COMMON), rng.choice(COMMON), rng.choice(COMMON) + " " + rng.choice(LONGER), rng.choice(LONGER), self.spoken(rng.randrange(1, 4))[:10]]) + " " + self.prose(2, 9))
         elif x < 0.94:
             add(self.junk())
         else:

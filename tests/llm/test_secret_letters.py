@@ -40,3 +40,15 @@ def test_field_inside_a_pattern_adds_nothing(monkeypatch):
     text = "token = 'abcdef99'"
     monkeypatch.setattr(S, "field_spans", lambda t, f: [(text.index("abc"), text.index("abc") + 8)])
     assert [k for k, _, _ in S.all_spans(text, None)] == ["assign"]
+
+
+def test_few_clean_words_are_added_in_many_documents(spark, field):
+    """Over 10,000 documents, words in SS (an upper-cased ß) among them; what the patterns find aside."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(16)
+    rows = S.scanned(docs, field).selectExpr("size(filter(spans, s -> s.kind = 'crf')) AS n").collect()
+    assert len(rows) == 10_000 and sum(r.n for r in rows) <= 10
+
+
+@pytest.mark.parametrize("text", ["password reset instructions", "Your password was changed yesterday", "the API keys and IDs of the PDFs", "the key SSte und SSzu SSber", "token expiration and McGregor, iPhone keys"])
+def test_prose_near_asking_words_stays(field, text):
+    assert S.all_spans(text, field) == []
