@@ -5,10 +5,12 @@ Results are null where a statistic is undefined (no pairs, a constant side); not
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import pick
+from millrace.functions.hashing import pick, uniform
 
 
 def pearson(x: Column, y: Column, least: int = 2) -> Column:
@@ -105,7 +107,7 @@ def paired_bootstrap(pairs: DataFrame, by: str, key: str, a: str, b: str, reps:
     """by, n, delta (mean b - a), lo, hi: percentile interval over reps resamples of the shared items.
 
     Items of a group are one array (item-level tables: hundreds), drawn from by keyed hashes; the replicates are dealt
-    out over the cluster and only their means are shuffled.
+    out over the cluster and only their means are shuffled. For groups of any size there is weighted_means().
     """
     sample = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), (F.col(b) - F.col(a)).alias("x")))).alias("items"))
     n = F.size("items")
@@ -120,3 +122,34 @@ def paired_bootstrap(pairs: DataFrame, by: str, key: str, a: str, b: str, reps:
         at(int(alpha / 2 * reps)).alias("lo"),
         at(min(reps - 1, int((1 - alpha / 2) * reps))).alias("hi"),
     )
+
+
+def poisson(u: Column, most: int = 12) -> Column:
+    """The Poisson count of mean 1 that a uniform number stands for; counts beyond most have a chance below 1e-9."""
+    upto, term, edges = 0.0, math.exp(-1), []
+    for k in range(most):
+        upto += term
+        term /= k + 1
+        edges.append(upto)
+    return sum(((u >= e).cast("int") for e in edges), F.lit(0))
+
+
+def weighted_means(rows: DataFrame, by: list[str], item: list[str], values: list[str], reps: int = 2000, seed: str = "42") -> DataFrame:
+    """by, rep and the mean of each value in reps resamples of the items: each item counts as often as a keyed hash of replicate and item says.
+
+    The Poisson form of the bootstrap: an item's weight depends on nothing but itself, so a row is drawn where it is, and what is shuffled are
+    one partial sum for each task, group and replicate. Groups that share items share their draws. A resample that draws none of a group's items gives it
+    no row; null values are left out.
+    """
+    weight = poisson(uniform(seed, F.col("rep"), *[F.col(c) for c in item]))
+    drawn = rows.select(*by, *item, *values).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", weight).filter("w > 0")
+    mean = lambda v: F.try_divide(F.sum(F.col("w") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("w")))).alias(v)
+    return drawn.groupBy(*by, "rep").agg(*[mean(v) for v in values])
+
+
+def interval(means: DataFrame, by: list[str], value: str, alpha: float = 0.05) -> DataFrame:
+    """by, lo, hi and share (of values of 0 or less) of resampled values: those at the places int(alpha / 2 n) and int((1 - alpha / 2) n) of n in order."""
+    w = Window.partitionBy(*by)
+    placed = means.filter(F.col(value).isNotNull()).withColumn("at", F.row_number().over(w.orderBy(value)) - 1).withColumn("of", F.count("*").over(w))
+    spot = lambda share: F.max(F.when(F.col("at") == F.least(F.floor(F.lit(share) * F.col("of") + 1e-9), F.col("of") - 1), F.col(value)))
+    return placed.groupBy(*by).agg(spot(alpha / 2).alias("lo"), spot(1 - alpha / 2).alias("hi"), F.avg((F.col(value) <= 0).cast("double")).alias("share"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.overlap import FIELDS, rouge_scores
 from millrace.operators import ranking as K
 from millrace.operators import stats as S
 from millrace.operators.ranks import numbered, numbered_within, rolling_mean
@@ -186,6 +189,27 @@ def t9_intervals(spark: SparkSession, d: str) -> DataFrame:
     return S.paired_bootstrap(_click_pairs(spark, d), "label", "item", "base", "score").select("label", "n", *[_r(F.col(c)).alias(c) for c in ("delta", "lo", "hi")])
 
 
+def t9_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The same intervals by weights of items in place of draws, so that no group's items meet in one place."""
+    pairs = _click_pairs(spark, d).withColumn("x", F.col("score") - F.col("base"))
+    means = S.weighted_means(pairs, ["label"], ["item"], ["x"]).withColumn("x", F.round("x", 9))
+    points = pairs.groupBy("label").agg(F.count("x").alias("n"), _r(F.avg("x")).alias("delta"))
+    return points.join(S.interval(means, ["label"], "x"), "label").select("label", "n", "delta", _r(F.col("lo")).alias("lo"), _r(F.col("hi")).alias("hi"))
+
+
+def t10_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of head-to-head means (b is null) and of their differences, by weights of questions that all conditions share."""
+    ranked = K.beat_credit(K.competition_ranks(_per_question(spark, d), ["suite", "item"], "label", "score"), ["suite", "item"])
+    means = S.weighted_means(ranked, ["label"], ["suite", "item"], ["credit"], 10_000, "t10")
+    left, right = (means.select("rep", F.col("label").alias(c), F.col("credit").alias(f"v{c}")) for c in "ab")
+    single = left.select("a", F.lit("").alias("b"), F.col("va").alias("v"))
+    values = single.unionByName(left.join(right, "rep").filter("a < b").select("a", "b", (F.col("va") - F.col("vb")).alias("v"))).withColumn("v", F.round("v", 9))
+    points = ranked.groupBy("label").agg(F.avg("credit").alias("point"))
+    out = S.interval(values, ["a", "b"], "v").join(points.select(F.col("label").alias("a"), F.col("point").alias("pa")), "a").join(points.select(F.col("label").alias("b"), F.col("point").alias("pb")), "b", "left")
+    two = F.col("b") != ""
+    return out.select("a", F.when(two, F.col("b")).alias("b"), _r(F.col("pa") - F.coalesce("pb", F.lit(0.0))).alias("point"), _r(F.col("lo")).alias("lo"), _r(F.col("hi")).alias("hi"), F.when(two, _r(F.col("share"))).alias("share_le_0"), F.when(two, ~((F.col("lo") <= 0) & (F.col("hi") >= 0))).alias("separated"))
+
+
 def t15_correlations(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of every two principles over items scored on both, flagged from 0.9 on."""
     per = scores(spark, d).groupBy("label", "item", "principle").agg(F.avg("rule_score").alias("score"))
@@ -196,26 +220,33 @@ def t15_correlations(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("d1", "d2").agg(_r(r).alias("r"), F.count("*").alias("n")).withColumn("redundant", F.abs("r") >= 0.9)
 
 
-def t16_rouge(spark: SparkSession, d: str) -> DataFrame:
-    """ROUGE-1 and ROUGE-2 (precision, recall, F) of documents against the benchmark item of the same remainder: n-gram multisets, no stemming.
+def _poisson(key: str) -> str:
+    """SQL of a Poisson count by the chances of 0, 1, 2 ... draws."""
+    chances, term = [], math.exp(-1)
+    for k in range(12):
+        chances.append(term)
+        term /= k + 1
+    u = f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0)"
+    return "(" + " + ".join(f"({u} >= {sum(chances[: k + 1])!r})::INT" for k in range(12)) + ")"
 
-    Each document meets its one reference, and n-grams are counted within the row.
-    """
+
+def _with_reference(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the benchmark item of the same remainder."""
     items = numbered(spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("ref")), "item_id", to="k")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.pmod("doc_id", F.lit(max(1, items.count()))).alias("k"))
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), 1)
-    rows = docs.select("doc_id", "k", words("text").alias("w")).join(items.select("k", words("ref").alias("r")), "k")
-    out = [F.col("doc_id")]
-    for n in (1, 2):
-        grams = lambda w: w if n == 1 else F.when(F.size(w) >= 2, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))  # noqa: E731, B023
-        rows = rows.withColumns({f"g{n}": grams(F.col("w")), f"h{n}": grams(F.col("r"))})
-        rows = rows.withColumn(f"d{n}", F.array_distinct(f"h{n}")).withColumn(f"c{n}", F.filter(f"g{n}", lambda g: F.array_contains(F.col(f"d{n}"), g)))  # noqa: B023
-        times = lambda name, g: F.size(F.filter(name, lambda x: x == g))
-        hit = F.aggregate(F.array_distinct(f"c{n}"), F.lit(0), lambda s, g: s + F.least(times(f"c{n}", g), times(f"h{n}", g)))  # noqa: B023
-        rows = rows.withColumn(f"hit{n}", hit)
-        share = lambda of: _r(F.coalesce(F.try_divide(F.col(f"hit{n}"), of), F.lit(0.0)))  # noqa: E731, B023
-        out += [share(F.size(f"g{n}")).alias(f"rouge{n}_p"), share(F.size(f"h{n}")).alias(f"rouge{n}_r"), _r(F.coalesce(F.try_divide(2 * F.col(f"hit{n}"), F.size(f"g{n}") + F.size(f"h{n}")), F.lit(0.0))).alias(f"rouge{n}_f")]
-    return rows.select(*out)
+    return docs.join(items.select("k", "ref"), "k")
+
+
+def t16_rouge(spark: SparkSession, d: str) -> DataFrame:
+    """ROUGE-1 and ROUGE-2 (precision, recall, F) of documents against their references, on words as they are."""
+    rows = _with_reference(spark, d).select("doc_id", rouge_scores(F.col("text"), F.col("ref"), stems=False).alias("s"))
+    return rows.select("doc_id", *[_r(F.col(f"s.{f}")).alias(f) for f in FIELDS if f[:6] != "rougel"])
+
+
+def t16_rouge_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """ROUGE-1, ROUGE-2 and ROUGE-L (precision, recall, F) of documents against their references, on stems."""
+    rows = _with_reference(spark, d).select("doc_id", rouge_scores(F.col("text"), F.col("ref")).alias("s"))
+    return rows.select("doc_id", *[_r(F.col(f"s.{f}")).alias(f) for f in FIELDS])
 
 
 def w1_w2_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a7_j4_principles, a8_a10_suites, a11_attack_rollup, a3_a5_depth_tools_cost, a25_percentiles, j1_t14_significance, j2_e7_compare, j3_k4_matrix, w3_a13_head_to_head, a14_grades,
-        j12_duels, w5_w9_ladder, t1_t7_agreement, t8_a31_consistency, t9_bootstrap, t9_intervals, t15_correlations, t16_rouge, w1_w2_drift, w7_rolling, w8_bursts, a16_honesty,
+        j12_duels, w5_w9_ladder, t1_t7_agreement, t8_a31_consistency, t9_bootstrap, t9_intervals, t9_weighted, t10_weighted, t15_correlations, t16_rouge, t16_rouge_stemmed, w1_w2_drift, w7_rolling, w8_bursts, a16_honesty,
     )
 }
 
@@ -338,6 +369,19 @@ SQL = {
         o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m) - 1 AS spot FROM m),
         t AS (SELECT label, count(*) AS n, avg(x) AS delta FROM d GROUP BY label)
         SELECT label, n, round(delta, 6) AS delta, round(max(o.m) FILTER (spot = 50), 6) AS lo, round(max(o.m) FILTER (spot = 1950), 6) AS hi FROM t JOIN o USING (label) GROUP BY label, n, delta""",
+    "t9_weighted": f"""{_S}, p AS (SELECT label, item, avg(rule_score) AS s FROM scores GROUP BY ALL), d AS (SELECT a.label, item, a.s - z.s AS x FROM p a JOIN p z USING (item) WHERE z.label = 'click' AND a.label <> 'click'),
+        w AS (SELECT item, rep, {_poisson("concat('42|', rep, '|', item)")} AS w FROM (SELECT DISTINCT item FROM d), unnest(range(0, 2000)) AS a(rep)),
+        m AS (SELECT label, rep, round(sum(w * x) / sum(w), 9) AS m FROM d JOIN w USING (item) WHERE w > 0 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m) - 1 AS spot, count(*) OVER (PARTITION BY label) AS k FROM m),
+        t AS (SELECT label, count(*) AS n, avg(x) AS delta FROM d GROUP BY label)
+        SELECT label, n, round(delta, 6) AS delta, round(max(o.m) FILTER (spot = k * 25 // 1000), 6) AS lo, round(max(o.m) FILTER (spot = least(k * 975 // 1000, k - 1)), 6) AS hi FROM t JOIN o USING (label) GROUP BY label, n, delta""",
+    "t10_weighted": f"""{_S}, q AS (SELECT suite, item, label, floor(sum(round(rule_score * 10)::BIGINT) / count(*)) / 10 AS score FROM scores GROUP BY ALL),
+        c AS (SELECT a.suite, a.item, a.label, (count(*) FILTER (b.score < a.score) + 0.5 * count(*) FILTER (b.score = a.score))::DOUBLE / greatest(count(b.label), 1) AS credit FROM q a LEFT JOIN q b ON a.suite = b.suite AND a.item = b.item AND a.label <> b.label GROUP BY ALL),
+        w AS (SELECT suite, item, rep, {_poisson("concat('t10|', rep, '|', suite, '|', item)")} AS w FROM (SELECT DISTINCT suite, item FROM c), unnest(range(0, 10000)) AS a(rep)),
+        m AS (SELECT label, rep, sum(w * credit) / sum(w) AS m FROM c JOIN w USING (suite, item) WHERE w > 0 GROUP BY ALL),
+        v AS (SELECT label AS a, NULL AS b, round(m, 9) AS v FROM m UNION ALL SELECT x.label, y.label, round(x.m - y.m, 9) FROM m x JOIN m y USING (rep) WHERE x.label < y.label),
+        p AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY v) - 1 AS spot, count(*) OVER (PARTITION BY a, b) AS k FROM v), t AS (SELECT label, avg(credit) AS h FROM c GROUP BY 1),
+        e AS (SELECT a, b, round(max(v) FILTER (spot = k * 25 // 1000), 6) AS lo, round(max(v) FILTER (spot = least(k * 975 // 1000, k - 1)), 6) AS hi, round(avg((v <= 0)::INT), 6) AS share FROM p GROUP BY a, b)
+        SELECT a, b, round(x.h - coalesce(y.h, 0), 6) AS point, lo, hi, CASE WHEN b IS NOT NULL THEN share END AS share_le_0, CASE WHEN b IS NOT NULL THEN NOT (lo <= 0 AND hi >= 0) END AS separated FROM e JOIN t x ON x.label = a LEFT JOIN t y ON y.label = b""",
     "t15_correlations": f"""{_S}, p AS (SELECT label, item, principle, avg(rule_score) AS s FROM scores GROUP BY ALL), w AS (SELECT label, item, avg(s) AS mean, max(s) AS most, min(s) AS least FROM p GROUP BY ALL),
         l AS (SELECT label, item, 'mean' AS dim, mean AS v FROM w UNION ALL SELECT label, item, 'most', most FROM w UNION ALL SELECT label, item, 'least', least FROM w)
         SELECT a.dim AS d1, b.dim AS d2, round(corr(a.v, b.v), 6) AS r, count(*) AS n, abs(round(corr(a.v, b.v), 6)) >= 0.9 AS redundant FROM l a JOIN l b USING (label, item) GROUP BY ALL""",
