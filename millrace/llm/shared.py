@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +41,21 @@ _KEPT: dict = {}
 def kept(key: object, make: Callable[[], T]) -> T:
     """What one worker keeps for later tasks, of one operator at a time: tasks of another one free it."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+#: Of the C library, where it has it: gives free memory back to the system.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def forget() -> None:
-    """Frees what this worker keeps; called by tasks that need the memory for texts."""
+    """Frees what this worker keeps, and what earlier tasks' memory is free but still held; called by tasks that need the memory for texts."""
     _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def _files(spark: SparkSession, path: str):

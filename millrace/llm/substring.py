@@ -161,15 +161,17 @@ def _cutter(kind: str):
     split = _splitter(kind)
 
     @F.pandas_udf(f"text string, spans {SPANS}")
-    def made(texts: pd.Series, lines: pd.Series, passages: pd.Series, whole: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, gone, runs, every in zip(texts, lines, passages, whole):
-            if t is None:
-                out.append((None, []))
-                continue
-            left, spans = cut(t, split, sorted(map(int, gone)), sorted(map(int, runs)), bool(every))
-            out.append((left, [{"start": a, "end": b} for a, b in spans]))
-        return pd.DataFrame(out, columns=["text", "spans"])
+    def made(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        forget()
+        for texts, lines, passages, whole in batches:
+            out = []
+            for t, gone, runs, every in zip(texts, lines, passages, whole):
+                if t is None:
+                    out.append((None, []))
+                    continue
+                left, spans = cut(t, split, sorted(map(int, gone)), sorted(map(int, runs)), bool(every))
+                out.append((left, [{"start": a, "end": b} for a, b in spans]))
+            yield pd.DataFrame(out, columns=["text", "spans"])
 
     return made
 
@@ -218,6 +220,7 @@ def repeated(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, id
                     held, each = 0, []
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for n in range(b.num_rows):
                 pos, one, two = _passages(b.column(2)[n].as_py(), b.column(3)[n].values.to_numpy())

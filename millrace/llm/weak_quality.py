@@ -217,6 +217,7 @@ def _sampled(docs: DataFrame, share: float, most: int, id_col: str, text_col: st
     rows = docs.filter(pick < int(share * (1 << 31))).select(key.alias("key"), pick.alias("pick"), text.cast("binary").alias("data")).dropDuplicates(["key"]).select("pick", "data")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             found = [(votes_of(m), hashed(d, votes_of(m))) for m, d in (measures(x.as_py()) for x in b.column(1))]
             columns = [b.column(0), pa.array([v for v, _ in found], pa.string()), pa.array([f[0].tobytes() for _, f in found], pa.binary()), pa.array([f[1].tobytes() for _, f in found], pa.binary())]
@@ -252,6 +253,7 @@ def classified(docs: DataFrame, models: tuple[LabelModel, Scorer] | None = None,
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("data"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             found = list(zip(*(_judge(*shared.value, x.as_py()) for x in b.column(1)))) or [(), (), (), ()]
             columns = [pa.array(c, k) for c, k in zip(found, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
@@ -265,7 +267,9 @@ def kept(docs: DataFrame, models: tuple[LabelModel, Scorer] | None = None, id_co
     shared = docs.sparkSession.sparkContext.broadcast(models or fitted(docs, id_col=id_col, text_col=text_col))
 
     @F.pandas_udf("boolean")
-    def good(data: pd.Series) -> pd.Series:
-        return pd.Series([_judge(*shared.value, bytes(x))[3] for x in data], dtype=bool)
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
+        for data in batches:
+            yield pd.Series([_judge(*shared.value, bytes(x))[3] for x in data], dtype=bool)
 
     return docs.filter(good(whole_text(text_col).cast("binary")))
