@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import pick, uniform
+from millrace.functions.hashing import digest, pick
 
 
 def pearson(x: Column, y: Column, least: int = 2) -> Column:
@@ -124,14 +124,16 @@ def paired_bootstrap(pairs: DataFrame, by: str, key: str, a: str, b: str, reps:
     )
 
 
-def poisson(u: Column, most: int = 12) -> Column:
-    """The Poisson count of mean 1 that a uniform number stands for; counts beyond most have a chance below 1e-9."""
-    upto, term, edges = 0.0, math.exp(-1), []
+def poisson(digits: Column, most: int = 12) -> Column:
+    """The Poisson count of mean 1 that eight hex digits stand for, taken as a number from 0 to 1; counts beyond most have a chance below 1e-9."""
+    upto, term, out = 0.0, math.exp(-1), None
     for k in range(most):
         upto += term
         term /= k + 1
-        edges.append(upto)
-    return sum(((u >= e).cast("int") for e in edges), F.lit(0))
+        # Hex digits of one length are in order as texts are, so no number need be made of them.
+        below = digits < f"{math.ceil(upto * 2**32):08x}"
+        out = F.when(below, k) if out is None else out.when(below, k)
+    return out.otherwise(most)
 
 
 def weighted_means(rows: DataFrame, by: list[str], item: list[str], values: list[str], reps: int = 2000, seed: str = "42") -> DataFrame:
@@ -141,7 +143,7 @@ def weighted_means(rows: DataFrame, by: list[str], item: list[str], values: list
     one partial sum for each task, group and replicate. Groups that share items share their draws. A resample that draws none of a group's items gives it
     no row; null values are left out.
     """
-    weight = poisson(uniform(seed, F.col("rep"), *[F.col(c) for c in item]))
+    weight = poisson(F.substring(digest(seed, F.col("rep"), *[F.col(c) for c in item]), 1, 8))
     drawn = rows.select(*by, *item, *values).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", weight).filter("w > 0")
     mean = lambda v: F.try_divide(F.sum(F.col("w") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("w")))).alias(v)
     return drawn.groupBy(*by, "rep").agg(*[mean(v) for v in values])

@@ -108,7 +108,7 @@ def test_the_rarest_gram_keys_a_term(spark):
 
 
 def test_weights_have_the_chances_of_poisson(spark):
-    rows = spark.range(200_000).select(stats.poisson((F.col("id") + 0.5) / 200_000).alias("w")).groupBy("w").count().collect()
+    rows = spark.range(200_000).select(stats.poisson(F.lower(F.lpad(F.hex((F.col("id") * (2**32 / 200_000)).cast("long")), 8, "0"))).alias("w")).groupBy("w").count().collect()
     share = {r.w: r["count"] / 200_000 for r in rows}
     assert [share[k] for k in range(4)] == pytest.approx([0.36788, 0.36788, 0.18394, 0.06131], abs=1e-4)
 
