@@ -56,14 +56,14 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
     item = F.concat(F.expr("left(plain, length(plain) - 1)"), F.lit(', "answer_content": '), answer, F.lit(', "question": '), question, F.lit(', "tools_called": '), F.expr(TOOLS), F.lit(', "harness_violations": '), F.expr(BROKEN), F.lit(', "metrics": '), metrics, F.lit("}"))
     group = lambda name, of: F.concat(F.lit(f'{{"{name}": "'), of, F.lit('", "question_results": ['), F.col("item"), F.lit("]}"))
     attack = F.to_json(F.struct(F.when(F.col("k") % 6 > 0, F.concat(F.lit("adv"), F.col("doc_id").cast("string"))).alias("id"), "passed", F.col("source").alias("question"), F.when(F.col("k") % 5 == 0, 0.25).alias("score")))
-    talk = F.to_json(F.struct(F.concat(F.lit("per"), F.col("doc_id").cast("string")).alias("persona_id"), F.col("lang").alias("profile"), F.col("source").alias("goal"), F.lit("said").alias("transcript"), F.struct("overall", F.lit("fine").alias("summary")).alias("judge")))
+    talk = F.to_json(F.struct(F.concat(F.lit("per"), F.col("doc_id").cast("string")).alias("persona_id"), F.col("lang").alias("profile"), F.col("source").alias("goal"), F.lit("said").alias("transcript"), F.struct("overall", F.lit("fine").alias("summary"), F.when(F.col("k") % 9 == 0, True).alias("judge_failed"), F.struct(F.struct(F.col("overall").alias("score")).alias("warmth"), F.when(F.col("k") % 3 > 0, F.struct((F.col("n_chars") % 5 / 5).alias("score"))).alias("depth")).alias("dimensions")).alias("judge")))
     x = x.withColumn("plain", plain).withColumn("item", item)
     x = x.withColumn("entry", F.when(F.col("suite") == "constitution", group("id", F.col("pid"))).when(F.col("suite") == "categories", group("category", F.col("lang"))).when(F.col("suite") == "drift", F.col("item")).when(F.col("suite") == "adversarial", attack).otherwise(talk))
     array = F.when(F.col("suite") == "categories", "category_results").when(F.col("suite") == "drift", "turn_results").when(F.col("suite") == "persona", "persona_results").otherwise("probe_results")
     name = F.when(F.col("suite") == "categories", "category_score").when(F.col("suite") == "drift", "drift_score").when(F.col("suite") == "persona", "persona_score").when(F.col("suite") == "adversarial", "adversarial_score").otherwise("constitution_score")
     # A report is one JSON document; it has the twelve items of its label and suite.
     rows = x.groupBy("label", "suite").agg(F.array_sort(F.collect_list(F.struct("doc_id", "entry"))).alias("entries"), F.round(F.avg("combined"), 4).alias("score"), F.min(F.when(F.col("rule") < 0.3, F.col("doc_id"))).alias("drifted"), F.collect_list(F.when(F.col("rule").isNotNull(), F.concat(F.lit('"'), "pid", F.lit('": '), F.col("rule").cast("double").cast("string")))).alias("scores"), F.round(F.avg("overall"), 4).alias("warmth"))
-    body = F.concat(F.lit('{"'), array, F.lit('": ['), F.array_join(F.transform("entries", lambda e: e["entry"]), ", "), F.lit('], "'), name, F.lit('": '), F.coalesce(F.col("score").cast("string"), F.lit("null")), F.lit(', "first_drift_at": '), F.coalesce(F.col("drifted").cast("string"), F.lit("null")), F.lit(', "scores_by_principle": {'), F.array_join("scores", ", "), F.lit('}, "dimension_means": {"warmth": '), F.coalesce(F.col("warmth").cast("string"), F.lit("null")), F.lit("}}"))
+    body = F.concat(F.lit('{"'), array, F.lit('": ['), F.array_join(F.transform("entries", lambda e: e["entry"]), ", "), F.lit('], "run_metadata": {"model_label": "'), F.col("label"), F.lit('"}, "'), name, F.lit('": '), F.coalesce(F.col("score").cast("string"), F.lit("null")), F.lit(', "first_drift_at": '), F.coalesce(F.col("drifted").cast("string"), F.lit("null")), F.lit(', "scores_by_principle": {'), F.array_join("scores", ", "), F.lit('}, "dimension_means": {"warmth": '), F.coalesce(F.col("warmth").cast("string"), F.lit("null")), F.lit("}}"))
     return R.parsed(rows.select("label", "suite", body.alias("json")))
 
 
