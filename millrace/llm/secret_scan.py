@@ -22,7 +22,7 @@ import random
 import re
 import string
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import kept, whole_text
+from millrace.llm.shared import kept, trim, whole_text
 
 KINDS = ("assign", "access", "hex", "crf")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -201,19 +201,16 @@ class Field:
         at = self.index.get(name)
         return np.zeros(3) if at is None else self.weights[at]
 
-    def train(self, chains: list[tuple[list[list[str]], list[int]]], epochs: int, seed: int, rate: float = 0.2, shrink: float = 1e-4) -> Field:
-        """Stochastic gradient ascent (Adagrad) on the likelihood of chains of (features per token, labels)."""
-        for rows, _ in chains:
-            for names in rows:
-                for name in names:
-                    self.index.setdefault(name, len(self.index))
-        self.weights = np.zeros((len(self.index), 3))
-        seen_w, seen_s = np.full_like(self.weights, 1e-6), np.full((3, 3), 1e-6)
+    def train(self, chains: Iterable[tuple[list[list[str]], list[int]]], epochs: int, seed: int, rate: float = 0.2, shrink: float = 1e-4) -> Field:
+        """Stochastic gradient ascent (Adagrad) on the likelihood of chains of (features per token, labels); of the features only their numbers are kept."""
         coded = []
         for rows, labels in chains:
-            own, at = np.unique([self.index[f] for names in rows for f in names], return_inverse=True)
+            numbers = [self.index.setdefault(name, len(self.index)) for names in rows for name in names]
+            own, at = np.unique(np.array(numbers, np.int32), return_inverse=True)
             sizes = np.array([len(names) for names in rows])
-            coded.append((own, at, np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes) - sizes, labels))
+            coded.append((own, at.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.cumsum(sizes) - sizes, labels))
+        self.weights = np.zeros((len(self.index), 3))
+        seen_w, seen_s = np.full_like(self.weights, 1e-6), np.full((3, 3), 1e-6)
         rng = random.Random(seed)
         for _ in range(epochs):
             rng.shuffle(coded)
@@ -607,15 +604,21 @@ def labelled(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[str], l
 @lru_cache(maxsize=4)
 def trained(lines: int = TRAIN_LINES, epochs: int = EPOCHS, seed: int = SEED) -> Field:
     """The field, trained on so many generated lines, in files of one to eight lines."""
-    made, chains, left = Lines(random.Random(seed)), [], lines
+    field = Field().train(_chains(lines, seed), epochs, seed)
+    trim()
+    return field
+
+
+def _chains(lines: int, seed: int) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """Features and labels of so many generated lines."""
+    made, left = Lines(random.Random(seed)), lines
     while left > 0:
         own = [made.line() for _ in range(min(left, made.rng.randrange(1, 9)))]
         left -= len(own)
         file = file_features("\n".join(t for t, _ in own))
         for text, spans in own:
             for tokens, labels in labelled(text, spans):
-                chains.append(([features(tokens, i) + file for i in range(len(tokens))], labels))
-    return Field().train(chains, epochs, seed)
+                yield [features(tokens, i) + file for i in range(len(tokens))], labels
 
 
 def _tables(field: Field) -> Tables:

@@ -50,14 +50,19 @@ def kept(key: object, make: Callable[[], T]) -> T:
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def forget() -> None:
-    """Frees what this worker keeps, and what earlier tasks' memory is free but still held; called by tasks that need the memory for texts."""
-    _KEPT.clear()
+def trim() -> None:
+    """Gives memory that is free but still held back to the system."""
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
 
 
+def forget() -> None:
+    """Frees what this worker keeps, and what earlier tasks freed; called by tasks that need the memory for texts."""
+    _KEPT.clear()
+    trim()
+
+
 def _files(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -77,6 +82,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    trim()
     at, files = _files(spark, path)
     files.deleteOnExit(at)
     table = spark.read.schema(df.schema).parquet(path)

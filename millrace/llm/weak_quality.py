@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import forget, whole_text
+from millrace.llm.shared import forget, trim, whole_text
 
 SAMPLE = 4000
 DIMENSIONS = 1 << 16
@@ -234,7 +234,10 @@ def fitted(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_c
     model, total = estimate(counts), sum(counts.values())
     rows = _sampled(docs, min(1.0, sample / max(total, 1)), 2 * sample, id_col, text_col) if total else []
     known = {p: model.posterior(p) for p in counts}
-    return model, Scorer().train([(w, m, known[v]) for w, m, v in rows])
+    scorer = Scorer().train([(w, m, known[v]) for w, m, v in rows])
+    del rows
+    trim()
+    return model, scorer
 
 
 def _judge(model: LabelModel, scorer: Scorer, data: bytes) -> tuple[str, float, float, bool]:
