@@ -109,3 +109,16 @@ def interleaved(a: DataFrame, b: DataFrame, ratio: int, order_a: str, order_b: s
     number = F.col("number")
     right = numbered(b, order_b).withColumn("place", F.when(number < full, (number + 1) * ratio + number + 1).otherwise(na + number + 1))
     return left.unionByName(right).drop("number")
+
+
+def batches(have: DataFrame, targets: dict[str, int], axes: int, size: int = 15, seed: str = "axes") -> DataFrame:
+    """category, start, n and axis of the batches that a set still needs: as many as the target lacks, size at a time; each begins at the axis of its first item's number, in a cycle shuffled by category.
+
+    have: category of every item that there is; categories without a target are left out.
+    """
+    spark = have.sparkSession
+    wanted = spark.createDataFrame(list(targets.items()), "category string, target long")
+    lacks = wanted.join(have.groupBy("category").agg(F.count("*").alias("n")), "category", "left").withColumn("needed", F.greatest(F.lit(0), F.col("target") - F.coalesce("n", F.lit(0))))
+    starts = lacks.filter("needed > 0").select("category", "needed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("needed") - 1, F.lit(size).cast("long"))).alias("start"))
+    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(axes - 1)), lambda i: F.struct(digest(seed, F.col("category"), i).alias("h"), i.alias("i")))), lambda x: x["i"])
+    return starts.select("category", "start", F.least(F.lit(size), F.col("needed") - F.col("start")).alias("n"), F.get(order, (F.col("start") % axes).cast("int")).alias("axis"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.hashing import pick
+from millrace.operators import curation as C
 from millrace.operators import examples as X
 from millrace.operators import intercept as G
 from millrace.plans.fixtures import documents
@@ -85,7 +86,15 @@ def g12_intercepted(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", F.posexplode(said).alias("pos", "m")).select("conv_id", "pos", "m.role", "m.content")
 
 
-QUERIES = {f.__name__: f for f in (x13_examples, x15_native, x14_verifiable, p14_calls, g12_intercepted)}
+TARGETS = {"en": 700, "fr": 200, "de": 150, "none": 20, "es": 1}
+
+
+def m18_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of questions that each category still needs, with the axis each begins at."""
+    return C.batches(documents(spark, d).select(F.col("lang").alias("category")), TARGETS, 16)
+
+
+QUERIES = {f.__name__: f for f in (m18_batches, x13_examples, x15_native, x14_verifiable, p14_calls, g12_intercepted)}
 
 
 def _pick(seed: str, n: int, *parts: str) -> str:
@@ -126,6 +135,9 @@ def _messages(form: int) -> str:
 
 _TEXT = f"""m AS (SELECT conv_id, turn, {REPLY.replace(chr(10) + "')", "' || chr(10))")} AS r, concat('result ', turn) AS result FROM conversations)"""
 SQL = {
+    "m18_batches": f"""WITH t(category, target) AS (VALUES {", ".join(f"('{c}', {n})" for c, n in TARGETS.items())}), l AS (SELECT category, target - (SELECT count(*) FROM documents WHERE lang = category) AS needed FROM t),
+        s AS (SELECT category, needed, unnest(range(0, needed, 15)) AS start FROM l WHERE needed > 0), o AS (SELECT category, i, row_number() OVER (PARTITION BY category ORDER BY md5(concat('axes|', category, '|', i)), i) - 1 AS place FROM t, unnest(range(0, 16)) AS u(i))
+        SELECT category, start, least(15, needed - start) AS n, i::INT AS axis FROM s JOIN o USING (category) WHERE place = start % 16""",
     "x13_examples": f"""WITH {_V}, m AS ({_messages(0)}) SELECT doc_id, pos, role, content, CASE t WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 3 END AS num_tool_calls, t IN (0, 3) AS is_multi_turn, t = 0 AS has_personalization, t = 1 AS has_emotion FROM m""",
     "x15_native": f"WITH {_V}, m AS ({_messages(1)}) SELECT doc_id, pos, role, content FROM m",
     "x14_verifiable": f"""WITH {_V}, s AS (SELECT doc_id, string_agg(concat(k, '|step ', k, ' of ', a, '|as ', b, '|is ', n, ' so?'), ';' ORDER BY k) FILTER (k <= doc_id % 4) AS steps FROM v, unnest([1, 2, 3]) AS u(k) GROUP BY doc_id)

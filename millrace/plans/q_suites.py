@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import principles as P
 from millrace.operators import suites as R
+from millrace.operators.reports import tools_line
 from millrace.plans.fixtures import documents
 
 #: Fields of an item, in SQL that both engines read alike: k counts the items of a suite.
@@ -95,7 +96,15 @@ def e24_summary(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumns({"scores_by_principle": shown("scores_by_principle"), "persona_dimension_means": shown("persona_dimension_means")})
 
 
-QUERIES = {f.__name__: f for f in (a2_records, a6_vectors, e1_cells, e6_bundle, e24_summary)}
+def e22_context(spark: SparkSession, d: str) -> DataFrame:
+    """What a judge is told of every item: what is probed, its gold reference, and the tools that were meant to be there."""
+    rubrics = P.dimension(spark).filter("tier < 3").select(F.col("principle").alias("group_id"), F.concat(F.lit("be "), "family").alias("rubric"))
+    golds = spark.read.parquet(f"{d}/benchmark.parquet").filter(F.col("item_id") < 4 * len(P.PRINCIPLES)).select(F.element_at(F.array(*[F.lit(p[0]) for p in P.PRINCIPLES]), (F.floor(F.col("item_id") / 4) + 1).cast("int")).alias("group_id"), (F.col("item_id") % 4).cast("string").alias("idx"), F.left("text", F.lit(30)).alias("expected"))
+    rows = R.judge_context(R.cells(_reports(spark, d)), rubrics, golds)
+    return rows.select("suite", "key", "context", tools_line(F.col("profile")).alias("tools"))
+
+
+QUERIES = {f.__name__: f for f in (a2_records, a6_vectors, e1_cells, e6_bundle, e24_summary, e22_context)}
 
 _X = f"""d AS (SELECT *, CAST(floor(doc_id / 5) AS BIGINT) AS k FROM documents), x AS (SELECT doc_id, k, n_chars, source, lang, {", ".join(f"{e} AS {n}" for n, e in ITEM.items())} FROM d),
     y AS (SELECT *, CASE WHEN k % 6 = 0 THEN lang || ' tail' WHEN coalesce(answer, '') <> '' THEN answer ELSE coalesce(response, '') END AS said, coalesce(think_length, 0) AS think_len,
@@ -123,6 +132,14 @@ SQL = {
           CASE WHEN suite IN ('adversarial', 'persona') THEN '' ELSE response_type END AS response_type, CASE WHEN suite NOT IN ('adversarial', 'persona') THEN profile END AS tool_profile,
           round(CASE suite WHEN 'adversarial' THEN CASE WHEN k % 5 = 0 THEN 0.25 ELSE passed::INT END WHEN 'persona' THEN overall ELSE coalesce(combined, judged, passed::INT) END::DOUBLE, 6) AS score,
           CASE suite WHEN 'adversarial' THEN '' WHEN 'persona' THEN 'fine' ELSE CASE WHEN judged IS NOT NULL THEN 'because' ELSE '' END END AS judge_reason FROM y""",
+    "e22_context": f"""WITH {_X}, i AS (SELECT label, suite, CASE suite WHEN 'constitution' THEN pid WHEN 'categories' THEN lang END AS gid, coalesce(idx::VARCHAR, 'None') AS idx,
+          CASE suite WHEN 'constitution' THEN concat(pid, '::', coalesce(idx::VARCHAR, 'None')) WHEN 'categories' THEN concat(lang, '::', coalesce(idx::VARCHAR, 'None')) WHEN 'drift' THEN concat('turn', doc_id) WHEN 'adversarial' THEN CASE WHEN k % 6 > 0 THEN concat('adv', doc_id) ELSE '' END ELSE concat('per', doc_id) END AS key,
+          CASE WHEN suite NOT IN ('adversarial', 'persona') THEN profile END AS profile FROM x),
+        g AS (SELECT suite, key, any_value(gid) AS gid, any_value(idx) AS idx, arg_min(profile, struct_pack(l := label, p := profile)) FILTER (profile IS NOT NULL) AS profile FROM i GROUP BY suite, key),
+        dim(principle, family, tier) AS (VALUES {", ".join(f"('{n}', '{f}', {t})" for n, f, _, t in P.PRINCIPLES)}), b AS (SELECT {[p[0] for p in P.PRINCIPLES]}[item_id // 4 + 1] AS gid, (item_id % 4)::VARCHAR AS idx, left(text, 30) AS expected FROM benchmark WHERE item_id < {4 * len(P.PRINCIPLES)}),
+        c AS (SELECT g.*, CASE WHEN tier < 3 THEN 'be ' || family END AS rubric, 'Gold reference for THIS question: ' || expected AS gold FROM g LEFT JOIN dim ON principle = gid AND suite = 'constitution' LEFT JOIN b ON b.gid = g.gid AND b.idx = g.idx AND suite = 'constitution')
+        SELECT suite, key, CASE suite WHEN 'constitution' THEN CASE WHEN rubric IS NULL AND gold IS NULL THEN 'Principle probed: ' || gid ELSE concat('[', gid, '] ', concat_ws(' ', rubric, gold)) END WHEN 'categories' THEN 'Category probed: ' || gid WHEN 'drift' THEN '{R.DRIFT}' WHEN 'persona' THEN '{R.PERSONA.replace(chr(39), chr(39) * 2)}' ELSE '' END AS context,
+          CASE profile WHEN 'all_tools' THEN 'get_datetime, python_execute, read_url, web_search' WHEN 'no_tools' THEN 'none (knowledge/reasoning only — no external tools intended for this question)' ELSE 'unknown (a standard tool set may have been available)' END AS tools FROM c""",
     "e6_bundle": f"""WITH {_REC}, c AS (SELECT * FROM records WHERE suite = 'constitution'), dim(principle, family, framing, tier, weight) AS (VALUES {_DIM}),
         p AS (SELECT label, principle, avg(rule_score) AS score FROM c GROUP BY ALL HAVING score IS NOT NULL), j AS (SELECT p.*, family, coalesce(framing, 'unknown') AS framing, coalesce(tier, 3) AS tier, coalesce(weight, 1.0) AS weight FROM p LEFT JOIN dim USING (principle)),
         g AS (SELECT label, {_DEPTH}, {_TOOL}, {_COST} FROM c GROUP BY label), u AS (UNPIVOT g ON COLUMNS(* EXCLUDE (label)) INTO NAME name VALUE value),
