@@ -9,6 +9,8 @@ name and has no arguments; of arguments that repeat the last one counts; an empt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,19 +103,33 @@ def verifiable(rows: DataFrame, values: str = "values") -> DataFrame:
     return out.withColumns({"has_tool_calls": F.size("tool_calls") > 0, "num_steps": F.size("steps")})
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where the value is worked out once, however often it is named: within a lambda Spark works an expression out at each place."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def parsed_call(call: Column) -> Column:
     """name and arguments (an array of key and value, in order) of a call written as name(key='value', ...)."""
-    inner = T.strip(F.regexp_extract(call, CALL, 2))
+    return _once(call, lambda c: F.when(c.rlike(CALL), _once(T.strip(F.regexp_extract(c, CALL, 2)), lambda inner: _read(F.regexp_extract(c, CALL, 1), inner))).otherwise(_unread(c)))
+
+
+def _unread(call: Column) -> Column:
+    return F.struct(F.regexp_replace(T.strip(call), r"[()]+$", "").alias("name"), F.array().cast("array<struct<key:string,value:string>>").alias("arguments"))
+
+
+def _read(name: Column, inner: Column) -> Column:
+    """A call by its name and what stands in its brackets."""
     code = F.when(inner.rlike(CODE[0]), F.regexp_extract(inner, CODE[0], 1)).when(inner.rlike(CODE[1]), F.regexp_extract(inner, CODE[1], 1)).otherwise(inner)
-    keys, *forms = [F.regexp_extract_all(inner, F.lit(ARGUMENT), g) for g in (1, 2, 3, 4)]
-    value = lambda i: F.when(F.get(forms[0], i) != "", F.get(forms[0], i)).when(F.get(forms[1], i) != "", F.get(forms[1], i)).otherwise(T.strip(F.get(forms[2], i)))
     pair = lambda k, x: F.struct(k.alias("key"), x.alias("value"))
-    last = lambda k: (F.size(keys) - F.array_position(F.reverse(keys), k)).cast("int")
-    arguments = F.transform(F.array_distinct(keys), lambda k: pair(k, value(last(k))))
-    name = F.regexp_extract(call, CALL, 1)
-    unread = F.struct(F.regexp_replace(T.strip(call), r"[()]+$", "").alias("name"), F.array().cast("array<struct<key:string,value:string>>").alias("arguments"))
-    read = F.struct(name.alias("name"), F.when(name == "python_execute", F.array(pair(F.lit("code"), code))).otherwise(arguments).alias("arguments"))
-    return F.when(call.rlike(CALL), read).otherwise(unread)
+
+    def arguments(found: Column) -> Column:
+        keys, *forms = [found[f"g{g}"] for g in (1, 2, 3, 4)]
+        value = lambda i: F.when(F.get(forms[0], i) != "", F.get(forms[0], i)).when(F.get(forms[1], i) != "", F.get(forms[1], i)).otherwise(T.strip(F.get(forms[2], i)))
+        last = lambda k: (F.size(keys) - F.array_position(F.reverse(keys), k)).cast("int")
+        return F.transform(F.array_distinct(keys), lambda k: pair(k, value(last(k))))
+
+    found = F.struct(*[F.regexp_extract_all(inner, F.lit(ARGUMENT), g).alias(f"g{g}") for g in (1, 2, 3, 4)])
+    return F.struct(name.alias("name"), F.when(name == "python_execute", F.array(pair(F.lit("code"), code))).otherwise(_once(found, arguments)).alias("arguments"))
 
 
 def _python_text(text: Column) -> Column:
@@ -127,6 +143,10 @@ def _python_text(text: Column) -> Column:
 
 def served_call(call: Column) -> Column:
     """A parsed call, with tools that aren't served put as calls of served ones."""
+    return _once(call, _served)
+
+
+def _served(call: Column) -> Column:
     name, arguments = call["name"], call["arguments"]
     given = lambda k: F.coalesce(F.get(F.transform(F.filter(arguments, lambda a: a["key"] == k), lambda a: a["value"]), F.lit(0)), F.lit(""))
     put = lambda tool, *pairs: F.struct(F.lit(tool).alias("name"), F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]).alias("arguments"))
@@ -149,17 +169,23 @@ def call_json(call: Column) -> Column:
 def native(messages: Column) -> Column:
     """Messages with XML calls put as native ones, and results defused and wrapped under the tool that was called last before them."""
     span = r"(?s)<tool>(.*?)</tool>"
+    kind = "array<struct<name:string,arguments:array<struct<key:string,value:string>>>>"
+    assistant = lambda m: m["role"] == "assistant"
     calls = lambda m: F.transform(F.regexp_extract_all(m["content"], F.lit(span), 1), lambda c: served_call(parsed_call(c)))
 
-    def rewritten(m: Column) -> Column:
-        between = F.split(m["content"], span, -1)
-        put = F.transform(calls(m), lambda c: F.concat(F.lit("<tool_call>\n"), call_json(c), F.lit("\n</tool_call>")))
-        return F.array_join(F.flatten(F.transform(between, lambda b, i: F.array_compact(F.array(b, F.get(put, i))))), "")
-
-    def one(m: Column, i: Column) -> Column:
-        before = F.flatten(F.transform(F.filter(F.slice(messages, F.lit(1), i), lambda x: x["role"] == "assistant"), calls))
-        pending = F.coalesce(F.get(F.reverse(F.transform(before, lambda c: c["name"])), F.lit(0)), F.lit(DEFAULT_TOOL))
-        content = F.when((m["role"] == "assistant") & F.contains(m["content"], F.lit("<tool>")), rewritten(m)).when(m["role"] == "tool", T.sanitised(pending, m["content"])).otherwise(m["content"])
+    def rewritten(m: Column, own: Column) -> Column:
+        put = F.transform(own, lambda c: F.concat(F.lit("<tool_call>\n"), call_json(c), F.lit("\n</tool_call>")))
+        return _once(put, lambda put: F.array_join(F.flatten(F.transform(F.split(m["content"], span, -1), lambda b, i: F.array_compact(F.array(b, F.get(put, i))))), ""))
+
+    def one(m: Column, i: Column, called: Column) -> Column:
+        name = F.coalesce(F.get(F.reverse(F.flatten(F.slice(called, F.lit(1), i))), F.lit(0))["name"], F.lit(DEFAULT_TOOL))
+        content = (
+            F.when(assistant(m) & F.contains(m["content"], F.lit("<tool>")), rewritten(m, F.get(called, i)))
+            .when(m["role"] == "tool", _once(name, lambda pending: T.sanitised(pending, m["content"])))
+            .otherwise(m["content"])
+        )
         return F.struct(m["role"].alias("role"), content.alias("content"))
 
-    return F.transform(messages, one)
+    # Each message's calls are parsed once; a result looks only at the names before it.
+    each = F.transform(messages, lambda m: F.when(assistant(m), F.coalesce(calls(m), F.array().cast(kind))).otherwise(F.array().cast(kind)))
+    return _once(each, lambda called: F.transform(messages, lambda m, i: one(m, i, called)))

@@ -73,6 +73,15 @@ def test_several_calls_in_one_message_and_the_tool_a_result_belongs_to(spark):
     assert got[1].content == "[TOOL_RESULT: web_search]\nfound\n[/TOOL_RESULT]" and got[2].content == "<tool>no()</tool>" and len(got[3].content) < 1300
 
 
+def test_calls_are_parsed_at_one_place(spark):
+    """Before, each place that named a call had a parser of its own (a result's, one for every budget), and each result parsed all calls before it again."""
+    rows = [("assistant", f"<tool>f(k='{i}')</tool>") if i % 2 == 0 else ("tool", f"r{i}") for i in range(200)]
+    df = spark.createDataFrame([(rows,)], "m array<struct<role:string,content:string>>").select(X.native(F.col("m")).alias("n"))
+    assert df._jdf.queryExecution().analyzed().toString().count(X.ARGUMENT) == 4
+    got = df.first().n
+    assert [m.content for m in got[:2]] == ['<tool_call>\n{"name": "f", "arguments": {"k": "0"}}\n</tool_call>', "[TOOL_RESULT: f]\nr1\n[/TOOL_RESULT]"] and got[199].content == "[TOOL_RESULT: f]\nr199\n[/TOOL_RESULT]"
+
+
 def plain_intercept(replies, results, active, fails, rounds):
     out, counts, searches = [], {}, 0
     for n, r in enumerate(replies[:rounds]):
