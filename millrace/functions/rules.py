@@ -9,8 +9,11 @@ Defined results: a null response is empty; a probe without a rule has no verdict
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +22,9 @@ from millrace.functions import text as T
 
 #: Characters at the end of what the user sees that a closing question is looked for in.
 END = 300
+LOWER = "lower_"
+#: Parts of a pattern: an escape, a class, a group's beginning, how often, any other character.
+TOKEN = re.compile(r"\\.|\[\^?\]?[^\]]*\]|\((?:\?:)?|\{\d*,?\d*\}\??|[?*+]\??|.", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -183,24 +189,79 @@ def calls(response: Column, trace: Column) -> Column:
     return F.coalesce(trace, F.regexp_extract_all(F.coalesce(response, F.lit("")), F.lit(r"<tool>\s*(\w+)\s*\("), 1))
 
 
-def holds(rule: Rule, of: dict[str, Column], tools: Column) -> Column:
-    """Whether all conditions of a rule hold; of: the parts."""
-    out = F.lit(True)
-    for c in rule:
-        if isinstance(c, Has):
-            now = of[c.part].rlike(c.pattern)
-            now = now if c.found else ~now
-        elif isinstance(c, Calls):
-            now = F.exists(tools, lambda t: F.startswith(t, F.lit(c.name[:-1]))) if c.name.endswith("*") else F.array_contains(tools, c.name) if c.name else F.size(tools) > 0  # noqa: B023
-            now = now if c.called else ~now
-        elif isinstance(c, Longer):
-            now = F.length(T.strip(of[c.part])) > c.than
+def lowered(of: dict[str, Column]) -> dict[str, Column]:
+    """The parts in lower case, by which condition() leaves most patterns untried."""
+    return {f"{LOWER}{n}": F.lower(c) for n, c in of.items()}
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """A pattern cut at the bars outside of its groups and classes."""
+    out, depth = [""], 0
+    for token in TOKEN.findall(pattern):
+        depth += (token[0] == "(") - (token == ")")
+        if token == "|" and not depth:
+            out.append("")
         else:
-            now = F.regexp_count(of[c.part], F.lit(r"\?")).between(c.least, c.most)
-        out = out & now
+            out[-1] += token
     return out
 
 
+def needed(pattern: str) -> set[str]:
+    """Lower-case strings one of which is in the lower-case form of every text that the pattern is found in; none if there are no such strings."""
+    out: set[str] = set()
+    for alternative in _alternatives(re.sub(r"^\(\?[a-z]+\)", "", pattern)):
+        best = max(_pieces(alternative), key=lambda x: min(map(len, x)), default=set())
+        if not best:
+            return set()
+        out |= best
+    # Who has the shorter one has it in the longer one too.
+    return {x for x in out if not any(y in x for y in out if y != x)}
+
+
+def _pieces(alternative: str) -> list[set[str]]:
+    """Strings that an alternative can't do without: runs of characters, and what its groups need."""
+    out, run, tokens, i = [], "", TOKEN.findall(alternative), 0
+    while i < len(tokens):
+        token, start = tokens[i], i
+        if token[0] == "(":
+            depth = 1
+            while depth:
+                i += 1
+                depth += (tokens[i][0] == "(") - (tokens[i] == ")")
+        after = tokens[i + 1] if i + 1 < len(tokens) else ""
+        bare = token[1:] if token[0] == "\\" and not token[1].isalnum() else token
+        same = len(bare) == 1 and bare == token.removeprefix("\\") and (token[0] == "\\" or token not in ".^$") and (bare.isascii() or not bare.isalpha())
+        optional = after[:1] in ("?", "*") or after.startswith("{")
+        if same and not optional:
+            run += bare.lower()
+        if not same or after[:1] in ("?", "*", "+", "{"):
+            out, run = [*out, {run}] if run else out, ""
+        if token[0] == "(" and not optional:
+            out.append(needed("".join(tokens[start + 1 : i])))
+        i += 1 + (after[:1] in ("?", "*", "+", "{") and after != "")
+    return [x for x in [*out, {run} if run else set()] if x]
+
+
+def condition(c: Has | Calls | Longer | Asks, of: dict[str, Column], tools: Column) -> Column:
+    """Whether a condition holds; of: the parts. Where they are there in lower case too, a pattern is tried only on those that have a string it needs."""
+    if isinstance(c, Has):
+        now, strings = of[c.part].rlike(c.pattern), sorted(needed(c.pattern))
+        if f"{LOWER}{c.part}" in of and strings:
+            now = reduce(or_, [F.contains(of[f"{LOWER}{c.part}"], F.lit(x)) for x in strings]) & now
+        return now if c.found else ~now
+    if isinstance(c, Calls):
+        now = F.exists(tools, lambda t: F.startswith(t, F.lit(c.name[:-1]))) if c.name.endswith("*") else F.array_contains(tools, c.name) if c.name else F.size(tools) > 0
+        return now if c.called else ~now
+    if isinstance(c, Longer):
+        return F.length(T.strip(of[c.part])) > c.than
+    return F.regexp_count(of[c.part], F.lit(r"\?")).between(c.least, c.most)
+
+
+def holds(rule: Rule, of: dict[str, Column], tools: Column) -> Column:
+    """Whether all conditions of a rule hold; of: the parts."""
+    return reduce(and_, [condition(c, of, tools) for c in rule], F.lit(True))
+
+
 def verdict(group: Column, idx: Column, of: dict[str, Column], tools: Column) -> Column:
     """What the rule of a group and question says of a response; null where there is none."""
     out = F.lit(None).cast("boolean")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +39,14 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
 
 def f12_probes(spark: SparkSession, d: str) -> DataFrame:
     """How many responses pass each of the 83 rules."""
-    of = R.parts(F.col("r"))
-    rows = _responses(spark, d).select("tools", *[c.alias(n) for n, c in of.items()])
-    of = {n: F.col(n) for n in of}
-    said = [F.struct(F.lit(kind).alias("kind"), F.lit(group).alias("group_id"), F.lit(i).alias("idx"), R.holds(rule, of, F.col("tools")).alias("passed")) for kind, group, i, rule in R.every_rule()]
+    rows = _responses(spark, d).select("tools", *[c.alias(n) for n, c in R.parts(F.col("r")).items()])
+    of = {n: F.col(n) for n in rows.columns if n != "tools"}
+    rows = rows.select("*", *[c.alias(n) for n, c in R.lowered(of).items()])
+    of = {n: F.col(n) for n in rows.columns if n != "tools"}
+    # Rules share conditions; each is tried once a response.
+    names = {c: f"c{i}" for i, c in enumerate(dict.fromkeys(c for *_, rule in R.every_rule() for c in rule))}
+    rows = rows.select(*[R.condition(c, of, F.col("tools")).alias(n) for c, n in names.items()])
+    said = [F.struct(F.lit(kind).alias("kind"), F.lit(group).alias("group_id"), F.lit(i).alias("idx"), reduce(and_, [F.col(names[c]) for c in rule]).alias("passed")) for kind, group, i, rule in R.every_rule()]
     each = rows.select(F.explode(F.array(*said)).alias("v")).select("v.*")
     return each.groupBy("kind", "group_id", "idx").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
