@@ -5,7 +5,7 @@ key's state and is not counted itself. State lives in the state store, so that i
 it from there, and a saved table can start another stream (load). Each has a batch twin of windows and
 groupings.
 
-Events are ordered within a micro-batch. A key's state is bounded: SIZE masks, one count for each latency in milliseconds
+Events are ordered within a micro-batch; of requests, those that wait for its last reset do so in a file. A key's state is bounded: SIZE masks, one count for each latency in milliseconds
 and for each tool. With ttl_ms a key's state goes when it had no event for so long (processing time).
 
 Defined results: null flags are false, null violations none; events of a null key form a key of their own; an event that
@@ -14,6 +14,8 @@ repeats counts again; an empty stream gives no rows.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +25,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import LongType, StructField, StructType
 
 SIZE = 50
+#: Rows of rates that are given on at once.
+ROWS = 10_000
 #: Principles whose failures are counted, the share that calls for a reminder, and the reminders. Fixed values.
 PRINCIPLES = ("P1", "P3", "P4", "P18", "P20", "P21")
 THRESHOLD = 0.30
@@ -95,7 +99,7 @@ class _Rates(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
         last = [tuple(r) for r in self.window.get()]
         requests, retries, cleared = self.counts.get() or (0, 0, 0)
-        full, out = (1 << len(PRINCIPLES)) - 1, []
+        full, out, names = (1 << len(PRINCIPLES)) - 1, [], ["key", "request_id", "requests", "retries", "retry_success_rate", "rates"]
         for r in pd.concat(list(rows)).sort_values(["at", "request_id"], kind="stable").itertuples():
             if r.reset:
                 last, requests, retries, cleared = [], 0, 0, 0
@@ -104,9 +108,12 @@ class _Rates(StatefulProcessor):
             last = [*last, (int(r.mask), full)][-self.size :]
             share = lambda i: sum(m >> i & 1 for m, _ in last) / sum(k >> i & 1 for _, k in last)  # noqa: B023, E731
             out.append((key[0], r.request_id, requests, retries, round(cleared / retries, 3) if retries else None, [share(i) for i in range(len(PRINCIPLES))]))
+            if len(out) == ROWS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
         self.window.put(last) if last else self.window.clear()
         self.counts.update((requests, retries, cleared))
-        yield pd.DataFrame(out, columns=["key", "request_id", "requests", "retries", "retry_success_rate", "rates"])
+        yield pd.DataFrame(out, columns=names)
 
 
 def _time_mode(ttl_ms: int | None) -> str:
@@ -151,6 +158,47 @@ def saved_rates(spark: SparkSession, checkpoint: str) -> DataFrame:
     return rows.select(F.col("key.key").alias("key"), "requests", "retries", F.round(F.try_divide("cleared", "retries"), 3).alias("retry_success_rate"), "checks", "failures", adapting(rates).alias("adapts"))
 
 
+def _ordered(*tables: pd.DataFrame) -> pd.DataFrame:
+    """By order of events; of those of equal order the first table's come first."""
+    return pd.concat(tables).sort_values(["at", "request_id"], kind="stable")
+
+
+def _live(rows: Iterator[pd.DataFrame]) -> tuple[pd.Timestamp, Iterator[tuple[bool, pd.DataFrame]]]:
+    """When the last of a key's events was, and the events behind the last reset, table by table, each with whether the key is cleared before it (the first one, if there was a reset).
+
+    A reset may come in any of the tables, so events that none seen so far has cleared wait in a file: one table at a time is in memory, however many events the key has.
+    """
+    file, last, reset, reset_in, n = tempfile.TemporaryFile(), None, None, -1, 0
+    for table in rows:
+        table = _ordered(*[t for t in (reset, table) if t is not None])
+        at = table["at"].iloc[-1]
+        last = at if last is None or pd.isna(at) or (not pd.isna(last) and at > last) else last
+        resets = table["reset"].to_numpy(bool).nonzero()[0]
+        if len(resets):
+            before, reset = reset, table.iloc[resets[-1] : resets[-1] + 1]
+            table = table.iloc[resets[-1] + 1 :]
+            # The reset of an earlier table is in this one, too.
+            if before is None or not reset.index.equals(before.index):
+                reset_in = n
+                reset = reset.set_axis([f"reset {n}"])
+        pickle.dump(table, file)
+        n += 1
+
+    def live() -> Iterator[tuple[bool, pd.DataFrame]]:
+        if reset is not None:
+            yield True, reset.iloc[:0]
+        file.seek(0)
+        for i in range(n):
+            table = pickle.load(file)
+            if reset is not None and i < reset_in:
+                table = _ordered(table, reset)
+                table = table.iloc[table["reset"].to_numpy(bool).nonzero()[0][-1] + 1 :]
+            yield False, table
+        file.close()
+
+    return last, live()
+
+
 class _Requests(StatefulProcessor):
     """Per key four counters, how many good requests took each number of milliseconds, and calls by tool."""
 
@@ -165,24 +213,22 @@ class _Requests(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
         total, ok, tokens = self.counts.get() or (0, 0, 0)
         took, tools = ({k[0]: n[0] for k, n in state.iterator()} for state in (self.took, self.tools))
-        table = pd.concat(list(rows)).sort_values(["at", "request_id"], kind="stable")
-        cleared, changed = False, (set(), set())
-        for r in table.itertuples():
-            if r.reset:
-                total, ok, tokens, took, tools, cleared, changed = 0, 0, 0, {}, {}, True, (set(), set())
-                continue
-            total += 1
-            if not r.ok:
-                continue
-            ok, tokens = ok + 1, tokens + int(r.tokens)
-            took[int(r.ms)] = took.get(int(r.ms), 0) + 1
-            changed[0].add(int(r.ms))
-            for tool, n in r.tools.items() if isinstance(r.tools, dict) else r.tools:
-                tools[tool] = tools.get(tool, 0) + int(n)
-                changed[1].add(tool)
-        if cleared:
-            self.took.clear()
-            self.tools.clear()
+        changed = (set(), set())
+        last, live = _live(rows)
+        for cleared, table in live:
+            if cleared:
+                total, ok, tokens, took, tools = 0, 0, 0, {}, {}
+                self.took.clear()
+                self.tools.clear()
+            good = table[table["ok"].astype(bool)]
+            total, ok, tokens = total + len(table), ok + len(good), tokens + int(good["tokens"].sum())
+            for ms, n in good["ms"].value_counts().items():
+                took[int(ms)] = took.get(int(ms), 0) + int(n)
+                changed[0].add(int(ms))
+            for calls in good["tools"]:
+                for tool, n in calls.items() if isinstance(calls, dict) else calls:
+                    tools[tool] = tools.get(tool, 0) + int(n)
+                    changed[1].add(tool)
         for state, values, names in ((self.took, took, changed[0]), (self.tools, tools, changed[1])):
             for name in names:
                 state.updateValue((name,), (values[name],))
@@ -192,7 +238,7 @@ class _Requests(StatefulProcessor):
         for ms in sorted(took):
             found |= {k: ms / 1000 for k in at if before <= k < before + took[ms]}
             before += took[ms]
-        row = (key[0], table["at"].iloc[-1], total, ok, total - ok, *[found[k] for k in at], tokens, round(tokens / ok, 1) if ok else 0.0, tools)
+        row = (key[0], last, total, ok, total - ok, *[found[k] for k in at], tokens, round(tokens / ok, 1) if ok else 0.0, tools)
         yield pd.DataFrame([row], columns=["key", "at", "total", "ok", "error", "p50", "p95", "p99", "tokens", "tokens_per_request", "tools"])
 
 

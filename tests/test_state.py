@@ -3,8 +3,10 @@
 import json
 import random
 from collections import deque
+from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -135,3 +137,25 @@ def test_a_stopped_application_of_results_goes_on_without_repeats(spark, tmp_pat
     assert len(got) == applied.results(spark, f"{tmp_path}/out").count() == 42
     assert got["i0"].judge_failed and got["i0"].reason == "judge_error: gone" and not got["i0"].passed and got["i7"].passed and got["i7"].reason == ""
     assert applied.results(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_events_behind_the_last_reset_in_tables_of_any_size():
+    """Of a micro-batch cut into tables, in any order and with events at the same time, the events are those behind the last reset, as if all were sorted at once; one table at a time is read."""
+    rng = random.Random(3)
+    for trial in range(150):
+        n = rng.randrange(1, 30)
+        rows = [(pd.Timestamp(rng.randrange(6), unit="s") if rng.random() > 0.05 else pd.NaT, rng.randrange(4), i, rng.random() < 0.15) for i in range(n)]
+        whole = pd.DataFrame(rows, columns=["at", "request_id", "ms", "reset"])
+        cut = sorted(rng.randrange(n) for _ in range(rng.randrange(5)))
+        tables = [t.reset_index(drop=True) for a, b in zip([0, *cut], [*cut, n]) if len(t := whole.iloc[a:b])]
+        given, alive = iter(tables), []
+        last, live = harness._live(given)
+        assert isinstance(live, Iterator)
+        cleared = 0
+        for c, t in live:
+            cleared += c
+            alive += t["ms"].tolist()
+        whole = whole.sort_values(["at", "request_id"], kind="stable")
+        resets = whole["reset"].to_numpy().nonzero()[0]
+        assert sorted(alive) == sorted(whole["ms"].iloc[resets[-1] + 1 if len(resets) else 0 :]), trial
+        assert cleared == bool(len(resets)) and (last == whole["at"].iloc[-1] or (pd.isna(last) and pd.isna(whole["at"].iloc[-1])))
