@@ -6,6 +6,7 @@ import re
 import statistics
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,14 @@ def test_stemmed_query_equals_plain_counts_on_whole_texts(spark):
         assert list(r)[1:] == pytest.approx(plain_rouge(texts[r.doc_id], items[r.doc_id % len(items)], True), abs=1e-6)
 
 
+def test_few_texts_of_a_batch_are_strings_at_once():
+    """Before, all texts of a batch were, beside a cache of twice as many stems."""
+    texts = pa.array([None if i % 7 == 0 else f"text {i}" for i in range(1000)])
+    parts = [list(rows) for rows in overlap.slices(texts, texts)]
+    assert [len(p) for p in parts] == [256, 256, 256, 232] and [t for p in parts for t, _ in p] == texts.to_pylist()
+    assert list(overlap.slices(texts[:0], texts[:0])) == [] and overlap.stem.cache_info().maxsize <= 1 << 17
+
+
 def plain_search(text, corpus, default):
     hits = sorted({(rank, body) for rank, words, body in corpus if any(w and w.lower() in (text or "").lower() for w in words or [])})
     return len(hits), "\n\n".join(b for _, b in hits) or default
