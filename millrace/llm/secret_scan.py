@@ -5,7 +5,7 @@ token of a line is tagged begin, inside or outside of a secret by a linear-chain
 neighbouring tokens and features of the file; the best path of the line is decoded by Viterbi.
 
 All features but the file's belong to one token and how far it is from the tagged one, so a token's part of the scores is kept by its
-spelling (KNOWN spellings at most) and a text's scores are sums of rows. A line goes through Viterbi only if a token of it could gain
+spelling (KNOWN spellings at most) and scores are sums of rows, taken for all texts of a slice at once. A line goes through Viterbi only if a token of it could gain
 by being in a secret, all steps taken at their best: on all other lines outside throughout is the best path, and that is exact.
 
 The field is trained here, on generated lines of known truth (TRAIN_LINES of them, from SEED): it needs no pass over the corpus and is
@@ -24,14 +24,17 @@ import string
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.pieces import as_strings, cut, sliced, spread
 from millrace.llm.shared import kept, trim, whole_text
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -39,6 +42,8 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Texts without this have no span of the patterns (in RE2, which takes ſ and the Kelvin sign for s and k, too).
+MAY = r"""(?i:pass(?:word|wd)|secret|token|api_?key)["']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 MASK = "[SECRET]"
 
 TRAIN_LINES = 9000
@@ -47,7 +52,11 @@ TURNED = 0.02
 EPOCHS = 4
 SEED = 11
 #: Spellings whose parts of the scores one worker keeps in either of two generations.
-KNOWN = 150_000
+KNOWN = 300_000
+#: Fewer parts of lines than this are labelled one by one.
+FEW = 8
+#: Tokens whose gains are summed at once.
+SUMMED = 1 << 19
 
 #: A token, with the blank before it, or the end of a line.
 TOKEN = re.compile(r"\n|[\x20\x09\x0B-\x0D]?(?:[\w+](?:[\w+/.\-]*[\w+])?|[^\w+\x20\x09-\x0D]+)")
@@ -79,6 +88,7 @@ def _bucket(x: float, *edges: float) -> int:
 #: Bucket of a token's size.
 SIZES = [_bucket(n, 4, 6, 8, 10, 12, 16, 20, 32) for n in range(33)]
 VOWELS = "aeiouyàáâäèéêëìíîïòóôöùúûü"
+VOWEL_EDGES, RUN_EDGES = (0.15, 0.25, 0.33, 0.42), (3, 4, 5, 7)
 NO_VOWELS = str.maketrans("", "", VOWELS + VOWELS.upper())
 NO_RARE = str.maketrans("", "", "jkqvwxzJKQVWXZ")
 NO_DIGITS = str.maketrans("", "", string.digits)
@@ -100,7 +110,27 @@ def _spelling(token: str, kind: str) -> tuple[str, int, int, int]:
     """The kind, and how a token of letters reads: its share of vowels, the longest run of consonants, and its rare letters."""
     vowels = (len(token) - len(token.translate(NO_VOWELS))) / len(token)
     rare = len(token) - len(token.translate(NO_RARE))
-    return kind, _bucket(vowels, 0.15, 0.25, 0.33, 0.42), _bucket(max(map(len, CONSONANTS.split(token))), 3, 4, 5, 7), min(rare, 5)
+    return kind, _bucket(vowels, *VOWEL_EDGES), _bucket(max(map(len, CONSONANTS.split(token))), *RUN_EDGES), min(rare, 5)
+
+
+#: Whether characters up to U+00FF, and the rest as one, are vowels, consonants that run on, and rare letters.
+LETTERS = [chr(c) for c in range(256)] + ["\u0100"]
+IS_VOWEL, IS_CONSONANT, IS_RARE = (np.array([test(c) for c in LETTERS], np.int32) for test in (lambda c: not c.translate(NO_VOWELS), lambda c: not CONSONANTS.match(c), lambda c: not c.translate(NO_RARE)))
+
+
+def _spellings(tokens: list[str]) -> np.ndarray:
+    """_spelling() of each token but for its kind; a row each."""
+    size = np.array(list(map(len, tokens)))
+    start = np.cumsum(size) - size
+    chars = np.minimum(np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), "<u4"), 256)
+    vowels = np.add.reduceat(IS_VOWEL[chars], start) / size
+    at = np.arange(1, len(chars) + 1)
+    # Of each character, the last one up to it that ends a run, or where its token starts.
+    stop = np.where(IS_CONSONANT[chars], 0, at)
+    stop[start] = np.where(IS_CONSONANT[chars[start]], start, start + 1)
+    run = np.maximum.reduceat(at - np.maximum.accumulate(stop), start)
+    rare = np.minimum(np.add.reduceat(IS_RARE[chars], start), 5)
+    return np.stack([np.digitize(vowels, VOWEL_EDGES), np.digitize(run, RUN_EDGES), rare], 1)
 
 
 def _read(kind: str, vowels: int, run: int, rare: int) -> list[str]:
@@ -116,7 +146,7 @@ def shape(token: str) -> list[str]:
     """Features of a token by itself."""
     kind, n = kind_of(token), len(token)
     if kind[:4] == "mark":
-        return [f"kind={kind}", f"mark={token[0]}", f"mark2={token[-1]}"]
+        return [f"kind={kind}", f"mark={token[:1]}", f"mark2={token[-1:]}"]
     out = _read(*_spelling(token, kind))
     if is_plain(token, kind):
         return out
@@ -297,7 +327,8 @@ class Tables:
         self.gain = lambda name: gains.get(name, (0.0, 0.0))
         self.own = lambda names: tuple(map(sum, zip(*map(self.gain, names))))
         part = lambda head: {f[len(head) :]: g for f, g in gains.items() if f.startswith(head)}
-        self.before, self.before2, self.after = part("before="), part("before2="), part("after=")
+        self.before, self.before2 = part("before="), part("before2=")
+        self.after = {(f[:-2], int(f[-1])): g for f, g in part("after=").items()}
         asked = np.array([[self.gain(f"asked{d}={t}") for t in range(len(TRIGGERS) + 1)] for d in range(1, FELT + 1)])
         self.unasked, self.asked = asked[:, 0].sum(0), asked - asked[:, :1]
         self.again = np.array([self.gain("again=0"), self.gain("again=1")], np.float32)
@@ -338,52 +369,80 @@ class Tables:
             tokens = [t for t in tokens if t not in self.older]
         if not tokens:
             return
-        parts, marks, none, n = [], [], (0.0, 0.0), len(self.known)
-        for token in tokens:
-            own = token.strip()
-            kind, word, glued = kind_of(own), _word(own), own == token
-            key = _spelling(own, kind) if is_plain(own, kind) else None
-            base = self.read.get(key) if token != NOTHING else none
-            if base is None:
-                base = tuple(self._plainly(kind) + self.own(["all", *(_read(*key) if key else shape(own))]))
-                if key:
-                    self.read[key] = base
-            parts.append(base + self.before.get(word, none) + self.before2.get(word, none) + self.after.get(f"{word[:2]},{int(glued)}", none))
-            marks.append((self._kind(kind), _asks(token), 2 * _sign(own) + glued, xxhash.xxh64_intdigest(own) >> 1))
+        n, owns = len(self.known), [t.strip() for t in tokens]
+        kinds, words, glued = list(map(kind_of, owns)), list(map(_word, owns)), np.array(list(map(eq, owns, tokens)), np.int64)
+        parts, marks = np.zeros((len(tokens), 8)), np.zeros((len(tokens), 4), np.int64)
+        plain = [k for k, (own, kind) in enumerate(zip(owns, kinds)) if is_plain(own, kind)]
+        if plain:
+            number = {kind: k for k, kind in enumerate(dict.fromkeys(kinds[k] for k in plain))}
+            read = np.column_stack([[number[kinds[k]] for k in plain], _spellings([owns[k] for k in plain])])
+            read, which = np.unique(read @ [1000, 100, 10, 1], return_inverse=True)
+            names = list(number)
+            parts[plain, :2] = np.array([self._base(names[r // 1000], r // 100 % 10, r // 10 % 10, r % 10) for r in read.tolist()])[which]
+        for k in sorted(set(range(len(tokens))).difference(plain)):
+            marks[k, 2] = 2 * _sign(owns[k])
+            if tokens[k] != NOTHING:
+                parts[k, :2] = self._plainly(kinds[k]) + self.own(["all", *shape(owns[k])])
+        for at, near in ((2, self.before), (4, self.before2)):
+            told = [k for k, word in enumerate(words) if word in near]
+            if told:
+                parts[told, at : at + 2] = [near[words[k]] for k in told]
+        none = (0.0, 0.0)
+        parts[:, 6:] = [self.after.get((word[:2], g), none) for word, g in zip(words, glued.tolist())]
+        marks[:, 0] = list(map(self._kind, kinds))
+        # A token has no end of line within it, so what asks is looked for in all of them at once.
+        ends = np.cumsum(list(map(len, tokens))) + np.arange(1, len(tokens) + 1)
+        for m in ASKS.finditer(NOTHING.join(tokens)):
+            k = int(np.searchsorted(ends, m.start(), "right"))
+            marks[k, 1] = marks[k, 1] or 1 + TRIGGERS.index(m[0].lower())
+        marks[:, 2] += glued
+        marks[:, 3] = [xxhash.xxh64_intdigest(own) >> 1 for own in owns]
         self.known.update(zip(tokens, range(n, n + len(tokens))))
         self.parts[n : n + len(tokens)], self.marks[n : n + len(tokens)] = parts, marks
 
-    def gains(self, tokens: list[str], file: np.ndarray) -> np.ndarray:
-        """Gains of all tokens of a text (ends of lines among them), file: the file's part."""
-        ids = list(map(self.known.get, tokens))
-        if None in ids:
-            if len(tokens) > KNOWN // 2:
-                return self._long(tokens, file)
-            if len(self.known) + len(tokens) > KNOWN:
-                self._turn()
-            self._add(list({t for t in tokens if t not in self.known}))
-            ids = list(map(self.known.__getitem__, tokens))
-        return self._summed(np.array(ids), file)
-
-    def _long(self, tokens: list[str], file: np.ndarray) -> np.ndarray:
-        """gains() in parts, of a text that may have more spellings than are kept."""
-        size, out = KNOWN // 4, []
+    def _base(self, kind: str, *spelling: int) -> tuple[float, float]:
+        """The part of a plain token's own spelling."""
+        key = kind, *spelling
+        if key not in self.read:
+            self.read[key] = tuple(self._plainly(kind) + self.own(["all", *_read(*key)]))
+        return self.read[key]
+
+    def rows(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts and marks of each token, however many spellings there are."""
+        parts, marks, size = [], [], KNOWN // 2
         for start in range(0, len(tokens), size):
-            a, b, end = max(0, start - FELT), min(len(tokens), start + size + 1), min(len(tokens), start + size)
-            out.append(self.gains(tokens[a:b], file)[start - a : end - a])
-        return np.concatenate(out)
-
-    def _summed(self, ids: np.ndarray, file: np.ndarray) -> np.ndarray:
-        n = len(ids)
-        padded = np.concatenate([np.zeros(2, ids.dtype), ids, [0]])
-        parts, marks = self.parts[padded], self.marks[padded]
-        ends = padded == 0
-        score = parts[2 : n + 2, :2] + file.astype(np.float32)
+            some = tokens[start : start + size]
+            ids = list(map(self.known.get, some))
+            if None in ids:
+                missing = {t for t, n in zip(some, ids) if n is None}
+                if len(self.known) + len(missing) > KNOWN:
+                    self._turn()
+                    missing = set(some) - self.known.keys()
+                self._add(list(missing))
+                ids = list(map(self.known.__getitem__, some))
+            parts.append(self.parts[ids])
+            marks.append(self.marks[ids])
+        return np.concatenate(parts), np.concatenate(marks)
+
+    def gains(self, parts: np.ndarray, marks: np.ndarray, order: np.ndarray, file: np.ndarray) -> np.ndarray:
+        """Gains of tokens in a row, of which row order[i] of parts and marks is the i-th's; row 0 is an end of line. file: the files' part of each."""
+        out = np.empty((len(order), 2), np.float32)
+        for start in range(0, len(order), SUMMED):
+            a, b, end = max(0, start - FELT), min(len(order), start + SUMMED + 1), min(len(order), start + SUMMED)
+            out[start:end] = self._summed(parts, marks, order[a:b], file[a:b])[start - a : end - a]
+        return out
+
+    def _summed(self, parts: np.ndarray, marks: np.ndarray, order: np.ndarray, file: np.ndarray) -> np.ndarray:
+        n = len(order)
+        padded = np.concatenate([np.zeros(2, order.dtype), order, [0]])
+        nothing, ends = parts[0], padded == 0
+        parts, marks = parts[padded], marks[padded]
+        score = parts[2 : n + 2, :2] + file
         score += parts[1 : n + 1, 2:4]
         score += parts[:n, 4:6]
         score += parts[3:, 6:]
         heads = ends[1 : n + 1]  # tokens at a line's start have nothing before that
-        score[heads] += parts[0, 4:6] - parts[:n, 4:6][heads]
+        score[heads] += nothing[4:6] - parts[:n, 4:6][heads]
         kind, own = marks[2 : n + 2, 0], marks[2:, 3][:n]
         before, glued = marks[1 : n + 1, 2] >> 1, (marks[2 : n + 2, 2] & 1) * ~heads
         told = np.flatnonzero((before > 0) | (glued > 0))
@@ -395,7 +454,7 @@ class Tables:
         for p in np.flatnonzero(trigger).tolist():
             for d in range(1, FELT + 1):
                 i = p + d
-                if i >= n or ids[i] == 0:
+                if i >= n or order[i] == 0:
                     break
                 score[i] += self.asked[d - 1, trigger[p]]
                 if not trigger[p + 1 : i].any():
@@ -678,21 +737,70 @@ def best_labels(gains: list[list[float]], steps: list[list[float]], last: bool)
     return path[::-1]
 
 
+def regions_labels(gains: np.ndarray, regions: list[tuple[int, int]], steps: list[list[float]], last: list[bool]) -> Iterator[tuple[int, list[int]]]:
+    """Start and best_labels() of each region that isn't outside throughout, those of one length at once."""
+    size, step = np.array([b - a for a, b in regions], np.int64), np.array(steps)
+    for n in np.unique(size).tolist():
+        some = np.flatnonzero(size == n)
+        if len(some) < FEW:
+            for (a, b), to_end in ((regions[k], last[k]) for k in some.tolist()):
+                if any(labels := best_labels(gains[a:b].tolist(), steps, to_end)):
+                    yield a, labels
+            continue
+        starts, ends = np.array([regions[k][0] for k in some.tolist()]), np.array([last[k] for k in some.tolist()])
+        best, back = np.tile([0.0, -np.inf, -np.inf], (len(some), 1)), np.zeros((n, len(some), 3), np.int8)
+        for k in range(n):
+            through = best[:, :, None] + step
+            back[k], best = through.argmax(1), through.max(1)
+            best[:, 1:] += gains[starts + k]
+        labels, row = np.zeros((len(some), n), np.int64), np.arange(len(some))
+        labels[:, -1] = np.where(ends[:, None], best, best + step[:, OUT]).argmax(1)
+        for k in range(n - 1, 0, -1):
+            labels[:, k - 1] = back[k, row, labels[:, k]]
+        for k in np.flatnonzero(labels.any(1)).tolist():
+            yield int(starts[k]), labels[k].tolist()
+
+
 def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
     """Spans that the field tags as secrets."""
-    tokens = TOKEN.findall(text)
-    if not tokens:
-        return []
+    return next(_field_spans(as_strings([text]), field))
+
+
+def _field_spans(texts: pa.Array, field: Field) -> Iterator[list[tuple[int, int]]]:
+    """Spans that the field tags as secrets, of each text. Tokens never reach over a cut, so they are found once in each different piece."""
     tables = _tables(field)
-    gains = tables.gains(tokens, np.add(*map(tables.gain, file_features(text)))).astype(float)
-    ends = np.array([t == NOTHING for t in tokens])
-    starts, spans = None, []
-    for a, b in _regions(gains, ends, tables.slack):
-        labels = best_labels(gains[a:b].tolist(), tables.steps, b == len(tokens) or bool(ends[b]))
-        if not any(labels):
-            continue
-        starts = starts or [(m.end() - len(m[0].lstrip()), m.end()) for m in TOKEN.finditer(text)]
-        for k, label in enumerate(labels, a):
+    for part in sliced(texts):
+        spelled, piece, edges = cut(part)
+        # Rows 0 and 1 are ends of lines: the first alone stands for a line feed, both between texts. Pieces are parted by ends, too.
+        tokens = [NOTHING, *TOKEN.findall("".join(NOTHING + ("" if p == NOTHING else p) for p in spelled))]
+        parts, marks = tables.rows(tokens)
+        bounds = np.append(np.flatnonzero([t == NOTHING for t in tokens])[1:], [len(tokens), len(tokens)])
+        first, size = bounds[:-1] + 1, np.diff(bounds) - 1
+        first[-1], size[-1] = 0, 2
+        feed = [n for n, p in enumerate(spelled) if p == NOTHING]
+        first[feed], size[feed] = 0, 1
+        piece = np.insert(piece, edges[:-1], len(spelled))
+        order = spread(first[piece], size[piece])
+        order[order == 1] = 0
+        heads = edges[:-1] + np.arange(len(part))
+        starts = np.append(np.cumsum(size[piece])[heads], len(order))
+        features = [file_features(t.as_py()) for t in part]
+        file = np.array([np.add(*map(tables.gain, f)) for f in features]).astype(np.float32)
+        gains = tables.gains(parts, marks, order, np.repeat(file, np.diff(np.append(starts[:-1] - 2, len(order))), 0)).astype(float)
+        ends, found = order == 0, {}
+        regions = _regions(gains, ends, tables.slack)
+        last = [b == len(order) or bool(ends[b]) for _, b in regions]
+        for a, labels in sorted(regions_labels(gains, regions, tables.steps, last)):
+            found.setdefault(int(np.searchsorted(starts, a, "right")) - 1, []).append((a, labels))
+        for k, text in enumerate(part):
+            yield _labelled_spans(text.as_py(), int(starts[k]), found[k]) if k in found else []
+
+
+def _labelled_spans(text: str, head: int, regions: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
+    """Spans of the labels of a text's regions, whose tokens are counted from head."""
+    starts, spans = [(m.end() - len(m[0].lstrip()), m.end()) for m in TOKEN.finditer(text)], []
+    for a, labels in regions:
+        for k, label in enumerate(labels, a - head):
             if label == BEGIN:
                 spans.append(starts[k])
             elif label == INSIDE:
@@ -702,9 +810,20 @@ def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
 
 def all_spans(text: str, field: Field) -> list[tuple[str, int, int]]:
     """Spans of the patterns, and the parts of the field's that lie outside of them (white space at their ends aside); by start, then kind."""
-    found = pattern_spans(text)
+    return next(_all_spans(as_strings([text]), field))
+
+
+def _all_spans(texts: pa.Array, field: Field) -> Iterator[list[tuple[str, int, int]]]:
+    """all_spans() of each text."""
+    may = pc.match_substring_regex(texts, MAY)
+    for text, some, own in zip(texts, may.to_pylist(), _field_spans(texts, field)):
+        yield _joined(text.as_py(), pattern_spans(text.as_py()) if some else [], own) if some or own else []
+
+
+def _joined(text: str, found: list[tuple[str, int, int]], own: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The patterns' spans, and the parts of the field's outside of them."""
     more, k = [], 0
-    for start, end in field_spans(text, field):
+    for start, end in own:
         # The field's spans go on by start, so patterns that end before one are behind for good.
         while k < len(found) and found[k][2] <= start:
             k += 1
@@ -728,7 +847,7 @@ def scanned(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id",
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = [[dict(zip(("kind", "start", "end"), s)) for s in all_spans(t.as_py(), model.value)] for t in b.column(1)]
+            spans = [[dict(zip(("kind", "start", "end"), s)) for s in found] for found in _all_spans(b.column(1), model.value)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     return rows.mapInArrow(found, f"doc_id {rows.dtypes[0][1]}, spans {SPANS}")
@@ -750,6 +869,7 @@ def masked(docs: DataFrame, field: Field | None = None, text_col: str = "text",
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else without(t, all_spans(t, model.value), mask) for t in texts], dtype=object)
+        found = _all_spans(as_strings([t or "" for t in texts]), model.value)
+        return pd.Series([None if t is None else without(t, spans, mask) for t, spans in zip(texts, found)], dtype=object)
 
     return docs.withColumn(text_col, clean(F.col(text_col)))

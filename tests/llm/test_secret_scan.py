@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from millrace.llm import pieces
 from millrace.llm import secret_scan as S
 
 ODD = "doc_id long, text string, spans string, kind string, start int"
@@ -107,6 +108,34 @@ def test_few_kept_spellings_change_nothing(field, monkeypatch):
     assert [S.field_spans(t, small) for t in texts] == want
 
 
+def test_slices_of_texts_equal_single_texts_and_plain_spellings(field, monkeypatch):
+    made = S.Lines(random.Random(5))
+    odd = ["", "\n", "a,\nb.", "key key,\n\n key", " \t token: abcDEF123ghi, x", "é, ×, 2. ß.", "toKen=abcdef12", "x" * 70, "pwd: Ab1!cd", "AKIA" + "Q7" * 9, "0f" * 14, "secret : 'abcdef.'", "\x85a\u2003b, \x00."]
+    texts = ["\n".join(made.line()[0] for _ in range(n % 5)) + odd[n % len(odd)] for n in range(300)]
+    want = [S._joined(t, S.pattern_spans(t), whole_line_spans(t, field)) for t in texts]
+    assert sum(map(len, want)) > 100
+    for size, summed, few in ((1 << 24, 1 << 19, 8), (700, 50, 1), (1, 7, 10**9)):
+        monkeypatch.setattr(S, "SUMMED", summed)
+        monkeypatch.setattr(S, "FEW", few)
+        monkeypatch.setattr(S, "sliced", lambda a, size=size: pieces.sliced(a, size))
+        assert list(S._all_spans(pieces.as_strings(texts), field)) == want
+    words = ["é", "Straße", "bcdfgh", "y", "Ünÿ", "łódź", "aeiou", "Jxqz"] + [made.spoken(k % 7 + 1) for k in range(2000)]
+    assert S._spellings(words).tolist() == [list(S._spelling(w, "")[1:]) for w in words]
+
+
+def test_each_different_word_of_many_texts_is_taken_apart_once(field, monkeypatch):
+    read = []
+
+    class Counted:
+        findall = staticmethod(lambda text: read.append(len(text)) or TOKEN.findall(text))
+        finditer = staticmethod(lambda text: read.append(len(text)) or TOKEN.finditer(text))
+
+    TOKEN = S.TOKEN
+    monkeypatch.setattr(S, "TOKEN", Counted)
+    assert list(S._all_spans(pieces.as_strings(["some words, and more words.\nagain " * 50] * 200), field)) == [[]] * 200
+    assert sum(read) < 100
+
+
 def held_out(rng):
     """Lines written apart from those of training: secrets that no fixed pattern has, and lines without any."""
     letters, word = string.ascii_letters, string.ascii_letters + string.digits
