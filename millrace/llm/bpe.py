@@ -18,18 +18,24 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import whole_text
-from millrace.llm.tokens import CachedEncoder
+from millrace.llm.shared import trim, whole_text
+from millrace.llm.tokens import WORD, CachedEncoder
 
 NEVER = 1 << 40
 #: Pairs whose compatibility one worker remembers; beyond, it starts anew.
-PAIRS = 1_000_000
+PAIRS = 300_000
+#: Pieces that go through the automaton at once.
+TOGETHER = 1 << 15
+#: Ids of one batch of rows.
+IDS = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,7 +74,7 @@ class Vocabulary:
             token = self.bytes[rank]
             self.shorter[rank] = next((p for k in range(size - 1, 0, -1) if (p := ranks.get(token[:k])) in self.size), None)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, ...] | None:
         """The two tokens that the last merge joins; () for a byte; None if lower ranks don't leave two."""
@@ -84,7 +90,7 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of the two tokens leaves them as they are."""
-        known = self.compatible.get((left, right))
+        known = self.compatible.get(left << 32 | right)
         if known is None:
             known = not any(
                 (across := self.pair.get((a, b))) is not None and across < a_up and across <= b_up
@@ -93,28 +99,45 @@ class Vocabulary:
             )
             if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
-            self.compatible[left, right] = known
+            self.compatible[left << 32 | right] = known
         return known
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
-        text, known = word.decode("latin-1"), self.compatible
+        text = word.decode("latin-1")
         # Where the longest matches in a row all fit, the search would not go back once.
         longest = [token for _, token in self.automaton.iter_long(text)]
-        for pair in zip(longest, longest[1:]):
-            fit = known.get(pair)
-            if not (self.fits(*pair) if fit is None else fit):
-                return self._searched(word, text)
-        return longest
-
-    def _searched(self, word: bytes, text: str) -> list[int]:
-        """The search with steps back."""
+        n = next((n for n, pair in enumerate(zip(longest, longest[1:]), 1) if not self.fits(*pair)), len(longest))
+        return longest if n == len(longest) else self._searched(word, text, longest[:n], longest[n])
+
+    def encode_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of many: the ids in a row, and where each word's begin and the last one's end. The automaton runs over all, each different pair is tried once."""
+        whole = list(map(self.ranks.get, words))
+        texts = [word.decode("latin-1") if rank is None else "" for word, rank in zip(words, whole)]
+        size = np.array(list(map(len, texts)), np.int64)
+        # No token has the character between words.
+        found = np.fromiter(chain.from_iterable(self.automaton.iter_long("\u0100".join(texts))), np.int64).reshape(-1, 2)
+        token, word = found[:, 1], np.searchsorted(np.cumsum(size + 1), found[:, 0], "right")
+        codes, which = np.unique(token[:-1] << 32 | token[1:], return_inverse=True)
+        within, fit = word[:-1] == word[1:], np.ones(len(codes), bool)
+        used = np.unique(which[within])
+        fit[used] = [self.fits(code >> 32, code & 0xFFFFFFFF) for code in codes[used].tolist()]
+        bad = np.flatnonzero(within & ~fit[which])
+        again, at = np.unique(word[bad], return_index=True)
+        start = np.searchsorted(word, again)
+        searched = [self._searched(words[k], texts[k], token[a : b + 1].tolist(), c) for k, a, b, c in zip(again.tolist(), start.tolist(), bad[at].tolist(), token[bad[at] + 1].tolist())]
+        told = np.array([k for k, rank in enumerate(whole) if rank is not None], np.int64)
+        keep = ~np.isin(word, again)
+        ids = np.concatenate([token[keep], np.array([whole[k] for k in told.tolist()], np.int64), np.array([*chain.from_iterable(searched)], np.int64)])
+        of = np.concatenate([word[keep], told, np.repeat(again, list(map(len, searched)))])
+        return ids[np.argsort(of, kind="stable")].astype("<u4"), np.append(0, np.cumsum(np.bincount(of, minlength=len(words))))
+
+    def _searched(self, word: bytes, text: str, path: list[int], token: int | None) -> list[int]:
+        """The search with steps back, gone on with from the longest matches so far (path) and the next one (token), which doesn't fit."""
         shorter, size, fits, long = self.shorter, self.size, self.fits, self.automaton.iter_long
-        path: list[int] = []
-        dead, at, n = bytearray(len(word) + 1), 0, len(word)
-        token = next(long(text))[1]
+        dead, at, n = bytearray(len(word) + 1), sum(size[t] for t in path), len(word)
         while at < n:
             while token is not None and (dead[at + size[token]] or path and not fits(path[-1], token)):
                 token = shorter[token]
@@ -140,12 +163,17 @@ class RankFile:
         self.split, self.vocabulary = regex.compile(pattern).findall, Vocabulary(read_ranks(path))
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
-        encode, split = self.vocabulary.encode, self.split
-        return [np.array([i for word in split(p) for i in encode(word.encode())], "<u4").tobytes() for p in pieces]
+        out, split, one = [], self.split, WORD.fullmatch
+        for start in range(0, len(pieces), TOGETHER):
+            words = [[p] if one(p) else split(p) for p in pieces[start : start + TOGETHER]]
+            ids, ends = self.vocabulary.encode_all([w.encode() for some in words for w in some])
+            data, ends = ids.tobytes(), (4 * ends[np.cumsum([0, *map(len, words)])]).tolist()
+            out += [data[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}
-_TOKENS: dict[str, dict[int, bytes]] = {}
+_TOKENS: dict[str, pa.Array] = {}
 
 
 def encoder(path: str, pattern: str) -> CachedEncoder:
@@ -155,22 +183,30 @@ def encoder(path: str, pattern: str) -> CachedEncoder:
     return _ENCODERS[path, pattern]
 
 
+def _runs(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) row of runs of IDS ids at most, or of one longer row."""
+    first = 0
+    while first < len(edges) - 1:
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + IDS, "right")) - 1)
+        yield first, last
+        first = last
+
+
 def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row. ranks: path of the rank file, readable on every executor."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks, pattern).encode
+        encode = encoder(ranks, pattern).encoded
         for b in batches:
-            start, out, held = 0, [], 0
-            for n, text in enumerate(b.column(1)):
-                out.append(np.frombuffer(encode(text.as_py()), "<i4"))
-                held += len(out[-1])
-                if held > 1 << 20 or n + 1 == b.num_rows:
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(out)), ids], names=["doc_id", "ids"])
-                    start, out, held = n + 1, [], 0
+            start = 0
+            for ids, edges in encode(b.column(1)):
+                for first, last in _runs(edges):
+                    own = ids[edges[first] : edges[last]].view("<i4")
+                    lists = pa.ListArray.from_arrays(pa.array((edges[first : last + 1] - edges[first]).astype(np.int32)), pa.array(own))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start + first, last - first), lists], names=["doc_id", "ids"])
+                start += len(edges) - 1
+            trim()
 
     return rows.mapInArrow(made, f"doc_id {rows.dtypes[0][1]}, ids array<int>")
 
@@ -181,10 +217,22 @@ def decoded(rows: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str =
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ranks not in _TOKENS:
-            _TOKENS[ranks] = {r: t for t, r in read_ranks(ranks).items()}
-        token = _TOKENS[ranks].__getitem__
+            token = {r: t for t, r in read_ranks(ranks).items()}
+            _TOKENS[ranks] = pa.array([token.get(r) for r in range(max(token) + 1)], pa.large_binary())
+        token = _TOKENS[ranks]
         for b in batches:
-            data = [b"".join(map(token, ids.values.tolist() if ids.is_valid else [])) for ids in b.column(1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
+            # Null lists have no ids.
+            edges = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy().astype(np.int64)))
+            for first, last in _runs(edges):
+                part = b.slice(first, last - first)
+                taken = token.take(part.column(1).flatten())
+                if taken.null_count:
+                    raise ValueError("an id that the rank file doesn't have")
+                _, offsets, data = taken.buffers()
+                size = edges[first : last + 1] - edges[first]
+                ends = np.frombuffer(offsets, np.int64)[: len(taken) + 1][size] if len(taken) else size
+                texts = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(ends)), data or pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts.cast(pa.binary())], names=["doc_id", "ids", "data"])
+            trim()
 
     return rows.mapInArrow(made, f"doc_id {rows.dtypes[0][1]}, ids array<int>, data binary")

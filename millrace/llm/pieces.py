@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts that are cut at once; a longer text is cut by itself.
-SLICE = 16 << 20
+SLICE = 4 << 20
 SPACE, FEED, COMMA, STOP = b" \n,."
 
 

@@ -2,27 +2,37 @@
 
 White space splits both public byte-level vocabularies' pre-tokens: none goes on from another character
 into white space. So a text may be cut before a single space, and around a single line feed, and each
-piece encoded by itself; pieces repeat, and a bounded cache holds their ids. Where white space runs on, the
-text is not cut, so that results equal those for the whole text.
+piece encoded by itself; texts of a batch are cut together, each different piece is looked up once, and a bounded cache
+holds pieces' ids. Where white space runs on, the text is not cut, so that results equal those for the whole text.
 """
 
 from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from struct import pack
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from millrace.llm.pieces import as_strings, cut, sliced
+
 #: Pieces in either of the two generations that one worker remembers: those used since the last turn, and before.
-CACHE = 300_000
+CACHE = 200_000
 #: Longer pieces are encoded each time.
 LONGEST = 64
 #: Letters below this one are letters to every version of Unicode.
 LETTERS_TO = "\u0250"
+#: One pre-token of letters below that.
+WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: White space that doesn't stand alone within a text, or is no space or line feed (those that str.isspace() has, in RE2).
+ODD = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class CachedEncoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit bytes; plain(list of pieces) does so for each piece."""
+    """encode(text) gives the ids as little-endian unsigned 32-bit bytes, encoded() those of many; plain(list of pieces) gives them for each piece."""
 
     def __init__(self, plain: Callable[[list[str]], list[bytes]], added: dict[str, int] | None = None):
         """added: tokens that stand for themselves wherever they are in a text; the rest is encoded between them."""
@@ -55,25 +65,33 @@ class CachedEncoder:
         return joined
 
     def encode(self, text: str) -> bytes:
-        for token in self.added:
-            if token in text:
-                return b"".join(self.added[p] if n % 2 else self._encode(p) for n, p in enumerate(self.apart.split(text)))
-        return self._encode(text)
-
-    def _encode(self, text: str) -> bytes:
-        pieces = self._simple(text)
-        if pieces is None:
-            pieces = self._pieces(text)
-        out = list(map(self.known.get, pieces))
-        if None in out:
-            new = self._found({p for p, x in zip(pieces, out) if x is None})
-            out = [new[p] if x is None else x for p, x in zip(pieces, out)]
-        return b"".join(out)
-
-    def _found(self, missing: set[str]) -> dict[str, bytes]:
+        return next((ids.tobytes() for ids, _ in self.encoded(as_strings([text]))), b"")
+
+    def encoded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each slice of the texts: the ids in a row, and where each text's begin and the last one's end."""
+        for part in sliced(texts):
+            odd = pc.match_substring_regex(part, ODD)
+            for token in self.added:
+                odd = pc.or_(odd, pc.match_substring(part, token))
+            spelled, piece, edges = cut(part, odd.to_numpy(zero_copy_only=False), self._own)
+            ids = list(map(self.known.get, spelled))
+            if None in ids:
+                new = self._found([p for p, x in zip(spelled, ids) if x is None])
+                ids = [new[p] if x is None else x for p, x in zip(spelled, ids)]
+            _, offsets, data = pa.array(ids, pa.large_binary()).take(pa.array(piece)).buffers()
+            ends = np.frombuffer(offsets, np.int64)[: len(piece) + 1] // 4 if len(piece) else np.zeros(1, np.int64)
+            yield np.frombuffer(data or b"", "<u4")[: ends[-1]], ends[edges]
+
+    def _own(self, text: str) -> list[str]:
+        """Pieces of a text that isn't cut at every white space, or has added tokens."""
+        if not any(token in text for token in self.added):
+            return self._pieces(text)
+        return [p for n, part in enumerate(self.apart.split(text)) for p in ([part] if n % 2 else self._pieces(part))]
+
+    def _found(self, missing: list[str]) -> dict[str, bytes]:
         new, rest, known, older = {}, [], self.known, self.older
         for p in missing:
-            ids = older.get(p)
+            ids = older.get(p) or self.added.get(p)
             # A letter and a mark are never one pre-token, so a known word's ids go on with the mark's.
             if ids is None and p[-1] in self.marks and len(p) > 1 and p[-2].isalpha() and p[-2] < LETTERS_TO:
                 stem = known.get(p[:-1]) or older.get(p[:-1])
@@ -83,24 +101,12 @@ class CachedEncoder:
             else:
                 rest.append(p)
         new.update(zip(rest, self.plain(rest)))
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        self.known.update(new if len(new) <= CACHE else {})
-        for p in [p for p in new if len(p) > LONGEST]:
-            self.known.pop(p, None)
+        kept = {p: ids for p, ids in new.items() if len(p) <= LONGEST}
+        if len(known) + len(kept) > CACHE:
+            self.known, self.older = {}, known
+        self.known.update(kept if len(kept) <= CACHE else {})
         return new
 
-    @staticmethod
-    def _simple(text: str) -> list[str] | None:
-        """The pieces of a text in which every white space stands alone; None if there may be others."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text or text[0].isspace() or text[-1].isspace():
-            return None
-        # Printable text has no white space but the space; other text may have.
-        if not text.replace("\n", "").isprintable() and ("\x00" in text or any(c.isspace() for c in set(text) - {" ", "\n"})):
-            return None
-        # A part is kept with its space, and a line feed by itself.
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-
 
 class ByteLevel:
     """plain() by a byte-level vocabulary of the library tokenizers: its pattern, then its merges on each pre-token.
@@ -122,11 +128,11 @@ class ByteLevel:
         self.alphabet = {b: b if b in same else next(others) for b in range(256)}
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
-        merges, split, alphabet, space = self.merges, self.split, self.alphabet, chr(self.alphabet[32])
+        merges, split, alphabet, space, one = self.merges, self.split, self.alphabet, chr(self.alphabet[32]), WORD.fullmatch
         out = []
         for p in pieces:
             ids = []
-            for word in split(p):
+            for word in (p,) if one(p) else split(p):
                 plain = word.isascii() and word.isprintable()
                 ids += [t.id for t in merges(word.replace(" ", space) if plain else word.encode().decode("latin-1").translate(alphabet))]
             out.append(pack(f"<{len(ids)}I", *ids))

@@ -8,7 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe, packing
+from millrace.llm import bpe, packing, pieces
 from millrace.llm.tokens import ByteLevel, CachedEncoder
 
 ODD = "doc_id long, text string, ids string, start string, done int, merge string"
@@ -39,13 +39,44 @@ def test_cached_encoders_equal_the_libraries(monkeypatch):
         assert np.frombuffer(by_ranks.encode(t), "<u4").tolist() == tik.encode_ordinary(t)
 
 
+def test_slices_of_texts_equal_single_texts(monkeypatch):
+    import millrace.llm.tokens as tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 3000)
+    plain = ByteLevel(JSON, P.PATTERN)
+    encoders = [CachedEncoder(plain, plain.added), CachedEncoder(bpe.RankFile(RANKS, P.PATTERN))]
+    tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    whole = Tokenizer.from_file(JSON)
+    marks = ["it's, word. é, ß.\nŁódź, ×, ÷. end.", "a,", ",", "x.", "2, 3.\n4,", ", .", "don't.\n,", "\u2003x, y.", "a\x85 b,", "e\u0301, o\u0308."]
+    texts = marks + odd_texts(1500)
+    for size in (1 << 22, 300, 1):
+        monkeypatch.setattr(tokens, "sliced", lambda a, size=size: pieces.sliced(a, size))
+        for encoder, want in zip(encoders, (lambda t: whole.encode(t, add_special_tokens=False).ids, tik.encode_ordinary)):
+            got = [ids[a:b].tolist() for ids, edges in encoder.encoded(pieces.as_strings(texts)) for a, b in zip(edges, edges[1:])]
+            assert got == [want(t) for t in texts]
+
+
+def test_each_different_word_of_many_texts_is_looked_up_once():
+    class Counted(dict):
+        get = lambda self, p, otherwise=None: looked.append(p) or dict.get(self, p, otherwise)
+
+    looked = []
+    encoder = CachedEncoder(bpe.RankFile(RANKS, P.PATTERN))
+    encoder.known = Counted()
+    encoded = list(encoder.encoded(pieces.as_strings(["some words, and more words.\nagain " * 50 + "x"] * 200)))
+    assert sum(len(edges) - 1 for _, edges in encoded) == 200 and len(looked) < 50
+
+
 def test_single_words_equal_merging_by_rank():
     vocabulary = bpe.Vocabulary(bpe.read_ranks(RANKS))
     tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
-    rng, tokens = random.Random(3), list(vocabulary.ranks)
+    rng, tokens, words = random.Random(3), list(vocabulary.ranks), []
     for k in range(6000):
         word = b"".join(rng.choice(tokens) for _ in range(rng.randrange(1, 6))) if k % 2 else bytes(rng.choice(b"aabe th\xc3\xa9\xe2\x82\xac ") for _ in range(rng.randrange(1, 40)))
         assert vocabulary.encode(word) == tik._core_bpe.encode_single_piece(word)
+        words.append(word)
+    ids, ends = vocabulary.encode_all(words)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == list(map(tik._core_bpe.encode_single_piece, words))
 
 
 def test_tokens_that_merging_never_makes():
