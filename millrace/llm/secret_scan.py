@@ -52,11 +52,11 @@ TURNED = 0.02
 EPOCHS = 4
 SEED = 11
 #: Spellings whose parts of the scores one worker keeps in either of two generations.
-KNOWN = 300_000
+KNOWN = 200_000
 #: Fewer parts of lines than this are labelled one by one.
 FEW = 8
 #: Tokens whose gains are summed at once.
-SUMMED = 1 << 19
+SUMMED = 1 << 17
 
 #: A token, with the blank before it, or the end of a line.
 TOKEN = re.compile(r"\n|[\x20\x09\x0B-\x0D]?(?:[\w+](?:[\w+/.\-]*[\w+])?|[^\w+\x20\x09-\x0D]+)")
