@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -192,14 +193,15 @@ def packed(
     last = end.to_bytes(BYTES, "little")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, pattern).encode
+        encode = encoder(tokenizer, pattern).encoded
         packer, part, n = Packer(window, open_windows, min_cut), TaskContext.get().partitionId(), 0
         doc_type = None
         for b in batches:
             doc_type = b.schema.field(0).type
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py()) + last
+            texts = (data[4 * a : 4 * b] for ids, edges in encode(b.column(1)) for data in [memoryview(ids).cast("B")] for a, b in pairwise(edges.tolist()))
+            for doc, text in zip(b.column(0).to_pylist(), texts):
+                ids = bytes(text) + last
                 for w in packer.put(Piece(doc, 0, len(ids) // BYTES, ids)):
                     out += _listed(w, (part << 32) + n, with_ids)
                     n += 1
